@@ -65,17 +65,18 @@ def semi_join(big: DataFrame, keys: DataFrame, on: str, rows: int | None = None,
     return big.join(F.broadcast(keys) if rows <= limit else keys, on, "left_semi")
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: str, rows: int | None = None, limit: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
-    """Inner join with small (unique by `on`, materialized), robust to a hot key on the big side.
+def lookup_join(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "inner", rows: int | None = None, limit: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+    """Inner or left join with small (unique by `on`, materialized), robust to a hot key on the big side.
 
     Up to `limit` rows small is broadcast; beyond, each key is salted into `salts` pieces, so no task gets a whole hot key."""
+    on = [on] if isinstance(on, str) else list(on)
     rows = small.count() if rows is None else rows
     if rows <= limit:
-        return big.join(F.broadcast(small), on)
+        return big.join(F.broadcast(small), on, how)
     salt = "_salt"
     small = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    big = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in big.dtypes if kind != "map"]), F.lit(salts)).cast("int"))
-    return big.join(small, [on, salt]).drop(salt)
+    big = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in big.dtypes if "map" not in kind]), F.lit(salts)).cast("int"))
+    return big.join(small, [*on, salt], how).drop(salt)
 
 
 def worker_cache() -> dict:
