@@ -32,7 +32,7 @@ from loam.session import lookup_join, materialize, semi_join, worker_cache
 
 ROWS = 3
 #: Share of the pairs exactly at the threshold that the bands may miss, and again the radius.
-LOSS = 0.01
+LOSS = 0.002
 #: Rows of a band key that one task joins; larger ones are cut into blocks of this size.
 HOT = 4096
 #: Up to this size a group is compared row by row, without a tree.
@@ -57,7 +57,7 @@ def plan(n: int, threshold: float, min_words: int, loss: float) -> Plan:
     t = min(max(threshold, 0.05), 0.99)
     bands = max(1, math.ceil(math.log(loss) / math.log(1 - t**ROWS)))
     p = (1 - t) / 2
-    z = 3.1 if loss < 0.005 else 2.6
+    z = 3.1
     return Plan(n, min_words, bands, math.ceil(BITS * p + z * math.sqrt(BITS * p * (1 - p))))
 
 

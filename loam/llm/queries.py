@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loam.llm.knn import knn, neighbour_pairs
+from loam.llm.language import languages, wrong_labels
 from loam.llm.neardup import expand_pairs, groups, near_duplicates
 from loam.session import read_table
 
@@ -20,7 +23,25 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups(_near(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    nodes = read_table(spark, d, "memory_nodes").filter("type is null or type != 'category'")
+    return languages(nodes, read_table(spark, d, "node_langs"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = wrong_labels(_languages(spark, d), read_table(spark, d, "node_langs"))
+    return found.select(F.col("id").alias("node_id"), "seg_no", "lang").distinct()
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).withColumnRenamed("id", "node_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbour_pairs(knn(read_table(spark, d, "memory_nodes"), "id", "embedding", dims=384, k=5, ties=1e-6))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_segments": p2_segments, "p5_found": p5_found}
 
 ORACLE = {
     "p1_found": """
@@ -29,5 +50,12 @@ g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(ws) - 1), lambda i:
 n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
 s AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS s FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2)
 SELECT id_a, id_b FROM s JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 2 * s >= x.n + y.n - s
-"""
+""",
+    "p5_found": """
+WITH u AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM memory_nodes WHERE len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.e, b.e) AS s FROM u a JOIN u b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC) AS rn FROM s),
+k AS (SELECT x, min(s) AS kth FROM r WHERE rn <= 5 GROUP BY x)
+SELECT DISTINCT least(s.x, s.y) AS id_a, greatest(s.x, s.y) AS id_b FROM s JOIN k ON s.x = k.x WHERE s.s >= k.kth - 0.000001
+""",
 }
