@@ -36,7 +36,7 @@ GRAM, BUCKETS, ALPHA = 3, 1 << 16, 0.1
 #: n-grams overlap, so each counts as this share of an independent observation.
 TEMPER = 1 / GRAM
 #: What another language has to add to the log-likelihood of a text: PENALTY and half the logarithm of its lines.
-PENALTY = 5.0
+PENALTY = 1.0
 #: Log-odds in favour of a record's label while the models are fitted.
 BONUS, ROUNDS = 6.0, 5
 EM_STEPS = 25
