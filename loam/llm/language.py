@@ -267,5 +267,5 @@ def languages(df: DataFrame, labels: DataFrame, id_column: str = "id", title: st
 def wrong_labels(segments: DataFrame, labels: DataFrame, label_id: str = "node_id", label: str = "lang", labelled_at: str = "labelled_at") -> DataFrame:
     """Segments 0 whose record has no label, a meaningless one or one of another language, and all other segments."""
     named = current_labels(labels, label_id, label, labelled_at)
-    joined = segments.filter("seg_no = 0 and lang is not null").join(named, "id", "left").filter("named is null or named != lang")
-    return joined.select(*segments.columns).unionByName(segments.filter("seg_no > 0"))
+    joined = segments.join(named, "id", "left")
+    return joined.filter("seg_no > 0 or (lang is not null and (named is null or named != lang))").select(*segments.columns)
