@@ -21,15 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.session import lookup_join, materialize, worker_cache
 
 #: Most vectors that the centroids are fitted on, most lists, and iterations.
-SAMPLE, LISTS, ITERATIONS = 8192, 2048, 10
+SAMPLE, LISTS, ITERATIONS = 16384, 4096, 6
+#: Lists are so many times the square root of the vectors' number.
+DENSITY = 4
+#: Vectors of a list on average, at least.
+LEAST = 64
 #: Lists that a vector probes at most; those whose centroid is less similar than the best one by more than MARGIN are left.
-PROBES, MARGIN = 8, 0.45
+PROBES, MARGIN = 4, 0.1
+#: Lists that it probes at most in its own part, where nothing has to travel.
+OWN_PROBES = 24
 #: Vectors of a part.
 PART = 4000
 EPSILON = 2.1
@@ -99,6 +106,19 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dims)
 
 
+def _narrow(vectors: np.ndarray) -> np.ndarray:
+    """In half precision if that holds every number exactly, as it does for vectors that were computed in it."""
+    with np.errstate(over="ignore"):
+        half = vectors.astype(np.float16)
+    return half if (half.astype(np.float32) == vectors).all() else vectors
+
+
+def _wide(rows: list[bytes], dims: int) -> np.ndarray:
+    if len({len(x) for x in rows}) == 1:
+        return np.frombuffer(b"".join(rows), np.float16 if len(rows[0]) == 2 * dims else np.float32).reshape(-1, dims).astype(np.float32)
+    return np.stack([np.frombuffer(x, np.float16 if len(x) == 2 * dims else np.float32).astype(np.float32) for x in rows])
+
+
 def route(centroids: np.ndarray, first: np.ndarray, chunks: np.ndarray, dims: int, probes: int, margin: float):
     """A function over batches of (id, h, vec): a row for each part that the vector travels to."""
 
@@ -113,13 +133,14 @@ def route(centroids: np.ndarray, first: np.ndarray, chunks: np.ndarray, dims: in
                     continue
                 ids, h = batch.column("id").take(pa.array(ok)), batch.column("h").to_numpy()[ok]
                 sims = unit(v) @ centroids.T
-                p = min(probes, sims.shape[1])
+                p = min(max(probes, OWN_PROBES), sims.shape[1])
                 near = np.argpartition(-sims, p - 1, axis=1)[:, :p] if p < sims.shape[1] else np.tile(np.arange(p), (len(v), 1))
                 near_sims = np.take_along_axis(sims, near, 1)
                 order = np.argsort(-near_sims, axis=1, kind="stable")
                 near, near_sims = np.take_along_axis(near, order, 1), np.take_along_axis(near_sims, order, 1)
-                probed = near_sims >= near_sims[:, :1] - margin
                 home = near[:, 0]
+                close = (near_sims >= near_sims[:, :1] - margin) & (np.arange(p) < probes)
+                probed = close | ((first[near] == first[home][:, None]) & (chunks[near] == 1))
                 home_part = first[home] + h % chunks[home]
                 row, col = np.nonzero(probed)
                 lists = near[row, col]
@@ -136,7 +157,7 @@ def route(centroids: np.ndarray, first: np.ndarray, chunks: np.ndarray, dims: in
                         pa.array(where.astype(np.int32)),
                         pa.array(np.where(where == home_part[who], home[who], -1).astype(np.int32)),
                         ids.take(pa.array(who)),
-                        pa.array([x.tobytes() for x in v[who]], pa.binary()),
+                        pa.array([x.tobytes() for x in _narrow(v)[who]], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(lists.astype(np.int32))),
                     ],
                     ["part", "home", "id", "vec", "probes"],
@@ -232,7 +253,11 @@ def search_part(dims: int, k: int, ties: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("home", "ascending"), ("id", "ascending")])
         home, ids = table.column("home").to_numpy(), table.column("id")
-        raw = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float32).reshape(-1, dims)
+        again = np.append(False, (home[1:] == home[:-1]) & pc.equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy())
+        if again.any():
+            table = table.filter(pa.array(~again)).combine_chunks()
+            home, ids = home[~again], table.column("id")
+        raw = _wide(table.column("vec").to_pylist(), dims)
         scan = Scan(unit(raw) @ rotation(dims), k)
         lists, counts = np.unique(home[home >= 0], return_counts=True)
         begin = np.append(0, np.cumsum(counts))[:-1] + (home < 0).sum()
@@ -303,11 +328,11 @@ def knn(df: DataFrame, id_column: str, vector_column: str, dims: int, k: int = 5
     sample = unit(sample[usable(sample)])
     if not len(sample):
         return empty
-    wanted = lists or round(math.sqrt(n))
+    wanted = lists or round(min(DENSITY * math.sqrt(n), n / LEAST))
     centroids, counts = fit_centroids(sample, max(1, min(wanted, LISTS, len(sample) // 8)))
     first, chunks, _ = pack_lists(centroids, (counts + 0.5) * (n / len(sample)), part)
     routed = reps.mapInArrow(route(centroids, first, chunks, dims, probes, margin), ROUTED)
-    found = top_k(routed.groupBy("part").applyInArrow(search_part(dims, k, ties), "id string, neighbour string, similarity double").distinct(), k, ties)
+    found = top_k(routed.groupBy("part").applyInArrow(search_part(dims, k, ties), "id string, neighbour string, similarity double"), k, ties)
     if not n_copies:
         return found
     members = materialize(lookup_join(hashed.distinct(), copies, ["h1", "h2"], "inner", n_copies).select("rep", F.col("id").alias("member")))
