@@ -147,7 +147,7 @@ _FEATURES = f"""(WITH r AS MATERIALIZED (SELECT * FROM {_RANKED}), c AS MATERIAL
 t AS (SELECT c.a, c.b, sum(x.w * x.w) AS d FROM c JOIN v x ON x.path = c.a JOIN v y ON y.path = c.b AND y.term = x.term GROUP BY 1, 2), u AS MATERIALIZED (SELECT * FROM {_UND}), deg AS (SELECT a, count(*) AS deg FROM u GROUP BY a),
 aa AS (SELECT c.a, c.b, sum(1.0 / ln(1.0 + deg.deg)) AS s FROM c JOIN u x ON x.a = c.a JOIN u y ON y.a = c.b AND y.b = x.b JOIN deg ON deg.a = x.b GROUP BY 1, 2)
 SELECT c.a, c.b, r1.sim, coalesce(round(2 * r1.sim - h1.hub - h2.hub, 9), 0.0) AS semantic, coalesce(round(1.0 / sqrt(CAST(r1.rank * r2.rank AS DOUBLE)), 9), 0.0) AS mutual_rank, round(coalesce(t.d / (n1.n * n2.n), 0.0), 9) AS terms,
-CASE WHEN len(string_split(c.a, '/')) > 3 AND len(string_split(c.b, '/')) > 3 AND split_part(c.a, '/', 3) = split_part(c.b, '/', 3) THEN 1.0 ELSE 0.0 END AS project, CASE WHEN regexp_replace(c.a, '/[^/]*$', '') = regexp_replace(c.b, '/[^/]*$', '') THEN 1.0 ELSE 0.0 END AS folder, round(ln(1.0 + coalesce(aa.s, 0.0)), 9) AS neighbours
+CASE WHEN len(string_split(c.a, '/')) > 3 AND len(string_split(c.b, '/')) > 3 AND split_part(c.a, '/', 3) = split_part(c.b, '/', 3) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS project, CASE WHEN regexp_replace(c.a, '/[^/]*$', '') = regexp_replace(c.b, '/[^/]*$', '') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS folder, round(ln(1.0 + coalesce(aa.s, 0.0)), 9) AS neighbours
 FROM c LEFT JOIN r r1 ON r1.a = c.a AND r1.b = c.b LEFT JOIN r r2 ON r2.a = c.b AND r2.b = c.a LEFT JOIN hub h1 ON h1.a = c.a LEFT JOIN hub h2 ON h2.a = c.b LEFT JOIN t ON t.a = c.a AND t.b = c.b LEFT JOIN norm n1 ON n1.path = c.a LEFT JOIN norm n2 ON n2.path = c.b LEFT JOIN aa ON aa.a = c.a AND aa.b = c.b)"""
 _W = linking.WEIGHTS
 _SCORED = f"(SELECT *, round(greatest(1.0 / (1.0 + exp(-greatest(-40.0, least(40.0, {_W['bias']} + " + " + ".join(f"{_W[f]} * {f}" for f in linking.FEATURES) + f")))), CASE WHEN sim >= 0.9 THEN 0.9 ELSE 0.0 END), 9) AS confidence FROM {_FEATURES})"

@@ -28,7 +28,7 @@ def append_events(events: DataFrame, path: str) -> None:
 
 def read_transcript(spark: SparkSession, path: str) -> DataFrame:
     """(conv, turn, role, text): prompts and replies in order. The line number within its file orders a transcript, so a file is one partition; files are many."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("conv"), F.posexplode(F.split("value", "\n")).alias("turn", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("conv"), F.posexplode(F.split("value", "\n")).alias("turn", "line"))
     row = F.from_json("line", "type string, isMeta boolean, message struct<role:string, content:string>")
     rows = lines.filter(F.trim("line") != "").select("conv", "turn", row.alias("r")).filter("r.type in ('user', 'assistant') and not coalesce(r.isMeta, false)")
     content = F.col("r.message.content")
@@ -64,7 +64,7 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
 
 def read_memory_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, path, title, type, importance, body) of Markdown files with frontmatter; a field that can't be read gets its default."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\r\n", "\n").alias("v"))
+    raw = spark.read.text(path, wholetext=True).select(F.url_decode(F.input_file_name()).alias("file"), F.regexp_replace("value", "\r\n", "\n").alias("v"))
     front = F.regexp_extract("v", r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)
     rows = raw.select("file", front.alias("f"), F.trim(F.regexp_replace("v", r"(?s)\A---\n.*?\n---(?:\n|\z)", "")).alias("body"))
     field = lambda k: F.nullif(F.trim(F.regexp_extract("f", rf"(?m)^{k}:[ \t]*(.*)$", 1), ), F.lit(""))
