@@ -66,7 +66,7 @@ def read_memory_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, path, title, type, importance, body) of Markdown files with frontmatter; a field that can't be read gets its default."""
     raw = spark.read.text(path, wholetext=True).select(F.url_decode(F.input_file_name()).alias("file"), F.regexp_replace("value", "\r\n", "\n").alias("v"))
     front = F.regexp_extract("v", r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)
-    rows = raw.select("file", front.alias("f"), F.trim(F.regexp_replace("v", r"(?s)\A---\n.*?\n---(?:\n|\z)", "")).alias("body"))
+    rows = raw.select("file", front.alias("f"), F.regexp_replace(F.regexp_replace("v", r"(?s)\A---\n.*?\n---(?:\n|\z)", ""), r"\A\s+|\s+\z", "").alias("body"))
     field = lambda k: F.nullif(F.trim(F.regexp_extract("f", rf"(?m)^{k}:[ \t]*(.*)$", 1), ), F.lit(""))
     kind = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.lower(field("type"))]
     name = F.regexp_extract("file", r"([^/]+)\.md$", 1)
