@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.functions.vector import cosine
 from loam.operators.components import connected_components
 from loam.operators.retrieval import directed
 from loam.session import materialize
@@ -77,26 +78,46 @@ def shortest_path(edges: DataFrame, start: str, end: str, most: int = 6) -> Data
     return out.select(F.col("hops").alias("hop"), "node").distinct()
 
 
-def similar_pairs(nodes: DataFrame, least: float, dims: int) -> DataFrame:
-    """(path_a, path_b, sim): all pairs of a scope with a cosine of at least `least`, path_a < path_b.
-
-    For a scope that was narrowed down (a project, a tier); over everything, nearest neighbours are the scalable form. The
-    pairs are blocked by the length of the angle to one fixed direction: |angle_a - angle_b| <= the angle between them,
-    so only rows in the same or the next ring can be that similar. The join is an equi-join on the ring."""
-    import math
-
-    from loam.functions.vector import dot, norm, usable_vector
-
-    width = max(math.acos(max(-1.0, min(1.0, least))), 1e-3)
-    axis = F.array(*[F.lit(1.0 if i % 2 else -1.0) for i in range(dims)])
-    rows = nodes.filter(usable_vector(F.col("embedding"), dims)).withColumn("v", F.col("embedding").cast("array<double>"))
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("v"), axis) / (norm(F.col("v")) * math.sqrt(dims)))))
-    rows = rows.select("path", "v", F.floor(angle / (width * 1.000001)).alias("ring"))
-    a = rows.select(F.col("path").alias("pa"), F.col("v").alias("va"), F.explode(F.array("ring", F.col("ring") + 1)).alias("r"), F.col("ring").alias("ra"))
-    b = rows.select(F.col("path").alias("pb"), F.col("v").alias("vb"), F.col("ring").alias("r"))
-    pairs = a.join(b, "r").filter(((F.col("ra") == F.col("r")) & (F.col("pa") < F.col("pb"))) | (F.col("ra") != F.col("r")))
-    sim = F.round(cosine(F.col("va"), F.col("vb")), 9)
-    return pairs.select(F.least("pa", "pb").alias("path_a"), F.greatest("pa", "pb").alias("path_b"), sim.alias("sim")).filter(F.col("sim") >= least)
+def _block_pairs(least: float):
+    """A function over two blocks of rows (blk, path, v): the similar pairs between them, or within one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("blk", "ascending"), ("path", "ascending")])
+        block, paths = table.column("blk").to_numpy(), table.column("path")
+        v = np.asarray(table.column("v").combine_chunks().flatten(), np.float64).reshape(len(block), -1)
+        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        n = int(np.searchsorted(block, block[0], "right"))
+        alone = n == len(block)
+        other = v if alone else v[n:]
+        i, j, sim = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        for at in range(0, n, 512):
+            s = v[at : min(at + 512, n)] @ other.T
+            x, y = np.nonzero(s >= least - 1e-9)
+            ok = (at + x < y) if alone else np.ones(len(x), bool)
+            i.append(at + x[ok])
+            j.append(y[ok] + (0 if alone else n))
+            sim.append(s[x[ok], y[ok]])
+        i, j = np.concatenate(i), np.concatenate(j)
+        return pa.table({"pa": paths.take(pa.array(i)), "pb": paths.take(pa.array(j)), "sim": np.concatenate(sim)})
+
+    return run
+
+
+def similar_pairs(nodes: DataFrame, least: float, dims: int, block: int = 2048) -> DataFrame:
+    """(path_a, path_b, sim): all pairs of a scope with a cosine of at least `least`, path_a < path_b. Vectors that aren't usable have none.
+
+    Exact, so every two rows are compared, block against block in matrix products; each pair of blocks is a task of
+    bounded size and only similar pairs leave it. Meant for a scope (a project, a tier, a type); over everything, nearest
+    neighbours are the form that scales."""
+    from loam.functions.vector import usable_vector
+
+    rows = materialize(nodes.filter(usable_vector(F.col("embedding"), dims)).select("path", F.col("embedding").cast("array<double>").alias("v")))
+    blocks = max(1, -(-rows.count() // block))
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int"))
+    each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    each = each.select(F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "path", "v")
+    found = each.groupBy("p", "q").applyInArrow(_block_pairs(least), "pa string, pb string, sim double")
+    return found.select(F.least("pa", "pb").alias("path_a"), F.greatest("pa", "pb").alias("path_b"), F.round("sim", 9).alias("sim")).filter(F.col("sim") >= least)
 
 
 def unlinked(pairs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:

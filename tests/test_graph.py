@@ -1,5 +1,4 @@
 import random
-from collections import defaultdict
 
 from loam.operators.components import connected_components
 from loam.operators.graph import degrees, distances, shortest_path, similar_pairs
@@ -55,6 +54,7 @@ def test_similar_pairs_match_brute_force(spark):
     s = u @ u.T
     for least in (0.9, 0.6, 0.1):
         want = {(f"/{i:02}", f"/{j:02}") for i in range(48) for j in range(i + 1, 48) if s[i, j] >= least}
-        got = similar_pairs(spark.createDataFrame(rows, "path string, embedding array<double>"), least, 16).collect()
-        assert {(r.path_a, r.path_b) for r in got} == want and len(got) == len(want)
-    assert defaultdict
+        for block in (2048, 20):
+            got = similar_pairs(spark.createDataFrame(rows, "path string, embedding array<double>"), least, 16, block).collect()
+            assert {(r.path_a, r.path_b) for r in got} == want and len(got) == len(want)
+    assert similar_pairs(spark.createDataFrame(rows[-3:], "path string, embedding array<double>"), 0.1, 16).count() == 0
