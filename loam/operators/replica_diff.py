@@ -111,8 +111,8 @@ def estimate_differences(elements: DataFrame) -> int:
     return count
 
 
-def differing_keys(local: DataFrame, remote: DataFrame, key: str, fields: Sequence[str], order: str | None = None) -> DataFrame:
-    """Table of (key: hash of a differing key, bucket), or key null where a whole bucket has to be compared. Materialized, with `buckets` rows' number in its name."""
+def differing_keys(local: DataFrame, remote: DataFrame, key: str, fields: Sequence[str], order: str | None = None) -> tuple[DataFrame, int]:
+    """Table of (key: hash of a differing key, bucket), with a null key where a whole bucket has to be compared; and the number of buckets."""
     hashed = [key, *dict.fromkeys([*fields, *([order] if order else [])])]
 
     def side(df: DataFrame, sign: int) -> DataFrame:
@@ -122,8 +122,7 @@ def differing_keys(local: DataFrame, remote: DataFrame, key: str, fields: Sequen
     buckets = max(1, math.ceil(MARGIN * estimate_differences(elements) / PLANNED))
     cells = _cells(elements, F.pmod(F.xxhash64("key", F.lit(11)), F.lit(buckets)), CELLS)
     cells = cells.filter(" or ".join(f"{c} != 0" for c in SUMS))
-    found = materialize(cells.groupBy("grp").applyInPandas(_peel_bucket, "key long, bucket long"))
-    return found.withColumn("buckets", F.lit(buckets))
+    return materialize(cells.groupBy("grp").applyInPandas(_peel_bucket, "key long, bucket long")), buckets
 
 
 def replica_diff(local: DataFrame, remote: DataFrame, key: str, fields: Sequence[str], order: str | None = None) -> DataFrame:
@@ -133,24 +132,19 @@ def replica_diff(local: DataFrame, remote: DataFrame, key: str, fields: Sequence
     of a key, the one with the latest `order` counts (null is the earliest; among equal ones the greatest values of
     `fields`, in their order). Other columns of either side, also clashing ones, are ignored. Empty sides are allowed."""
     fields = list(fields)
-    found = differing_keys(local, remote, key, fields, order)
-    buckets = found.schema["buckets"] and found.select("buckets").limit(1).collect()
-    if not buckets:
-        return local.select(F.col(f"`{key}`"), F.lit("").alias("diff")).limit(0)
-    keys = found.filter("key is not null").select("key")
-    failed = found.filter("key is null").select("bucket")
+    found, buckets = differing_keys(local, remote, key, fields, order)
+    keys = found.filter("key is not null").select(F.col("key").alias("_key"))
+    failed = found.filter("key is null").select(F.col("bucket").alias("_bucket"))
     n_failed = failed.count()
     n_keys = keys.count()
 
     def fetched(df: DataFrame, side: str) -> DataFrame:
         kept = list(dict.fromkeys([key, *fields, *([order] if order else [])]))
-        rows = df.select(*[F.col(f"`{c}`") for c in kept]).withColumn("key", null_safe_hash([key])) if key != "key" else None
-        if rows is None:
-            raise ValueError("the key column may not be named key")
-        parts = semi_join(rows, keys, "key", n_keys, BROADCAST_ROWS)
+        rows = df.select(*[F.col(f"`{c}`") for c in kept], null_safe_hash([key]).alias("_key"))
+        parts = semi_join(rows, keys, "_key", n_keys, BROADCAST_ROWS)
         if n_failed:
-            by_bucket = rows.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(11)), F.lit(buckets[0][0])))
-            parts = parts.unionByName(semi_join(by_bucket, failed, "bucket", n_failed, BROADCAST_ROWS).drop("bucket"))
+            by_bucket = rows.withColumn("_bucket", F.pmod(F.xxhash64("_key", F.lit(11)), F.lit(buckets)))
+            parts = parts.unionByName(semi_join(by_bucket, failed, "_bucket", n_failed, BROADCAST_ROWS).drop("_bucket"))
         state = F.struct(*[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate([*([order] if order else []), *fields])])
         return parts.select(F.col(f"`{key}`").alias("k"), F.lit(side).alias("side"), state.alias("state"))
 

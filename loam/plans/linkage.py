@@ -333,7 +333,7 @@ def _(s, d):
     return stats.tail_bytes(read_table(s, d, "events").select("event_id", "props"), "event_id", "props", 20000)
 
 
-@R.add("segment_attribution", "SELECT conv, prompt_no, string_agg(event_type, ' ' ORDER BY event_id) FILTER (role = 'assistant') AS reply FROM (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv ORDER BY event_id) AS prompt_no FROM (SELECT user_id AS conv, event_id, event_type, CASE WHEN event_type = 'purchase' THEN 'user' ELSE 'assistant' END AS role FROM events)) WHERE prompt_no > 0 GROUP BY 1, 2")
+@R.add("segment_attribution", "SELECT conv, CAST(prompt_no AS BIGINT) AS prompt_no, string_agg(event_type, ' ' ORDER BY event_id) FILTER (role = 'assistant') AS reply FROM (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv ORDER BY event_id) AS prompt_no FROM (SELECT user_id AS conv, event_id, event_type, CASE WHEN event_type = 'purchase' THEN 'user' ELSE 'assistant' END AS role FROM events)) WHERE prompt_no > 0 GROUP BY 1, prompt_no")
 def _(s, d):
     e = read_table(s, d, "events").select(F.col("user_id").alias("conv"), F.col("event_id").alias("turn"), F.when(F.col("event_type") == "purchase", "user").otherwise("assistant").alias("role"), F.col("event_type").alias("text"))
     return stats.attribute_replies(e).select("conv", "prompt_no", F.nullif("reply", F.lit("")).alias("reply"))

@@ -1,7 +1,6 @@
 from datetime import datetime
 
 import pandas as pd
-import xxhash  # noqa: F401
 from pyspark.sql import functions as F
 
 from loam.operators.replica_diff import CELLS, SUMS, cell_positions, element_hash, peel, replica_diff
@@ -73,3 +72,18 @@ def test_many_differences_are_exact(spark):
     a, b = {r[0]: r for r in left}, {r[0]: r for r in right}
     want = [(k, "only_local") for k in a.keys() - b.keys()] + [(k, "only_remote") for k in b.keys() - a.keys()] + [(k, "body") for k in a.keys() & b.keys() if a[k][3] != b[k][3]]
     assert diff(spark, left, right) == sorted(want)
+
+
+def test_key_and_fields_of_any_name(spark):
+    a = spark.createDataFrame([("x", 1, "l"), ("y", 2, "l")], "key string, row int, side string")
+    b = spark.createDataFrame([("x", 1, "r"), ("z", 2, "l")], "key string, row int, bucket string")
+    assert sorted(map(tuple, replica_diff(a, b, "key", ["row"]).collect())) == [("y", "only_local"), ("z", "only_remote")]
+
+
+def test_a_bucket_that_cannot_be_peeled_is_compared_directly(spark, monkeypatch):
+    from loam.operators import replica_diff as module
+
+    monkeypatch.setattr(module, "estimate_differences", lambda elements: 1)
+    left = [(f"/{i}", T[0], None, "x") for i in range(900)]
+    right = [(f"/{i}", T[0], None, "x" if i % 3 else "y") for i in range(900)]
+    assert diff(spark, left, right) == sorted((f"/{i}", "body") for i in range(0, 900, 3))
