@@ -135,10 +135,14 @@ def _cand_sql() -> str:
     return f"(SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT a, b FROM {_RANKED} WHERE rank <= 15 UNION ALL SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) AS r FROM (SELECT x.path AS a, y.path AS b, round(sum(x.w * x.w), 9) AS weight FROM {_VECTORS} x JOIN {_VECTORS} y ON x.term = y.term AND x.path <> y.path WHERE x.df <= 80 AND y.df <= 80 GROUP BY 1, 2)) WHERE r <= 10))"
 
 
-def _pairs(s, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _mentioned(s, d) -> DataFrame:
+    return materialize(linking.mentions(scope(s, d)))
+
+
+def _pairs(s, d, mentioned: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     ranked, vectors = _ranked(s, d), materialize(linking.idf_vectors(scope(s, d)))
     named = materialize(graph.named_links(shown(s, d), links(s, d)))
-    pairs = materialize(linking.canonical(ranked.filter("rank <= 15").select("a", "b"), linking.rare_term_pairs(vectors).select("a", "b")))
+    pairs = materialize(linking.candidates(ranked, vectors, named, _mentioned(s, d) if mentioned is None else mentioned))
     return pairs, ranked, vectors, named
 
 
@@ -168,8 +172,9 @@ def _(s, d):
 
 
 def _scored(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pairs, ranked, vectors, named = _pairs(s, d)
-    return linking.score(linking.features(pairs, ranked, vectors, named), _none(s, "path", "mentioned")), named, vectors
+    mentioned = _mentioned(s, d)
+    pairs, ranked, vectors, named = _pairs(s, d, mentioned)
+    return linking.score(linking.features(pairs, ranked, vectors, named), mentioned), named, vectors
 
 
 @R.add("link_confidence", f"SELECT a, b, confidence FROM {_SCORED}")
