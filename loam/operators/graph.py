@@ -111,7 +111,7 @@ def similar_pairs(nodes: DataFrame, least: float, dims: int, block: int = 2048)
     neighbours are the form that scales."""
     from loam.functions.vector import usable_vector
 
-    rows = materialize(nodes.filter(usable_vector(F.col("embedding"), dims)).select("path", F.col("embedding").cast("array<double>").alias("v")))
+    rows = materialize(nodes.filter(usable_vector(F.col("embedding"), dims)).select("path", F.col("embedding").alias("v")))  # not widened: each row travels to every block
     blocks = max(1, -(-rows.count() // block))
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int"))
     each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

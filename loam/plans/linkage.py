@@ -12,15 +12,11 @@ from loam.plans.common import DIMS, DOC, LINKS, LIVE, NOW, QUERY_TYPE, SHOWN, SL
 from loam.session import materialize, read_table
 
 R = Registry()
-#: Similarity of the pairs that links are inferred from here, and the scope they are sought in.
+#: Similarity of the pairs that links are inferred from here. The queries cover all of shown(); their SQL only one type (_SCOPE).
 LEAST = 0.75
 _SCOPE = f"(SELECT * FROM {SHOWN} WHERE type = '{QUERY_TYPE}')"
 
 
-def scope(s: SparkSession, d: str) -> DataFrame:
-    return shown(s, d).filter(F.col("type") == QUERY_TYPE)
-
-
 _NAMED = f"(SELECT a.path AS from_path, b.path AS to_path, l.rel_type, l.link_origin, l.confidence FROM {LINKS} l JOIN {SHOWN} a ON a.id = l.from_id JOIN {SHOWN} b ON b.id = l.to_id)"
 _SUB = f"(SELECT l.* FROM {LINKS} l WHERE l.from_id IN (SELECT id FROM {SHOWN}) AND l.to_id IN (SELECT id FROM {SHOWN}))"
 
@@ -77,7 +73,7 @@ def _(s, d):
 
 @R.add("all_pairs_cosine", f"SELECT * FROM (SELECT a.path AS path_a, b.path AS path_b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sim FROM {_SCOPE} a JOIN {_SCOPE} b ON a.path < b.path WHERE {usable('a.embedding')} AND {usable('b.embedding')}) WHERE sim >= {LEAST}")
 def _(s, d):
-    return graph.similar_pairs(scope(s, d), LEAST, DIMS)
+    return graph.similar_pairs(shown(s, d), LEAST, DIMS)
 
 
 _PAIRS = f"(SELECT * FROM (SELECT a.path AS path_a, b.path AS path_b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sim FROM {_SCOPE} a JOIN {_SCOPE} b ON a.path < b.path WHERE {usable('a.embedding')} AND {usable('b.embedding')}) WHERE sim >= 0.1)"
@@ -85,12 +81,12 @@ _RANKED = f"(SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) A
 
 
 def _ranked(s, d) -> DataFrame:
-    return materialize(linking.ranked_neighbours(graph.similar_pairs(scope(s, d), 0.1, DIMS)))
+    return materialize(linking.ranked_neighbours(graph.similar_pairs(shown(s, d), 0.1, DIMS)))
 
 
 @R.add("infer_links", f"SELECT p.* FROM (SELECT * FROM {_PAIRS} WHERE sim >= {LEAST}) p WHERE NOT EXISTS (SELECT 1 FROM {_NAMED} n WHERE least(n.from_path, n.to_path) = p.path_a AND greatest(n.from_path, n.to_path) = p.path_b)")
 def _(s, d):
-    return graph.unlinked(graph.similar_pairs(scope(s, d), LEAST, DIMS), shown(s, d), links(s, d))
+    return graph.unlinked(graph.similar_pairs(shown(s, d), LEAST, DIMS), shown(s, d), links(s, d))
 
 
 @R.add("knn_self_join", f"SELECT a, b, rank FROM {_RANKED} WHERE rank <= 15")
@@ -105,7 +101,7 @@ def _(s, d):
 
 @R.add("shared_rank", f"SELECT a, b, rank() OVER (PARTITION BY a ORDER BY sim DESC) AS rank FROM (SELECT path_a AS a, path_b AS b, sim FROM {_PAIRS} UNION ALL SELECT path_b, path_a, sim FROM {_PAIRS})")
 def _(s, d):
-    return linking.shared_rank(graph.similar_pairs(scope(s, d), 0.1, DIMS)).select("a", "b", F.col("rank").cast("long").alias("rank"))
+    return linking.shared_rank(graph.similar_pairs(shown(s, d), 0.1, DIMS)).select("a", "b", F.col("rank").cast("long").alias("rank"))
 
 
 _VECTORS = f"(SELECT p.path, p.term, df, ln(((SELECT count(*) FROM {_SCOPE}) + 1.0) / (df + 0.5)) AS w FROM (SELECT path, unnest(list_distinct({terms(DOC)})) AS term FROM {_SCOPE}) p JOIN (SELECT term, count(*) AS df FROM (SELECT path, unnest(list_distinct({terms(DOC)})) AS term FROM {_SCOPE}) GROUP BY term) f ON f.term = p.term)"
@@ -113,7 +109,7 @@ _VECTORS = f"(SELECT p.path, p.term, df, ln(((SELECT count(*) FROM {_SCOPE}) + 1
 
 @R.add("postings_join", f"SELECT a, b, weight FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) AS r FROM (SELECT x.path AS a, y.path AS b, round(sum(x.w * x.w), 9) AS weight FROM {_VECTORS} x JOIN {_VECTORS} y ON x.term = y.term AND x.path <> y.path WHERE x.df <= 80 AND y.df <= 80 GROUP BY 1, 2)) WHERE r <= 10")
 def _(s, d):
-    return linking.rare_term_pairs(linking.idf_vectors(scope(s, d)))
+    return linking.rare_term_pairs(linking.idf_vectors(shown(s, d)))
 
 
 _SCOPED = f"(SELECT from_path, to_path, rel_type, link_origin, confidence FROM {_NAMED})"
@@ -136,11 +132,11 @@ def _cand_sql() -> str:
 
 
 def _mentioned(s, d) -> DataFrame:
-    return materialize(linking.mentions(scope(s, d)))
+    return materialize(linking.mentions(shown(s, d)))
 
 
 def _pairs(s, d, mentioned: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    ranked, vectors = _ranked(s, d), materialize(linking.idf_vectors(scope(s, d)))
+    ranked, vectors = _ranked(s, d), materialize(linking.idf_vectors(shown(s, d)))
     named = materialize(graph.named_links(shown(s, d), links(s, d)))
     pairs = materialize(linking.candidates(ranked, vectors, named, _mentioned(s, d) if mentioned is None else mentioned))
     return pairs, ranked, vectors, named
@@ -199,7 +195,7 @@ def _(s, d):
 @R.add("project_spine")
 def _(s, d):
     scored, named, _v = _scored(s, d)
-    member = scope(s, d).select("path", ps.project_slug(F.col("path")).alias("project")).filter("project is not null")
+    member = shown(s, d).select("path", ps.project_slug(F.col("path")).alias("project")).filter("project is not null")
     with_project = lambda df, a, b: df.withColumn("project", ps.project_slug(F.col(a))).filter(F.col("project") == ps.project_slug(F.col(b)))
     existing = with_project(named.select(F.col("from_path").alias("a"), F.col("to_path").alias("b")), "a", "b")
     return linking.spine(with_project(scored.select("a", "b", "confidence"), "a", "b"), member, existing)
@@ -208,12 +204,12 @@ def _(s, d):
 @R.add("duplicate_keep", f"""SELECT CASE WHEN x.k >= y.k THEN p.path_a ELSE p.path_b END AS keep, CASE WHEN x.k >= y.k THEN p.path_b ELSE p.path_a END AS drop, sim FROM (SELECT * FROM {_PAIRS} WHERE sim >= 0.85) p
 JOIN (SELECT path, row(coalesce(CAST(importance AS DOUBLE), 0.0), coalesce(access_count, 0), updated_at) AS k FROM memory_nodes) x ON x.path = p.path_a JOIN (SELECT path, row(coalesce(CAST(importance AS DOUBLE), 0.0), coalesce(access_count, 0), updated_at) AS k FROM memory_nodes) y ON y.path = p.path_b""")
 def _(s, d):
-    return consolidate.duplicates(scope(s, d), 0.85, DIMS)
+    return consolidate.duplicates(shown(s, d), 0.85, DIMS)
 
 
 @R.add("consolidation_queue")
 def _(s, d):
-    found = consolidate.proposals(scope(s, d), NOW, 0.85, DIMS)
+    found = consolidate.proposals(shown(s, d), NOW, 0.85, DIMS)
     return consolidate.enqueue(found, _none(s, "fingerprint")).withColumn("paths", F.array_join("paths", ","))
 
 

@@ -25,3 +25,10 @@ def test_candidates_of_all_generators(spark, tables):
     assert {(r.a[-1], r.b[-1]) for r in QUERIES["link_candidates"](spark, d).collect()} == pairs
     assert {(r.a[-1], r.b[-1]): r.confidence for r in QUERIES["link_confidence"](spark, d).collect()}["e", "f"] == 0.95
     assert {(r.a[-1], r.b[-1]): r.action for r in QUERIES["link_routing"](spark, d).collect()} == {("g", "h"): "rescore", ("e", "f"): "link"}
+
+
+def test_similar_nodes_of_any_type(spark, tables):
+    v = [1.0] * 384
+    d = tables([{"id": "1", "path": "/notes/a", "type": "note", "title": "quartz lattice", "embedding": v}, {"id": "2", "path": "/user/b", "type": "user", "title": "quartz lattice", "embedding": v}])
+    for name in ("all_pairs_cosine", "infer_links", "link_candidates", "duplicate_keep", "knn_self_join", "postings_join"):
+        assert QUERIES[name](spark, d).count() == (2 if name in ("knn_self_join", "postings_join") else 1), name
