@@ -2,6 +2,7 @@
 
 import pytest
 
+from loam.operators import linking
 from loam.plans.linkage import QUERIES
 
 NODE = "id string, path string, type string, title string, body string, origin string, importance float, access_count int, pin_triggers array<string>, embedding array<float>, valid_until timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz, deleted_at timestamp_ntz"
@@ -32,3 +33,12 @@ def test_similar_nodes_of_any_type(spark, tables):
     d = tables([{"id": "1", "path": "/notes/a", "type": "note", "title": "quartz lattice", "embedding": v}, {"id": "2", "path": "/user/b", "type": "user", "title": "quartz lattice", "embedding": v}])
     for name in ("all_pairs_cosine", "infer_links", "link_candidates", "duplicate_keep", "knn_self_join", "postings_join"):
         assert QUERIES[name](spark, d).count() == (2 if name in ("knn_self_join", "postings_join") else 1), name
+
+
+@pytest.mark.parametrize("block", [200, 7])
+def test_two_hops_over_a_hub(spark, block):
+    n = 230
+    edges = [("hub", f"n{i:03}") for i in range(n)] + [("n000", "x"), ("x", "n000")]
+    got = linking.two_hop(spark.createDataFrame(edges, "from_path string, to_path string"), block).collect()
+    want = {(f"n{i:03}", f"n{j:03}") for i in range(n) for j in range(i + 1, n)} | {("hub", "x")}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
