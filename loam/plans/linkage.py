@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import paths as ps
-from loam.operators import consolidate, graph, journal, linking, mutate, stats
+from loam.operators import consolidate, graph, journal, linking, mutate, neighbours, stats
 from loam.operators.retrieval import vector_arm
 from loam.plans.common import DIMS, DOC, LINKS, LIVE, NOW, QUERY_TYPE, SHOWN, SLUG, T, Registry, links, nodes, shown, terms, usable
 from loam.session import materialize, read_table
@@ -81,7 +81,7 @@ _RANKED = f"(SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) A
 
 
 def _ranked(s, d) -> DataFrame:
-    return materialize(linking.ranked_neighbours(graph.similar_pairs(shown(s, d), 0.1, DIMS)))
+    return materialize(neighbours.nearest(shown(s, d), linking.K_SEMANTIC, DIMS))
 
 
 @R.add("infer_links", f"SELECT p.* FROM (SELECT * FROM {_PAIRS} WHERE sim >= {LEAST}) p WHERE NOT EXISTS (SELECT 1 FROM {_NAMED} n WHERE least(n.from_path, n.to_path) = p.path_a AND greatest(n.from_path, n.to_path) = p.path_b)")
@@ -101,7 +101,7 @@ def _(s, d):
 
 @R.add("shared_rank", f"SELECT a, b, rank() OVER (PARTITION BY a ORDER BY sim DESC) AS rank FROM (SELECT path_a AS a, path_b AS b, sim FROM {_PAIRS} UNION ALL SELECT path_b, path_a, sim FROM {_PAIRS})")
 def _(s, d):
-    return linking.shared_rank(graph.similar_pairs(shown(s, d), 0.1, DIMS)).select("a", "b", F.col("rank").cast("long").alias("rank"))
+    return linking.shared_rank(graph.similar_pairs(shown(s, d), -1.0, DIMS)).select("a", "b", F.col("rank").cast("long").alias("rank"))
 
 
 _VECTORS = f"(SELECT p.path, p.term, df, ln(((SELECT count(*) FROM {_SCOPE}) + 1.0) / (df + 0.5)) AS w FROM (SELECT path, unnest(list_distinct({terms(DOC)})) AS term FROM {_SCOPE}) p JOIN (SELECT term, count(*) AS df FROM (SELECT path, unnest(list_distinct({terms(DOC)})) AS term FROM {_SCOPE}) GROUP BY term) f ON f.term = p.term)"
@@ -164,13 +164,17 @@ def _(s, d):
 
 @R.add("link_features", f"SELECT a, b, semantic, mutual_rank, terms, project, folder, neighbours FROM {_FEATURES}")
 def _(s, d):
-    return linking.features(*_pairs(s, d)).drop("sim")
+    return _featured(s, d, *_pairs(s, d)).drop("sim")
+
+
+def _featured(s, d, pairs: DataFrame, ranked: DataFrame, vectors: DataFrame, named: DataFrame) -> DataFrame:
+    return linking.features(pairs, ranked, vectors, named, materialize(neighbours.ranks(shown(s, d), pairs, DIMS)))
 
 
 def _scored(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     mentioned = _mentioned(s, d)
     pairs, ranked, vectors, named = _pairs(s, d, mentioned)
-    return linking.score(linking.features(pairs, ranked, vectors, named), mentioned), named, vectors
+    return linking.score(_featured(s, d, pairs, ranked, vectors, named), mentioned), named, vectors
 
 
 @R.add("link_confidence", f"SELECT a, b, confidence FROM {_SCORED}")

@@ -42,3 +42,10 @@ def test_two_hops_over_a_hub(spark, block):
     got = linking.two_hop(spark.createDataFrame(edges, "from_path string, to_path string"), block).collect()
     want = {(f"n{i:03}", f"n{j:03}") for i in range(n) for j in range(i + 1, n)} | {("hub", "x")}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_neighbours_have_no_floor(spark, tables):
+    d = tables([{"id": "1", "path": "/feedback/a", "embedding": [1.0] * 384}, {"id": "2", "path": "/feedback/b", "embedding": [-1.0] * 383 + [-0.5]}])
+    assert {(r.a[-1], r.b[-1], r["rank"]) for r in QUERIES["knn_self_join"](spark, d).collect()} == {("a", "b", 1), ("b", "a", 1)}
+    assert QUERIES["shared_rank"](spark, d).count() == 2 and QUERIES["csls_hub"](spark, d).first().hub < -0.9
+    assert QUERIES["link_features"](spark, d).first().mutual_rank == 1.0
