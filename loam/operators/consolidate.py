@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as tx
 from loam.operators.graph import similar_pairs
-from loam.visibility import moment
+from loam.visibility import content, moment
 
 
 def fingerprint(kind: Column, paths: Column, extra: Column) -> Column:
@@ -41,12 +41,12 @@ def dated(nodes: DataFrame, zone: str = "Europe/Berlin") -> DataFrame:
     return rows.filter(F.size("dates") > 0).select("path", "dates")
 
 
-def proposals(nodes: DataFrame, now: str, least: float, dims: int) -> DataFrame:
-    """(kind, paths, extra, fingerprint) of all detectors."""
+def proposals(nodes: DataFrame, comparable: DataFrame, now: str, least: float, dims: int) -> DataFrame:
+    """(kind, paths, extra, fingerprint) of all detectors. nodes: live ones, expired too; comparable: those sought for duplicates."""
     parts = [
-        duplicates(nodes, least, dims).select(F.lit("duplicate").alias("kind"), F.array("keep", "drop").alias("paths"), F.lit("").alias("extra")),
+        duplicates(comparable, least, dims).select(F.lit("duplicate").alias("kind"), F.array("keep", "drop").alias("paths"), F.lit("").alias("extra")),
         expired(nodes, now).select(F.lit("expired").alias("kind"), F.array("path").alias("paths"), F.date_format("valid_until", "yyyy-MM-dd").alias("extra")),
-        stale(nodes, now).select(F.lit("stale").alias("kind"), F.array("path").alias("paths"), F.date_format("updated_at", "yyyy-MM-dd").alias("extra")),
+        stale(nodes.filter(content()), now).select(F.lit("stale").alias("kind"), F.array("path").alias("paths"), F.date_format("updated_at", "yyyy-MM-dd").alias("extra")),
         dated(nodes).select(F.lit("relative_dates").alias("kind"), F.array("path").alias("paths"), F.array_join("dates", ",").alias("extra")),
     ]
     out = parts[0]

@@ -10,6 +10,7 @@ from loam.operators import consolidate, graph, journal, linking, mutate, neighbo
 from loam.operators.retrieval import vector_arm
 from loam.plans.common import DIMS, DOC, LINKS, LIVE, NOW, QUERY_TYPE, SHOWN, SLUG, T, Registry, links, nodes, shown, terms, usable
 from loam.session import materialize, read_table
+from loam.visibility import visible
 
 R = Registry()
 #: Similarity of the pairs that links are inferred from here. The queries cover all of shown(); their SQL only one type (_SCOPE).
@@ -213,7 +214,7 @@ def _(s, d):
 
 @R.add("consolidation_queue")
 def _(s, d):
-    found = consolidate.proposals(shown(s, d), NOW, 0.85, DIMS)
+    found = consolidate.proposals(nodes(s, d).filter(visible(NOW, include_expired=True)), shown(s, d), NOW, 0.85, DIMS)
     return consolidate.enqueue(found, _none(s, "fingerprint")).withColumn("paths", F.array_join("paths", ","))
 
 

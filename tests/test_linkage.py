@@ -1,5 +1,7 @@
 """The link queries over small tables."""
 
+from datetime import datetime
+
 import pytest
 
 from loam.operators import linking
@@ -49,3 +51,15 @@ def test_neighbours_have_no_floor(spark, tables):
     assert {(r.a[-1], r.b[-1], r["rank"]) for r in QUERIES["knn_self_join"](spark, d).collect()} == {("a", "b", 1), ("b", "a", 1)}
     assert QUERIES["shared_rank"](spark, d).count() == 2 and QUERIES["csls_hub"](spark, d).first().hub < -0.9
     assert QUERIES["link_features"](spark, d).first().mutual_rank == 1.0
+
+
+def test_proposals_of_all_live_nodes(spark, tables):
+    old, day = datetime(2020, 1, 1), datetime(2026, 11, 5, 12)
+    d = tables([
+        {"id": "1", "path": "/notes/expired", "type": "note", "valid_until": old, "created_at": old, "updated_at": day},
+        {"id": "2", "path": "/user/stale", "type": "user", "importance": 0.1, "created_at": old, "updated_at": datetime(2020, 1, 5)},
+        {"id": "3", "path": "/references/dated", "type": "reference", "body": "Seen yesterday.", "created_at": day, "updated_at": day},
+        {"id": "4", "path": "/notes/gone", "type": "note", "valid_until": old, "deleted_at": day, "updated_at": day},
+        {"id": "5", "path": "/notes", "type": "category", "importance": 0.1, "created_at": old, "updated_at": datetime(2020, 1, 5)},
+    ])
+    assert {(r.kind, r.paths) for r in QUERIES["consolidation_queue"](spark, d).collect()} == {("expired", "/notes/expired"), ("stale", "/user/stale"), ("relative_dates", "/references/dated")}
