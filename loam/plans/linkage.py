@@ -69,7 +69,7 @@ def _(s, d):
     n, l = shown(s, d), links(s, d)  # noqa: E741
     start = graph.degrees(n, graph.subgraph(n, l)).orderBy(F.desc("degree"), "path").first()
     e = graph.named_links(n, l).select(F.col("from_path").alias("src"), F.col("to_path").alias("dst"))
-    return graph.distances(e, start["path"] if start else "", 4).select("node", "hops")
+    return graph.distances(e, start["path"] if start else "").select("node", "hops")
 
 
 @R.add("all_pairs_cosine", f"SELECT * FROM (SELECT a.path AS path_a, b.path AS path_b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sim FROM {_SCOPE} a JOIN {_SCOPE} b ON a.path < b.path WHERE {usable('a.embedding')} AND {usable('b.embedding')}) WHERE sim >= {LEAST}")

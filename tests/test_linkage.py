@@ -63,3 +63,9 @@ def test_proposals_of_all_live_nodes(spark, tables):
         {"id": "5", "path": "/notes", "type": "category", "importance": 0.1, "created_at": old, "updated_at": datetime(2020, 1, 5)},
     ])
     assert {(r.kind, r.paths) for r in QUERIES["consolidation_queue"](spark, d).collect()} == {("expired", "/notes/expired"), ("stale", "/user/stale"), ("relative_dates", "/references/dated")}
+
+
+def test_distances_to_six_hops(spark, tables):
+    ends = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "g"), ("g", "h"), ("a", "x"), ("a", "y")]
+    d = tables([{"id": x, "path": f"/feedback/{x}"} for x in "abcdefghxy"], [(a, b, "explicit", None) for a, b in ends])
+    assert {r.node[-1]: r.hops for r in QUERIES["bfs_distance"](spark, d).collect()} == {x: i for i, x in enumerate("abcdefg")} | {"x": 1, "y": 1}
