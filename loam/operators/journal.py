@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.session import lookup_join, materialize
 from loam.visibility import moment
 
 
@@ -38,7 +39,7 @@ def active_tasks(projects: DataFrame, milestones: DataFrame, tasks: DataFrame) -
     p = current(projects).filter("not coalesce(archived, false)").select(F.col("id").alias("project_id"), F.col("name").alias("project"))
     m = current(milestones).select(F.col("id").alias("milestone_id"), "project_id", F.col("title").alias("milestone"))
     t = current(tasks).filter("not coalesce(completed, false)").select(F.col("id").alias("task_id"), "milestone_id", F.col("title").alias("task"))
-    return t.join(m, "milestone_id").join(F.broadcast(p.limit(100_000)), "project_id").select("project", "milestone", "task_id", "task")
+    return lookup_join(t.join(m, "milestone_id"), materialize(p), "project_id").select("project", "milestone", "task_id", "task")
 
 
 def filter_logs(projects: DataFrame, logs: DataFrame, project: str | None = None, level: str | None = None, worker: str | None = None, limit: int = 50) -> DataFrame:

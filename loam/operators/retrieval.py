@@ -1,11 +1,12 @@
 """Search: a lexical and a vector arm, rank fusion, re-ranking, and what is shown beside the hits.
 
 Queries come as a table (query, text, vector), so one search or a million are the same plan. Terms meet the postings in an
-equi-join; vectors are compared in blocks against the held query vectors, whose number is bounded."""
+equi-join; vectors are compared in blocks against the held query vectors, in parts of a bounded number."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,12 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as tx
 from loam.functions.vector import cosine
+from loam.session import materialize
 from loam.visibility import days_since, importance
 
 #: Constant of the rank fusion.
 RRF_K = 60
-#: Vectors that one search may hold.
+#: Queries that one part of a search may hold.
 MOST_VECTORS = 20_000
 
 
@@ -66,10 +68,20 @@ def _vector_scan(ids: list, matrix: np.ndarray, k: int):
 
 
 def vector_arm(nodes: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
-    """(query, path, sim): the nodes most similar to each query vector. Vectors of another length, or that aren't finite or all zero, take no part on either side."""
-    held = queries.select(F.col("query").cast("string"), "vector").filter("vector is not null").limit(MOST_VECTORS + 1).collect()
-    if len(held) > MOST_VECTORS:
-        raise ValueError(f"more than {MOST_VECTORS} query vectors; search in parts")
+    """(query, path, sim): the nodes most similar to each query vector. Vectors of another length, or that aren't finite or all zero, take no part on either side.
+
+    More than MOST_VECTORS queries are searched in parts, each written before the next."""
+    q = queries.select(F.col("query").cast("string"), "vector").filter("vector is not null")
+    held = q.limit(MOST_VECTORS + 1).collect()
+    if len(held) <= MOST_VECTORS:
+        return _vector_part(nodes, held, k)
+    q = materialize(q)
+    parts = -(-q.count() // MOST_VECTORS)
+    part = F.pmod(F.xxhash64("query"), F.lit(parts))
+    return reduce(DataFrame.unionByName, [materialize(_vector_part(nodes, q.filter(part == i).collect(), k)) for i in range(parts)])
+
+
+def _vector_part(nodes: DataFrame, held: list, k: int) -> DataFrame:
     by_dims: dict[int, list] = {}
     for r in held:
         v = np.array([np.nan if x is None else x for x in r["vector"]], np.float64)
@@ -120,9 +132,10 @@ def hybrid(nodes: DataFrame, queries: DataFrame, now: str, limit: int = 20, arm:
 
 def substring_arm(nodes: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
     """(query, path): the first k nodes by path whose title or body contains the query's text, in any case. The queries are few: those nothing else answers."""
-    q = queries.select(F.col("query").cast("string").alias("query"), F.lower("text").alias("_q")).filter("_q is not null and _q != ''").limit(MOST_VECTORS)
+    q = queries.select(F.col("query").cast("string").alias("query"), F.lower("text").alias("_q")).filter("_q is not null and _q != ''")
+    q = materialize(q)
     n = nodes.select("path", F.lower(F.coalesce("title", F.lit(""))).alias("_t"), F.lower(F.coalesce("body", F.lit(""))).alias("_b"))
-    hits = n.join(F.broadcast(q), F.col("_t").contains(F.col("_q")) | F.col("_b").contains(F.col("_q")))
+    hits = n.join(F.broadcast(q) if q.count() <= MOST_VECTORS else q, F.col("_t").contains(F.col("_q")) | F.col("_b").contains(F.col("_q")))
     return top(hits.select("query", "path"), ["query"], [F.col("path")], k)
 
 
