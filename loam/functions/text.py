@@ -81,22 +81,55 @@ def redact_url(url: Column) -> Column:
     return F.regexp_replace(url, r"://[^/@\s]+@", "://***@")
 
 
-# Relative days, German and English, with their distance.
-RELATIVE_DAYS = {"vorgestern": -2, "gestern": -1, "heute": 0, "morgen": 1, "übermorgen": 2, "yesterday": -1, "today": 0, "tomorrow": 1}
-CODE_SPAN = r"(?s)```.*?```|`[^`]*`"
+# Relative days, German and English, with their distance; those of the second line are also nouns and count in lower case only, and not before `früh`.
+RELATIVE_DAYS = {"vorgestern": -2, "gestern": -1, "yesterday": -1, "heute": 0, "today": 0, "tomorrow": 1}
+LOWER_CASE_DAYS = {"morgen": 1, "übermorgen": 2}
+CODE_SPAN = r"(?s)```.*?```|`[^`\n]*`"
+_DAY = r"(?:(?i:\b(?:" + "|".join(RELATIVE_DAYS) + r")\b)|(?<!\p{L})(?:" + "|".join(LOWER_CASE_DAYS) + r")\b(?!\s*früh))"
 
 
 def relative_dates(text: Column, day: Column) -> Column:
-    """Distinct (word, date) of the relative days outside code, as `word=date`, in alphabetical order; day is what `today` means."""
-    prose = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), CODE_SPAN, " ")
-    words = F.regexp_extract_all(prose, F.lit(r"(?U)\b(" + "|".join(sorted(RELATIVE_DAYS, key=len, reverse=True)) + r")\b"), F.lit(1))
-    offsets = F.create_map(*[F.lit(x) for kv in RELATIVE_DAYS.items() for x in kv])
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.concat(w, F.lit("="), F.date_add(day, offsets[w]).cast("string")))))
+    """Distinct (word, date) of the relative days outside code, as `word=date` with the word as it is written, in alphabetical order; day is what `today` means."""
+    prose = F.regexp_replace(F.coalesce(text, F.lit("")), CODE_SPAN, " ")
+    words = F.regexp_extract_all(prose, F.lit("(?U)" + _DAY), F.lit(0))
+    offsets = F.create_map(*[F.lit(x) for kv in (RELATIVE_DAYS | LOWER_CASE_DAYS).items() for x in kv])
+    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.concat(w, F.lit("="), F.date_add(day, offsets[F.lower(w)]).cast("string")))))
 
 
 def rewrite_relative_dates(text: Column, day: Column) -> Column:
     """Relative days outside code with their date in brackets."""
     out = F.coalesce(text, F.lit(""))
-    for word, off in RELATIVE_DAYS.items():  # a match is skipped where an odd number of backticks precedes it on its line or it lies in a fence
-        out = F.regexp_replace(out, F.lit(rf"(?iU)(?<![`\w])\b({word})\b(?!\s*\(\d{{4}}-)(?=(?:[^`]*`[^`]*`)*[^`]*$)"), F.concat(F.lit("$1 ("), F.date_add(day, off).cast("string"), F.lit(")")))
+    for word, off in (RELATIVE_DAYS | LOWER_CASE_DAYS).items():  # a match is skipped where an odd number of backticks precedes it on its line or it lies in a fence
+        kind, after = ("(?iU)", "") if word in RELATIVE_DAYS else ("(?U)", r"(?!\s*früh)")
+        out = F.regexp_replace(out, F.lit(rf"{kind}(?<![`\w])\b({word})\b{after}(?!\s*\(\d{{4}}-)(?=(?:[^`]*`[^`]*`)*[^`]*$)"), F.concat(F.lit("$1 ("), F.date_add(day, off).cast("string"), F.lit(")")))
     return out
+
+
+def headline(text: Column, words: list[str], most: int = 25, before: str = "«", after: str = "»") -> Column:
+    """The `most` words around the first hit, with the hits marked; the beginning of the text where there is none. A third of the words precede the hit."""
+    tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
+    hit = rf"(?iU)\b({'|'.join(rf'\Q{w}\E' for w in sorted(words, key=len, reverse=True))})\b" if words else "(?!)"
+    first = F.coalesce(F.array_min(F.filter(F.transform(tokens, lambda t, i: F.when(F.regexp_like(t, F.lit(hit)), i)), lambda i: i.isNotNull())), F.lit(0))
+    start = F.greatest(F.lit(0), F.least(first - most // 3, F.size(tokens) - most))
+    return highlight(F.array_join(F.slice(tokens, start + 1, most), " "), words, before, after)
+
+
+def title_of(text: Column, length: int = 120) -> Column:
+    """The first line that isn't blank, cut to `length` characters with three dots; empty for an empty text."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
+    line = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
+    return F.when(F.length(line) > length, F.concat(F.substring(line, 1, length - 3), F.lit("..."))).otherwise(line)
+
+
+def tag_list(text: Column, forced: list[str] = ()) -> Column:
+    """Tags of a comma-separated text, trimmed, then the forced ones; of tags that differ in case only the first stays."""
+    given = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
+    tags = F.concat(given, F.array(*[F.lit(t) for t in forced]).cast("array<string>"))
+    lower = F.transform(tags, lambda t: F.lower(t))
+    return F.filter(tags, lambda t, i: F.array_position(lower, F.lower(t)) == i + 1)
+
+
+def trivial_prompt(text: Column, least: int = 2) -> Column:
+    """Whether a prompt asks for nothing: a command without a space, or fewer than `least` terms."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    return (t.startswith("/") & ~F.contains(t, F.lit(" "))) | (F.size(lexemes(t)) < least)

@@ -39,4 +39,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == last:
             break
         last = state
+    else:
+        raise RuntimeError(f"components did not settle within {ROUNDS} rounds")
     return nodes.join(now.select(F.col("src").alias("node"), F.col("dst").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

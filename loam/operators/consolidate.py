@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as tx
-from loam.operators.graph import similar_pairs
+from loam.operators.neighbours import similar_pairs
 from loam.visibility import content, moment
 
 

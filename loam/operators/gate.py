@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.operators import logistic as logistic_fit
+from loam.session import materialize
+
 # The features in order, and the weights of the model that is used without a fitted one.
 FEATURES = ("sim", "lex", "sem_margin", "lex_margin", "sem_top", "lex_top", "both_top", "importance", "in_project")
 WEIGHTS = {"bias": -4.91, "sim": 4.14, "lex": 3.19, "sem_margin": 2.46, "lex_margin": 0.3, "sem_top": 1.68, "lex_top": 1.94, "both_top": 0.87, "importance": -0.29, "in_project": 2.19}
@@ -66,10 +70,15 @@ def learned_confidence(featured: DataFrame, model: GateModel = GateModel()) -> D
     return featured.withColumn("confidence", F.round(logistic(featured, model.weights, {f: f"f_{f}" for f in FEATURES}, 60.0), 9))
 
 
+def _ramp(x: Column) -> Column:
+    """x between 0 and 1; 0 for null, which greatest and least would skip."""
+    return F.when(x.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+
+
 def threshold_confidence(candidates: DataFrame, p: GateParams = GateParams()) -> DataFrame:
     """1 - (1 - lexical)(1 - semantic), the latter from sim by a ramp."""
     span = p.sim_full - p.sim_zero
-    sem = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("sim") - p.sim_zero) / span)), F.lit(0.0)) if span > 0 else F.lit(0.0)
+    sem = _ramp((F.col("sim") - p.sim_zero) / span) if span > 0 else F.lit(0.0)
     return candidates.withColumn("confidence", F.round(1.0 - (1.0 - F.col("lex_conf")) * (1.0 - sem), 9))
 
 
@@ -98,35 +107,55 @@ def never_used(feedback: DataFrame, least: int = 3, prefixes: tuple[str, ...] =
     return seen.filter((F.col("n") >= least) & ~F.col("u") & under).select("path")
 
 
-def evaluate(gold: DataFrame, hits: DataFrame) -> DataFrame:
-    """One row of metrics. gold: (query, expected, acceptable: arrays of paths); hits: (query, path).
+def evaluate(gold: DataFrame, hits: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    """Metrics in one row, or one for each setting. gold: (query, expected, acceptable: arrays of paths); hits: (query, path), and with settings (setting: one row each) their column `setting`.
 
     recall: positives with an expected hit. precision: hits that are expected or acceptable, 1 without any hit.
     false_positive_rate: negatives (nothing expected) with a hit that isn't acceptable. injection_rate: queries with any hit."""
-    shown = hits.groupBy("query").agg(F.collect_set("path").alias("paths"))
-    g = gold.select("query", F.coalesce("expected", F.array().cast("array<string>")).alias("e"), F.coalesce("acceptable", F.array().cast("array<string>")).alias("a")).join(shown, "query", "left")
-    g = g.withColumn("paths", F.coalesce("paths", F.array().cast("array<string>")))
+    by = [] if settings is None else ["setting"]
+    none = F.array().cast("array<string>")
+    shown = hits.groupBy(*by, "query").agg(F.collect_set("path").alias("paths"))
+    g = gold.select("query", F.coalesce("expected", none).alias("e"), F.coalesce("acceptable", none).alias("a"))
+    if settings is not None:  # few settings, each meets the whole gold set
+        g = g.join(F.broadcast(settings.select("setting")))
+    g = g.join(shown, [*by, "query"], "left").withColumn("paths", F.coalesce("paths", none))
     good = F.size(F.array_intersect("paths", F.array_union("e", "a")))
     positive = F.size("e") > 0
     wrong = F.size(F.array_except("paths", "a")) > 0
-    r = g.agg(F.count_if(positive).alias("p"), F.count_if(positive & F.arrays_overlap("paths", "e")).alias("found"), F.sum(F.size("paths")).alias("n"), F.sum(good).alias("good"), F.count_if(~positive).alias("neg"), F.count_if(~positive & wrong).alias("fp"), F.count_if(F.size("paths") > 0).alias("inj"), F.count(F.lit(1)).alias("all"))
+    r = g.groupBy(*by).agg(F.count_if(positive).alias("p"), F.count_if(positive & F.arrays_overlap("paths", "e")).alias("found"), F.sum(F.size("paths")).alias("n"), F.sum(good).alias("good"), F.count_if(~positive).alias("neg"), F.count_if(~positive & wrong).alias("fp"), F.count_if(F.size("paths") > 0).alias("inj"), F.count(F.lit(1)).alias("all"))
     part = lambda a, b, none: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(none), 9)
-    return r.select(part("found", "p", 0.0).alias("recall"), part("good", "n", 1.0).alias("precision"), part("fp", "neg", 0.0).alias("false_positive_rate"), part("inj", "all", 0.0).alias("injection_rate"))
+    return r.select(*by, part("found", "p", 0.0).alias("recall"), part("good", "n", 1.0).alias("precision"), part("fp", "neg", 0.0).alias("false_positive_rate"), part("inj", "all", 0.0).alias("injection_rate"))
+
+
+#: Thresholds of a frontier.
+FRONTIER = tuple(x / 20 for x in range(4, 20))
 
 
-def sweep(gold: DataFrame, scored: DataFrame, thresholds: list[float], p: GateParams = GateParams()) -> DataFrame:
-    """The metrics at each threshold, from candidates scored once."""
-    out = None
-    for t in thresholds:
-        row = evaluate(gold, select_hits(scored, t, p)).withColumn("threshold", F.lit(float(t)))
-        out = row if out is None else out.unionByName(row)
-    return out
+def sweep(gold: DataFrame, scored: DataFrame, thresholds: Sequence[float] = FRONTIER, p: GateParams = GateParams()) -> DataFrame:
+    """The metrics at each threshold, from candidates scored once. As hits are taken by confidence, a query's hits at a threshold are its first ones that reach it: one pass serves all thresholds."""
+    settings = scored.sparkSession.createDataFrame([(float(t),) for t in thresholds], "setting double")
+    hits = select_hits(scored, min(thresholds), p).join(F.broadcast(settings)).filter(F.col("confidence") >= F.col("setting"))
+    return evaluate(gold, hits, settings).withColumnRenamed("setting", "threshold")
+
+
+def grid(gold: DataFrame, candidates: DataFrame, settings: Sequence[GateParams]) -> DataFrame:
+    """The metrics of the threshold gate under each setting, with its values; all settings in one plan."""
+    columns = "setting int, max_hits int, min_confidence double, min_importance double, sim_zero double, sim_full double"
+    table = F.broadcast(candidates.sparkSession.createDataFrame([(i, p.max_hits, p.min_confidence, p.min_importance, p.sim_zero, p.sim_full) for i, p in enumerate(settings)], columns))
+    span = F.col("sim_full") - F.col("sim_zero")
+    ramp = F.when(span > 0, _ramp((F.col("sim") - F.col("sim_zero")) / span)).otherwise(0.0)
+    scored = candidates.join(table).withColumn("confidence", F.round(1.0 - (1.0 - F.col("lex_conf")) * (1.0 - ramp), 9))
+    order = Window.partitionBy("setting", "query").orderBy(F.desc("confidence"), F.desc("importance"), "path")
+    ok = scored.filter((F.col("confidence") >= F.col("min_confidence")) & (F.col("importance") >= F.col("min_importance")))
+    hits = ok.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= F.col("max_hits"))
+    return evaluate(gold, hits.select("setting", "query", "path"), table).join(table, "setting")
 
 
 def recommend(metrics: DataFrame, precision: float = 0.9) -> DataFrame:
     """The row of greatest recall among the precise ones, then precision, then fewest false positives, then strictness."""
     precise = metrics.withColumn("_ok", (F.col("precision") >= precision).cast("int"))
-    return precise.orderBy(F.desc("_ok"), F.desc("recall"), F.desc("precision"), "false_positive_rate", F.desc("threshold")).limit(1).drop("_ok")
+    strict = "threshold" if "threshold" in metrics.columns else "min_confidence"
+    return precise.orderBy(F.desc("_ok"), F.desc("recall"), F.desc("precision"), "false_positive_rate", F.desc(strict)).limit(1).drop("_ok")
 
 
 def folds(df: DataFrame, key: str, k: int) -> DataFrame:
@@ -134,13 +163,46 @@ def folds(df: DataFrame, key: str, k: int) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.row_number().over(Window.orderBy(key)) - 1, F.lit(k)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 3000, rate: float = 1.0) -> tuple[np.ndarray, float]:
-    """L2 logistic regression by gradient descent on a gold set that fits the driver; weights and bias on the features as given."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = (x - mean) / scale
-    w, b = np.zeros(z.shape[1]), 0.0
-    for _ in range(steps):
-        error = 1 / (1 + np.exp(-np.clip(z @ w + b, -60, 60))) - y
-        w -= rate * (z.T @ error + l2 * w) / len(y)
-        b -= rate * error.mean()
-    return w / scale, float(b - (w * mean / scale).sum())
+def labelled(gold: DataFrame, featured: DataFrame) -> DataFrame:
+    """Candidates of the gold queries with y: whether they are expected or acceptable."""
+    none = F.array().cast("array<string>")
+    ok = gold.select("query", F.array_union(F.coalesce("expected", none), F.coalesce("acceptable", none)).alias("_ok"))
+    return featured.join(ok, "query").withColumn("y", F.coalesce(F.array_contains("_ok", F.col("path")), F.lit(False)).cast("int")).drop("_ok")
+
+
+def fit(rows: DataFrame, l2: float = 1.0, min_prob: float = GateModel().min_prob) -> GateModel:
+    """The model that minimises the logistic loss with a penalty of l2 / (2 n) on the weights of the features as they are, the bias free; the default model without rows. rows: of `labelled`."""
+    rows = rows.select("y", *[F.col(f"f_{f}").alias(f) for f in FEATURES])
+    found = logistic_fit.fit(materialize(rows), FEATURES, "y", penalty=l2)
+    return GateModel() if found is None else GateModel({k: round(v, 4) for k, v in found.items()}, min_prob)
+
+
+def cross_validate(gold: DataFrame, featured: DataFrame, k: int = 10, l2: float = 1.0) -> DataFrame:
+    """Candidates with the confidence of a model that never saw their query; k models, each fitted on the other folds."""
+    rows = materialize(labelled(gold, featured).join(folds(gold.select("query"), "query", k), "query"))
+    parts = [learned_confidence(rows.filter(F.col("fold") == i), fit(rows.filter(F.col("fold") != i), l2)) for i in range(k)]
+    return reduce(DataFrame.unionByName, parts).drop("y")
+
+
+def failures(gold: DataFrame, scored: DataFrame, threshold: float, p: GateParams = GateParams(), show: int = 3) -> DataFrame:
+    """(query, kind, path, confidence, position): queries whose expected nodes weren't hit (`missed`) or that got a hit neither expected nor acceptable (`wrong`), with their first candidates."""
+    none = F.array().cast("array<string>")
+    hits = select_hits(scored, threshold, p).groupBy("query").agg(F.collect_set("path").alias("paths"))
+    g = gold.select("query", F.coalesce("expected", none).alias("e"), F.coalesce("acceptable", none).alias("a")).join(hits, "query", "left").withColumn("paths", F.coalesce("paths", none))
+    missed = (F.size("e") > 0) & ~F.arrays_overlap("paths", "e")
+    wrong = F.size(F.array_except("paths", F.array_union("e", "a"))) > 0
+    bad = g.select("query", F.when(missed, "missed").when(wrong, "wrong").alias("kind")).filter("kind is not null")
+    order = Window.partitionBy("query").orderBy(F.desc("confidence"), F.desc("importance"), "path")
+    first = scored.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= show).select("query", "path", "confidence", F.col("position").cast("long").alias("position"))
+    return bad.join(first, "query", "left")
+
+
+def candidate_pool(scored: DataFrame, most: int = 10) -> DataFrame:
+    """What a reviewer labels a gold set from: the first candidates of each query, whatever their confidence and importance."""
+    return select_hits(scored, 0.0, GateParams(max_hits=most, min_importance=0.0))
+
+
+def without(candidates: DataFrame, suppressed: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    """Candidates without suppressed paths (path), and without those that were shown to the query before (query, path)."""
+    rows = candidates.join(suppressed.select("path").distinct(), "path", "left_anti")
+    return rows if shown is None else rows.join(shown.select("query", "path").distinct(), ["query", "path"], "left_anti")

@@ -68,14 +68,22 @@ def distances(edges: DataFrame, start: str, most: int = 6) -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, start: str, end: str, most: int = 6) -> DataFrame:
-    """(hop, node) along one shortest path, with its ends; empty if there is none within `most` hops."""
+    """(hop, node, previous, rel_type, stored) along one shortest path, with its ends; empty if there is none within `most` hops.
+
+    edges: (src, dst) and perhaps rel_type. stored: `out` where the link that was taken is stored from previous to node, `in` where it
+    is stored the other way; of several links one that is stored `out`, then the first by type."""
     reach = materialize(distances(edges, start, most))
     now = reach.filter(F.col("node") == end)
     out = now
     for _ in range(most):
         now = reach.join(now.select(F.col("previous").alias("node")), "node", "left_semi")
         out = out.unionByName(now)
-    return out.select(F.col("hops").alias("hop"), "node").distinct()
+    kind = F.col("rel_type") if "rel_type" in edges.columns else F.lit(None).cast("string")
+    stored = edges.select("src", "dst", kind.alias("rel_type"))
+    both = stored.select(F.col("src").alias("previous"), F.col("dst").alias("node"), F.struct(F.lit(0).alias("o"), "rel_type").alias("l")).unionByName(stored.select(F.col("dst").alias("previous"), F.col("src").alias("node"), F.struct(F.lit(1).alias("o"), "rel_type").alias("l")))
+    path = out.select(F.col("hops").alias("hop"), "node", "previous").distinct()
+    used = both.join(path.select("previous", "node"), ["previous", "node"], "left_semi").groupBy("previous", "node").agg(F.min("l").alias("l"))
+    return path.join(used, ["previous", "node"], "left").select("hop", "node", "previous", F.col("l.rel_type").alias("rel_type"), F.when(F.col("l.o") == 0, "out").when(F.col("l.o") == 1, "in").alias("stored"))
 
 
 def _block_pairs(least: float):
@@ -107,8 +115,7 @@ def similar_pairs(nodes: DataFrame, least: float, dims: int, block: int = 2048)
     """(path_a, path_b, sim): all pairs of a scope with a cosine of at least `least`, path_a < path_b. Vectors that aren't usable have none.
 
     Exact, so every two rows are compared, block against block in matrix products; each pair of blocks is a task of
-    bounded size and only similar pairs leave it. Meant for a scope (a project, a tier, a type); over everything, nearest
-    neighbours are the form that scales."""
+    bounded size and only similar pairs leave it. neighbours.similar_pairs is the form that scales."""
     from loam.functions.vector import usable_vector
 
     rows = materialize(nodes.filter(usable_vector(F.col("embedding"), dims)).select("path", F.col("embedding").alias("v")))  # not widened: each row travels to every block

@@ -185,7 +185,9 @@ def coverage(nodes: DataFrame, queries: DataFrame, n: Column, least_terms: int =
 
 def usage_rank(corpus: DataFrame, replies: DataFrame) -> DataFrame:
     """(query, path, rank_share): share of the corpus that fits the reply's own terms (those that the prompt lacks) at least as well as the
-    node that was shown. replies: (query, path, prompt, reply). Fit: idf of shared terms over the root of the node's idf mass."""
+    node that was shown: 0 where the reply names its path, 1 where it has no such term or isn't in the corpus.
+
+    replies: (query, path, prompt, reply). Fit: idf of shared terms over the root of the node's idf mass."""
     post = postings(corpus).select("path", "term")
     df = tx.doc_freqs(post)
     n = corpus.select(F.count(F.lit(1)).alias("n"))
@@ -193,13 +195,24 @@ def usage_rank(corpus: DataFrame, replies: DataFrame) -> DataFrame:
     mass = weighted.groupBy("path").agg(F.sqrt(F.sum("w")).alias("mass"))
     own = replies.select("query", F.explode(F.array_except(tx.lexemes(F.col("reply")), tx.lexemes(F.col("prompt")))).alias("term"))
     fit = own.join(weighted, "term").groupBy("query", "path").agg(F.sum("w").alias("s")).join(mass, "path").withColumn("fit", F.round(F.col("s") / F.col("mass"), 9))
-    target = replies.select("query", "path").join(fit.select("query", "path", F.col("fit").alias("target")), ["query", "path"], "left").fillna(0.0, ["target"])
+    named = F.contains(F.coalesce("reply", F.lit("")), F.col("path"))
+    target = replies.select("query", "path", named.alias("named")).join(fit.select("query", "path", F.col("fit").alias("target")), ["query", "path"], "left").fillna(0.0, ["target"])
     above = fit.select("query", "fit").join(target, "query").filter("fit >= target and target > 0").groupBy("query", "path").agg(F.count(F.lit(1)).alias("above"))
     joined = target.join(above, ["query", "path"], "left").join(F.broadcast(n))
-    share = F.when(F.col("target") > 0, F.col("above") / F.col("n")).otherwise(1.0)
+    share = F.when(F.col("named"), 0.0).when(F.col("target") > 0, F.col("above") / F.col("n")).otherwise(1.0)
     return joined.select("query", "path", F.round(share, 9).alias("rank_share"))
 
 
+#: Share of the corpus among which a node must rank to count as used.
+USE_TOP_SHARE = 0.01
+
+
+def judge(ranks: DataFrame, corpus: DataFrame, share: float = USE_TOP_SHARE) -> DataFrame:
+    """Adds used: whether a node is among the first percent of the corpus, or the first one of a small corpus. ranks: (.., rank_share)."""
+    n = corpus.agg(F.count(F.lit(1)).alias("_n"))
+    return ranks.join(F.broadcast(n)).withColumn("used", F.round(F.col("rank_share") * F.col("_n"), 6) <= F.greatest(F.lit(1.0), F.bround(share * F.col("_n")))).drop("_n")
+
+
 def similar_to(nodes: DataFrame, vector: Column, k: int) -> DataFrame:
     """(path, sim): one query vector, all in the JVM; the plan ends in TakeOrderedAndProject."""
     return nodes.filter(F.col("embedding").isNotNull()).select("path", F.round(cosine(F.col("embedding"), vector), 9).alias("sim")).orderBy(F.desc("sim"), "path").limit(k)

@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 from loam.functions import paths as ps
 from loam.operators import consolidate, graph, journal, linking, mutate, neighbours, stats
 from loam.operators.retrieval import vector_arm
-from loam.plans.common import DIMS, DOC, LINKS, LIVE, NOW, QUERY_TYPE, SHOWN, SLUG, T, Registry, links, nodes, shown, terms, usable
-from loam.session import materialize, read_table
+from loam.plans.common import DIMS, DOC, LINKS, LIVE, NOW, SHOWN, SLUG, T, Registry, links, nodes, shown, terms, usable
+from loam.session import lookup_join, materialize, read_table
 from loam.visibility import visible
 
 R = Registry()
-#: Similarity of the pairs that links are inferred from here. The queries cover all of shown(); their SQL only one type (_SCOPE).
-LEAST = 0.75
-_SCOPE = f"(SELECT * FROM {SHOWN} WHERE type = '{QUERY_TYPE}')"
-
+#: Similarity of the pairs that links are inferred from, and of duplicates.
+LEAST, DUPLICATE = 0.75, 0.85
 
 _NAMED = f"(SELECT a.path AS from_path, b.path AS to_path, l.rel_type, l.link_origin, l.confidence FROM {LINKS} l JOIN {SHOWN} a ON a.id = l.from_id JOIN {SHOWN} b ON b.id = l.to_id)"
 _SUB = f"(SELECT l.* FROM {LINKS} l WHERE l.from_id IN (SELECT id FROM {SHOWN}) AND l.to_id IN (SELECT id FROM {SHOWN}))"
@@ -64,7 +62,7 @@ def _(s, d):
 _START = f"(SELECT path FROM {_DEGREE} ORDER BY degree DESC, path LIMIT 1)"
 
 
-@R.add("bfs_distance", f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_UND}), w AS (SELECT path AS node, 0 AS hops FROM {_START} UNION SELECT e.b, w.hops + 1 FROM w JOIN e ON e.a = w.node WHERE w.hops < 4) SELECT node, min(hops) AS hops FROM w GROUP BY node")
+@R.add("bfs_distance", f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_UND}), w AS (SELECT path AS node, 0 AS hops FROM {_START} UNION SELECT e.b, w.hops + 1 FROM w JOIN e ON e.a = w.node WHERE w.hops < 6) SELECT node, min(hops) AS hops FROM w GROUP BY node")
 def _(s, d):
     n, l = shown(s, d), links(s, d)  # noqa: E741
     start = graph.degrees(n, graph.subgraph(n, l)).orderBy(F.desc("degree"), "path").first()
@@ -72,22 +70,23 @@ def _(s, d):
     return graph.distances(e, start["path"] if start else "").select("node", "hops")
 
 
-@R.add("all_pairs_cosine", f"SELECT * FROM (SELECT a.path AS path_a, b.path AS path_b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sim FROM {_SCOPE} a JOIN {_SCOPE} b ON a.path < b.path WHERE {usable('a.embedding')} AND {usable('b.embedding')}) WHERE sim >= {LEAST}")
-def _(s, d):
-    return graph.similar_pairs(shown(s, d), LEAST, DIMS)
-
-
-_PAIRS = f"(SELECT * FROM (SELECT a.path AS path_a, b.path AS path_b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sim FROM {_SCOPE} a JOIN {_SCOPE} b ON a.path < b.path WHERE {usable('a.embedding')} AND {usable('b.embedding')}) WHERE sim >= 0.1)"
-_RANKED = f"(SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM (SELECT path_a AS a, path_b AS b, sim FROM {_PAIRS} UNION ALL SELECT path_b, path_a, sim FROM {_PAIRS}))"
+_PAIRS = f"(SELECT a.path AS path_a, b.path AS path_b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sim FROM {SHOWN} a JOIN {SHOWN} b ON a.path < b.path WHERE {usable('a.embedding')} AND {usable('b.embedding')})"
+_BOTH = f"(WITH p AS MATERIALIZED (SELECT * FROM {_PAIRS}) SELECT path_a AS a, path_b AS b, sim FROM p UNION ALL SELECT path_b, path_a, sim FROM p)"
+_RANKED = f"(SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM {_BOTH})"
 
 
 def _ranked(s, d) -> DataFrame:
     return materialize(neighbours.nearest(shown(s, d), linking.K_SEMANTIC, DIMS))
 
 
+@R.add("all_pairs_cosine", f"SELECT * FROM {_PAIRS} WHERE sim >= {LEAST}")
+def _(s, d):
+    return neighbours.similar_pairs(shown(s, d), LEAST, DIMS)
+
+
 @R.add("infer_links", f"SELECT p.* FROM (SELECT * FROM {_PAIRS} WHERE sim >= {LEAST}) p WHERE NOT EXISTS (SELECT 1 FROM {_NAMED} n WHERE least(n.from_path, n.to_path) = p.path_a AND greatest(n.from_path, n.to_path) = p.path_b)")
 def _(s, d):
-    return graph.unlinked(graph.similar_pairs(shown(s, d), LEAST, DIMS), shown(s, d), links(s, d))
+    return graph.unlinked(neighbours.similar_pairs(shown(s, d), LEAST, DIMS), shown(s, d), links(s, d))
 
 
 @R.add("knn_self_join", f"SELECT a, b, rank FROM {_RANKED} WHERE rank <= 15")
@@ -100,12 +99,12 @@ def _(s, d):
     return linking.hub_scores(_ranked(s, d))
 
 
-@R.add("shared_rank", f"SELECT a, b, rank() OVER (PARTITION BY a ORDER BY sim DESC) AS rank FROM (SELECT path_a AS a, path_b AS b, sim FROM {_PAIRS} UNION ALL SELECT path_b, path_a, sim FROM {_PAIRS})")
+@R.add("shared_rank", f"SELECT a, b, rank() OVER (PARTITION BY a ORDER BY sim DESC) AS rank FROM {_RANKED} WHERE rank <= 15")
 def _(s, d):
-    return linking.shared_rank(graph.similar_pairs(shown(s, d), -1.0, DIMS)).select("a", "b", F.col("rank").cast("long").alias("rank"))
+    return linking.shared_rank(_ranked(s, d)).select("a", "b", F.col("rank").cast("long").alias("rank"))
 
 
-_VECTORS = f"(SELECT p.path, p.term, df, ln(((SELECT count(*) FROM {_SCOPE}) + 1.0) / (df + 0.5)) AS w FROM (SELECT path, unnest(list_distinct({terms(DOC)})) AS term FROM {_SCOPE}) p JOIN (SELECT term, count(*) AS df FROM (SELECT path, unnest(list_distinct({terms(DOC)})) AS term FROM {_SCOPE}) GROUP BY term) f ON f.term = p.term)"
+_VECTORS = f"(SELECT p.path, p.term, df, ln(((SELECT count(*) FROM {SHOWN}) + 1.0) / (df + 0.5)) AS w FROM (SELECT path, unnest(list_distinct({terms(DOC)})) AS term FROM {SHOWN}) p JOIN (SELECT term, count(*) AS df FROM (SELECT path, unnest(list_distinct({terms(DOC)})) AS term FROM {SHOWN}) GROUP BY term) f ON f.term = p.term)"
 
 
 @R.add("postings_join", f"SELECT a, b, weight FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) AS r FROM (SELECT x.path AS a, y.path AS b, round(sum(x.w * x.w), 9) AS weight FROM {_VECTORS} x JOIN {_VECTORS} y ON x.term = y.term AND x.path <> y.path WHERE x.df <= 80 AND y.df <= 80 GROUP BY 1, 2)) WHERE r <= 10")
@@ -113,23 +112,36 @@ def _(s, d):
     return linking.rare_term_pairs(linking.idf_vectors(shown(s, d)))
 
 
-_SCOPED = f"(SELECT from_path, to_path, rel_type, link_origin, confidence FROM {_NAMED})"
+_EXPLICIT = f"(SELECT from_path AS a, to_path AS b FROM {_NAMED} WHERE from_path <> to_path AND link_origin = 'explicit' UNION SELECT to_path, from_path FROM {_NAMED} WHERE from_path <> to_path AND link_origin = 'explicit')"
+_TWO_HOP = f"SELECT DISTINCT x.b AS a, y.b AS b FROM {_EXPLICIT} x JOIN {_EXPLICIT} y ON x.a = y.a AND x.b < y.b"
 
 
-@R.add("two_hop", f"SELECT DISTINCT x.b AS a, y.b AS b FROM {_UND} x JOIN {_UND} y ON x.a = y.a AND x.b < y.b WHERE x.a IN (SELECT a FROM {_UND} GROUP BY a HAVING count(*) <= 200)")
+@R.add("two_hop", _TWO_HOP)
 def _(s, d):
-    return linking.two_hop(graph.named_links(shown(s, d), links(s, d)))
+    return linking.two_hop(linking.deliberate(graph.named_links(shown(s, d), links(s, d))))
+
 
+def _mentions(source: str) -> str:
+    """Mentions in (path, body) as SQL."""
+    last, folder = "list_extract(string_split({0}, '/'), -1)", "regexp_replace({0}, '/[^/]*$', '')"
+    return f"""(WITH n AS MATERIALIZED (SELECT path, body FROM {source}), w AS (SELECT DISTINCT path, unnest(regexp_extract_all(coalesce(body, ''), '{linking.WIKI}', 1)) AS name FROM n),
+h AS (SELECT w.path, w.name, n.path AS mentioned, ({folder.format('w.path')} = {folder.format('n.path')}) AS near FROM w JOIN n ON {last.format('n.path')} = w.name),
+c AS (SELECT path, mentioned, count(*) OVER (PARTITION BY path, name) AS k FROM (SELECT *, max(near) OVER (PARTITION BY path, name) AS best FROM h) WHERE near = best)
+SELECT path, mentioned FROM c WHERE k = 1 AND path <> mentioned UNION SELECT x.path, x.m FROM (SELECT path, rtrim(unnest(regexp_extract_all(coalesce(body, ''), '({linking.PATH})', 1)), '.') AS m FROM n) x JOIN n ON n.path = x.m WHERE x.path <> x.m)"""
 
-@R.add("mentions")
+
+_TOLD = f"(SELECT path, 'see ' || coalesce(CASE WHEN regexp_replace(path, '/[^/]*$', '') <> '' THEN regexp_replace(path, '/[^/]*$', '') END, '') || ' and [[' || coalesce(slug, '') || ']]' AS body FROM memory_nodes WHERE {LIVE})"
+
+
+@R.add("mentions", f"SELECT path, mentioned FROM {_mentions(_TOLD)}")
 def _(s, d):
     """Bodies name no paths in these tables; each node's body is given its parent's path and a slug to resolve."""
     n = nodes(s, d).filter(F.col("deleted_at").isNull()).select("path", F.concat(F.lit("see "), F.coalesce(ps.parent_path(F.col("path")), F.lit("")), F.lit(" and [["), F.coalesce("slug", F.lit("")), F.lit("]]")).alias("body"))
     return linking.mentions(n)
 
 
-def _cand_sql() -> str:
-    return f"(SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT a, b FROM {_RANKED} WHERE rank <= 15 UNION ALL SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) AS r FROM (SELECT x.path AS a, y.path AS b, round(sum(x.w * x.w), 9) AS weight FROM {_VECTORS} x JOIN {_VECTORS} y ON x.term = y.term AND x.path <> y.path WHERE x.df <= 80 AND y.df <= 80 GROUP BY 1, 2)) WHERE r <= 10))"
+_LEXICAL = f"SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) AS r FROM (SELECT x.path AS a, y.path AS b, round(sum(x.w * x.w), 9) AS weight FROM {_VECTORS} x JOIN {_VECTORS} y ON x.term = y.term AND x.path <> y.path WHERE x.df <= 80 AND y.df <= 80 GROUP BY 1, 2)) WHERE r <= 10"
+_CANDIDATES = f"(SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT a, b FROM {_RANKED} WHERE rank <= 15 UNION ALL {_LEXICAL} UNION ALL {_TWO_HOP} UNION ALL SELECT path, mentioned FROM {_mentions(SHOWN)} UNION ALL SELECT from_path, to_path FROM {_NAMED} WHERE link_origin = 'inferred') WHERE a <> b)"
 
 
 def _mentioned(s, d) -> DataFrame:
@@ -143,39 +155,45 @@ def _pairs(s, d, mentioned: DataFrame | None = None) -> tuple[DataFrame, DataFra
     return pairs, ranked, vectors, named
 
 
-_ADJ = f"(SELECT a, count(*) AS deg FROM {_UND} GROUP BY a)"
-_FEATURES = f"""(WITH r AS MATERIALIZED (SELECT * FROM {_RANKED}), c AS MATERIALIZED (SELECT * FROM {_cand_sql()}), v AS MATERIALIZED (SELECT * FROM {_VECTORS}), hub AS (SELECT a, round(avg(sim), 9) AS hub FROM r WHERE rank <= 10 GROUP BY a), norm AS (SELECT path, sqrt(sum(w * w)) AS n FROM v GROUP BY path),
-t AS (SELECT c.a, c.b, sum(x.w * x.w) AS d FROM c JOIN v x ON x.path = c.a JOIN v y ON y.path = c.b AND y.term = x.term GROUP BY 1, 2), u AS MATERIALIZED (SELECT * FROM {_UND}), deg AS (SELECT a, count(*) AS deg FROM u GROUP BY a),
+_FEATURES = f"""(WITH r AS MATERIALIZED (SELECT * FROM {_RANKED}), c AS MATERIALIZED (SELECT * FROM {_CANDIDATES}), v AS MATERIALIZED (SELECT * FROM {_VECTORS}), hub AS (SELECT a, round(avg(sim), 9) AS hub FROM r WHERE rank <= 10 GROUP BY a), norm AS (SELECT path, sqrt(sum(w * w)) AS n FROM v GROUP BY path),
+t AS (SELECT c.a, c.b, sum(x.w * x.w) AS d FROM c JOIN v x ON x.path = c.a JOIN v y ON y.path = c.b AND y.term = x.term GROUP BY 1, 2), u AS MATERIALIZED (SELECT * FROM {_EXPLICIT}), deg AS (SELECT a, count(*) AS deg FROM u GROUP BY a),
 aa AS (SELECT c.a, c.b, sum(1.0 / ln(1.0 + deg.deg)) AS s FROM c JOIN u x ON x.a = c.a JOIN u y ON y.a = c.b AND y.b = x.b JOIN deg ON deg.a = x.b GROUP BY 1, 2)
 SELECT c.a, c.b, r1.sim, coalesce(round(2 * r1.sim - h1.hub - h2.hub, 9), 0.0) AS semantic, coalesce(round(1.0 / sqrt(CAST(r1.rank * r2.rank AS DOUBLE)), 9), 0.0) AS mutual_rank, round(coalesce(t.d / (n1.n * n2.n), 0.0), 9) AS terms,
-CASE WHEN len(string_split(c.a, '/')) > 3 AND len(string_split(c.b, '/')) > 3 AND split_part(c.a, '/', 3) = split_part(c.b, '/', 3) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS project, CASE WHEN regexp_replace(c.a, '/[^/]*$', '') = regexp_replace(c.b, '/[^/]*$', '') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS folder, round(ln(1.0 + coalesce(aa.s, 0.0)), 9) AS neighbours
+CASE WHEN len(string_split(c.a, '/')) > 3 AND len(string_split(c.b, '/')) > 3 AND split_part(c.a, '/', 3) = split_part(c.b, '/', 3) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS project, CASE WHEN regexp_replace(c.a, '/[^/]*$', '') = regexp_replace(c.b, '/[^/]*$', '') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS folder, round(ln(1.0 + coalesce(aa.s, 0.0)), 9) AS neighbours, greatest(r1.rank, r2.rank) AS rank
 FROM c LEFT JOIN r r1 ON r1.a = c.a AND r1.b = c.b LEFT JOIN r r2 ON r2.a = c.b AND r2.b = c.a LEFT JOIN hub h1 ON h1.a = c.a LEFT JOIN hub h2 ON h2.a = c.b LEFT JOIN t ON t.a = c.a AND t.b = c.b LEFT JOIN norm n1 ON n1.path = c.a LEFT JOIN norm n2 ON n2.path = c.b LEFT JOIN aa ON aa.a = c.a AND aa.b = c.b)"""
 _W = linking.WEIGHTS
-_SCORED = f"(SELECT *, round(greatest(1.0 / (1.0 + exp(-greatest(-40.0, least(40.0, {_W['bias']} + " + " + ".join(f"{_W[f]} * {f}" for f in linking.FEATURES) + f")))), CASE WHEN sim >= 0.9 THEN 0.9 ELSE 0.0 END), 9) AS confidence FROM {_FEATURES})"
+_MENTION = f"SELECT DISTINCT least(path, mentioned) AS a, greatest(path, mentioned) AS b FROM {_mentions(SHOWN)}"
+_SCORED = f"(SELECT f.*, round(greatest(1.0 / (1.0 + exp(-greatest(-40.0, least(40.0, {_W['bias']} + " + " + ".join(f"{_W[f]} * {f}" for f in linking.FEATURES) + f")))), CASE WHEN sim >= 0.9 THEN 0.9 ELSE 0.0 END, CASE WHEN m.a IS NOT NULL THEN 0.95 ELSE 0.0 END), 9) AS confidence FROM {_FEATURES} f LEFT JOIN ({_MENTION}) m ON m.a = f.a AND m.b = f.b)"
+#: Pairs that a reviewer settled, here: those of the links that supersede something.
+_DECIDED = f"(SELECT DISTINCT least(from_path, to_path) AS a, greatest(from_path, to_path) AS b FROM {_NAMED} WHERE rel_type = 'supersedes')"
 
 
 def _none(s, *columns: str) -> DataFrame:
     return s.createDataFrame([], ", ".join(f"{c} string" for c in columns))
 
 
-@R.add("link_candidates", f"SELECT a, b FROM {_cand_sql()}")
+@R.add("link_candidates", f"SELECT a, b FROM {_CANDIDATES}")
 def _(s, d):
     return _pairs(s, d)[0]
 
 
 @R.add("link_features", f"SELECT a, b, semantic, mutual_rank, terms, project, folder, neighbours FROM {_FEATURES}")
 def _(s, d):
-    return _featured(s, d, *_pairs(s, d)).drop("sim")
+    return _featured(s, d, *_pairs(s, d)).drop("sim", "rank", "common")
 
 
 def _featured(s, d, pairs: DataFrame, ranked: DataFrame, vectors: DataFrame, named: DataFrame) -> DataFrame:
-    return linking.features(pairs, ranked, vectors, named, materialize(neighbours.ranks(shown(s, d), pairs, DIMS)))
+    return linking.features(pairs, ranked, vectors, named, materialize(neighbours.pair_ranks(shown(s, d), ranked, pairs, DIMS)))
 
 
-def _scored(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _scored(s, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     mentioned = _mentioned(s, d)
     pairs, ranked, vectors, named = _pairs(s, d, mentioned)
-    return linking.score(_featured(s, d, pairs, ranked, vectors, named), mentioned), named, vectors
+    return linking.score(_featured(s, d, pairs, ranked, vectors, named), mentioned), named, vectors, mentioned
+
+
+def _decided(named: DataFrame) -> DataFrame:
+    return linking.canonical(named.filter("rel_type = 'supersedes'").select("from_path", "to_path"))
 
 
 @R.add("link_confidence", f"SELECT a, b, confidence FROM {_SCORED}")
@@ -184,37 +202,78 @@ def _(s, d):
 
 
 @R.add("link_routing", f"""WITH x AS (SELECT a, b, confidence FROM {_SCORED}), p AS (SELECT least(from_path, to_path) AS a, greatest(from_path, to_path) AS b, link_origin, confidence FROM {_NAMED})
-SELECT a, b, confidence, action FROM (SELECT *, row_number() OVER (PARTITION BY action ORDER BY confidence DESC, a, b) AS r FROM (SELECT x.a, x.b, x.confidence, CASE WHEN i.a IS NOT NULL THEN CASE WHEN i.old IS NULL OR abs(x.confidence - i.old) > 0.0001 THEN 'rescore' ELSE 'drop' END WHEN x.confidence >= 0.7 THEN 'link' WHEN x.confidence >= 0.35 THEN 'suggest' ELSE 'drop' END AS action
-FROM x LEFT JOIN (SELECT a, b, max(confidence) AS old FROM p WHERE link_origin = 'inferred' GROUP BY 1, 2) i ON i.a = x.a AND i.b = x.b WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.link_origin = 'explicit' AND p.a = x.a AND p.b = x.b)) WHERE action <> 'drop') WHERE action <> 'link' OR r <= 1000""")
+SELECT a, b, confidence, action FROM (SELECT x.a, x.b, x.confidence, CASE WHEN i.a IS NOT NULL THEN CASE WHEN i.old IS NULL OR abs(x.confidence - i.old) > 0.0001 THEN 'rescore' END WHEN d.a IS NOT NULL THEN NULL WHEN x.confidence >= 0.7 THEN 'link' WHEN x.confidence >= 0.35 THEN 'suggest' END AS action
+FROM x LEFT JOIN (SELECT a, b, max(confidence) AS old FROM p WHERE link_origin = 'inferred' GROUP BY 1, 2) i ON i.a = x.a AND i.b = x.b LEFT JOIN {_DECIDED} d ON d.a = x.a AND d.b = x.b WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.link_origin = 'explicit' AND p.a = x.a AND p.b = x.b)) WHERE action IS NOT NULL""")
 def _(s, d):
-    scored, named, _v = _scored(s, d)
-    return linking.route(scored, named, _none(s, "a", "b"))
+    scored, named, _v, _m = _scored(s, d)
+    return linking.route(scored, named, _decided(named))
 
 
-@R.add("link_evidence")
+@R.add("link_evidence", f"""WITH s AS MATERIALIZED (SELECT * FROM {_SCORED}), v AS MATERIALIZED (SELECT * FROM {_VECTORS}), u AS MATERIALIZED (SELECT * FROM {_EXPLICIT}), m AS (SELECT least(path, mentioned) AS a, greatest(path, mentioned) AS b, min(path) AS by_path FROM {_mentions(SHOWN)} GROUP BY 1, 2),
+t AS (SELECT a, b, string_agg(term, ', ' ORDER BY w DESC, term) AS terms FROM (SELECT s.a, s.b, x.term, x.w, row_number() OVER (PARTITION BY s.a, s.b ORDER BY x.w DESC, x.term) AS r FROM s JOIN v x ON x.path = s.a JOIN v y ON y.path = s.b AND y.term = x.term WHERE s.terms >= 0.05 AND regexp_full_match(x.term, '\\p{{L}}{{5,}}')) WHERE r <= 3 GROUP BY 1, 2),
+c AS (SELECT s.a, s.b, count(*) AS n FROM s JOIN u x ON x.a = s.a JOIN u y ON y.a = s.b AND y.b = x.b GROUP BY 1, 2)
+SELECT s.a, s.b, coalesce(nullif(concat_ws('; ', 'named in ' || m.by_path, CASE WHEN sim >= 0.9 THEN printf('near duplicate (cos %.2f)', sim) WHEN sim >= 0.5 AND rank <= 5 THEN printf('similar (cos %.2f, among the nearest 5 of each other)', sim) END, CASE WHEN project > 0 THEN 'same project (' || split_part(s.a, '/', 3) || ')' WHEN folder > 0 THEN 'same folder' END, CASE WHEN c.n > 0 THEN c.n || ' shared neighbours' END, 'shared terms: ' || t.terms), ''), 'model') AS evidence
+FROM s LEFT JOIN m ON m.a = s.a AND m.b = s.b LEFT JOIN t ON t.a = s.a AND t.b = s.b LEFT JOIN c ON c.a = s.a AND c.b = s.b""")
 def _(s, d):
-    scored, _n, vectors = _scored(s, d)
-    return linking.evidence(scored, vectors)
+    scored, _n, vectors, mentioned = _scored(s, d)
+    return linking.evidence(scored, vectors, mentioned)
+
+
+@R.add("link_fit")
+def _(s, d):
+    """(feature, weight, source) of the model fitted on the deliberate links."""
+    mentioned = _mentioned(s, d)
+    pairs, ranked, vectors, named = _pairs(s, d, mentioned)
+    told = materialize(linking.labelled(named, linking.canonical(ranked.select("a", "b"), linking.rare_term_pairs(vectors).select("a", "b"), linking.two_hop(linking.deliberate(named))), mentioned))
+    featured = _featured(s, d, told.select("a", "b"), ranked, vectors, named).join(told, ["a", "b"])
+    weights, source = linking.fit(featured)
+    return s.createDataFrame([(k, v, source) for k, v in weights.items()], "feature string, weight double, source string")
+
+
+def _members(s, d) -> DataFrame:
+    return materialize(shown(s, d).select("path", ps.project_slug(F.col("path")).alias("project")).filter("project is not null"))
+
+
+def _spine(s, d) -> DataFrame:
+    mentioned, member = _mentioned(s, d), _members(s, d)
+    pairs, ranked, vectors, named = _pairs(s, d, mentioned)
+    pairs = materialize(linking.spine_pairs(member, pairs))
+    scored = linking.score(_featured(s, d, pairs, ranked, vectors, named), mentioned)
+    return linking.spine(scored, member, named.select(F.col("from_path").alias("a"), F.col("to_path").alias("b")), _decided(named))
 
 
 @R.add("project_spine")
 def _(s, d):
-    scored, named, _v = _scored(s, d)
-    member = shown(s, d).select("path", ps.project_slug(F.col("path")).alias("project")).filter("project is not null")
-    with_project = lambda df, a, b: df.withColumn("project", ps.project_slug(F.col(a))).filter(F.col("project") == ps.project_slug(F.col(b)))
-    existing = with_project(named.select(F.col("from_path").alias("a"), F.col("to_path").alias("b")), "a", "b")
-    return linking.spine(with_project(scored.select("a", "b", "confidence"), "a", "b"), member, existing)
+    return _spine(s, d)
+
+
+_MEMBER = f"(SELECT path, {SLUG} AS project FROM {SHOWN} WHERE {SLUG} IS NOT NULL)"
+
+
+@R.add("project_spine_parts", f"SELECT project, count(*) AS members, CAST(1 AS BIGINT) AS parts FROM {_MEMBER} GROUP BY 1")
+def _(s, d):
+    """(project, members, parts) once the spine is added to the links: nothing is left apart."""
+    member = _members(s, d)
+    named = graph.named_links(shown(s, d), links(s, d)).select(F.col("from_path").alias("a"), F.col("to_path").alias("b"))
+    edges = named.unionByName(_spine(s, d).select("a", "b")).join(member.select(F.col("path").alias("a"), "project"), "a").join(member.select(F.col("path").alias("b"), F.col("project").alias("pb")), "b").filter("project = pb")
+    from loam.operators.components import connected_components
+
+    part = member.join(connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("path"), "component"), "path", "left")
+    return part.groupBy("project").agg(F.count(F.lit(1)).alias("members"), F.countDistinct(F.coalesce("component", "path")).alias("parts"))
+
+
+_KEY = "row(coalesce(CAST(importance AS DOUBLE), 0.0), coalesce(access_count, 0), updated_at)"
+_DUPLICATES = f"(SELECT CASE WHEN x.k >= y.k THEN p.path_a ELSE p.path_b END AS keep, CASE WHEN x.k >= y.k THEN p.path_b ELSE p.path_a END AS drop, sim FROM (SELECT * FROM {_PAIRS} WHERE sim >= {DUPLICATE}) p JOIN (SELECT path, {_KEY} AS k FROM memory_nodes) x ON x.path = p.path_a JOIN (SELECT path, {_KEY} AS k FROM memory_nodes) y ON y.path = p.path_b)"
 
 
-@R.add("duplicate_keep", f"""SELECT CASE WHEN x.k >= y.k THEN p.path_a ELSE p.path_b END AS keep, CASE WHEN x.k >= y.k THEN p.path_b ELSE p.path_a END AS drop, sim FROM (SELECT * FROM {_PAIRS} WHERE sim >= 0.85) p
-JOIN (SELECT path, row(coalesce(CAST(importance AS DOUBLE), 0.0), coalesce(access_count, 0), updated_at) AS k FROM memory_nodes) x ON x.path = p.path_a JOIN (SELECT path, row(coalesce(CAST(importance AS DOUBLE), 0.0), coalesce(access_count, 0), updated_at) AS k FROM memory_nodes) y ON y.path = p.path_b""")
+@R.add("duplicate_keep", f"SELECT * FROM {_DUPLICATES}")
 def _(s, d):
-    return consolidate.duplicates(shown(s, d), 0.85, DIMS)
+    return consolidate.duplicates(shown(s, d), DUPLICATE, DIMS)
 
 
 @R.add("consolidation_queue")
 def _(s, d):
-    found = consolidate.proposals(nodes(s, d).filter(visible(NOW, include_expired=True)), shown(s, d), NOW, 0.85, DIMS)
+    found = consolidate.proposals(nodes(s, d).filter(visible(NOW, include_expired=True)), shown(s, d), NOW, DUPLICATE, DIMS)
     return consolidate.enqueue(found, _none(s, "fingerprint")).withColumn("paths", F.array_join("paths", ","))
 
 
@@ -304,7 +363,7 @@ def _(s, d):
 @R.add("longest_prefix", "SELECT c.c_name AS cwd, arg_max(n.n_name, length(n.n_name)) AS project FROM (SELECT '/w/' || lower(n_name) || '/' || c_name AS c_name FROM customer JOIN nation ON n_nationkey = c_nationkey) c JOIN (SELECT n_name, '/w/' || lower(n_name) AS dir FROM nation) n ON c.c_name = n.dir OR starts_with(c.c_name, n.dir || '/') GROUP BY 1")
 def _(s, d):
     n = read_table(s, d, "nation").select(F.col("n_name").alias("project"), F.concat(F.lit("/w/"), F.lower("n_name")).alias("dir"), "n_nationkey")
-    c = read_table(s, d, "customer").join(F.broadcast(n.limit(1000)), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat("dir", F.lit("/"), "c_name").alias("cwd"))
+    c = lookup_join(read_table(s, d, "customer").withColumn("n_nationkey", F.col("c_nationkey")), n.select("n_nationkey", "dir"), "n_nationkey").select(F.concat("dir", F.lit("/"), "c_name").alias("cwd"))
     return journal.project_of_folder(c, n.select("project", "dir"))
 
 

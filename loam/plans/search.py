@@ -30,7 +30,7 @@ _FUSE = f"""SELECT coalesce(a.query, b.query) AS query, coalesce(a.path, b.path)
 1.0 / (60 + coalesce(a.r, count(a.r) OVER w + 1)) + 1.0 / (60 + coalesce(b.r, count(b.r) OVER w + 1)) AS rrf, count(a.r) OVER w AS na, count(b.r) OVER w AS nb
 FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, path) AS r FROM ({_LEX})) a FULL JOIN (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, path) AS r FROM ({_vec(30)})) b ON a.query = b.query AND a.path = b.path
 WINDOW w AS (PARTITION BY coalesce(a.query, b.query))"""
-_FINAL = "round({s} * (0.5 + 0.5 * " + IMPORTANCE + f") + 1e-6 / (1.0 + coalesce(greatest((epoch_us({T}) - epoch_us(updated_at)) / 86400000000.0, 0.0), 365.0)), 12)"
+_FINAL = "round({s} * (0.5 + 0.5 * " + IMPORTANCE + f") + 1e-6 / (1.0 + CASE WHEN updated_at IS NULL THEN 365.0 ELSE greatest((epoch_us({T}) - epoch_us(updated_at)) / 86400000000.0, 0.0) END), 12)"
 _HYBRID = f"""SELECT query, path, round(retrieval_score, 9) AS retrieval_score, position FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY final_score DESC, path) AS position FROM (
 SELECT h.query, h.path, h.retrieval_score, {_FINAL.format(s='h.retrieval_score')} AS final_score FROM (
 WITH f AS ({_FUSE}), found AS (SELECT query, path, CASE WHEN na > 0 AND nb > 0 THEN round(rrf, 12) ELSE coalesce(score, sim) END AS retrieval_score FROM f)
@@ -183,7 +183,7 @@ def _(s, d):
     return gate.select_hits(_scored(s, d), 0.5).select("query", "path", "confidence")
 
 
-@R.add("gate_threshold", f"SELECT query, path, c AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, importance DESC, path) AS r FROM (SELECT *, round(1.0 - (1.0 - lex_conf) * (1.0 - coalesce(greatest(0.0, least(1.0, (sim - 0.5) / (0.8 - 0.5))), 0.0)), 9) AS c FROM ({_CAND})) WHERE c >= 0.9 AND importance >= 0.5) WHERE r <= 1")
+@R.add("gate_threshold", f"SELECT query, path, c AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, importance DESC, path) AS r FROM (SELECT *, round(1.0 - (1.0 - lex_conf) * (1.0 - CASE WHEN sim IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, (sim - 0.5) / (0.8 - 0.5))) END), 9) AS c FROM ({_CAND})) WHERE c >= 0.9 AND importance >= 0.5) WHERE r <= 1")
 def _(s, d):
     return gate.select_hits(gate.threshold_confidence(_candidates(s, d)), 0.9).select("query", "path", "confidence")
 

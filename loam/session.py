@@ -8,7 +8,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +79,17 @@ def lookup_join(big: DataFrame, small: DataFrame, on: str | Sequence[str], how:
     return big.join(small, [*on, salt], how).drop(salt)
 
 
+def read_files(files: Sequence[str], columns: Sequence[str] | None = None, rows: int = 4096) -> Iterator:
+    """Arrow batches of parquet files of the shared folder, for a task that reads a table beside its own rows."""
+    from pyarrow import fs
+    from pyarrow.parquet import ParquetFile
+
+    for name in files:
+        system, path = fs.FileSystem.from_uri(name)
+        with system.open_input_file(path) as f:
+            yield from ParquetFile(f).iter_batches(rows, columns=None if columns is None else list(columns))
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, for tokenizers and the like."""
     return sys.modules.setdefault("_loam_worker_cache", types.ModuleType("_loam_worker_cache")).__dict__

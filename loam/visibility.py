@@ -46,4 +46,4 @@ def importance() -> Column:
 def days_since(column: str, now: str) -> Column:
     """Whole and part days before now, never negative; 365 where there is no time."""
     seconds = F.unix_micros(F.to_timestamp(moment(now)).cast("timestamp")) - F.unix_micros(F.col(column).cast("timestamp"))
-    return F.coalesce(F.greatest(seconds / F.lit(86_400_000_000.0), F.lit(0.0)), F.lit(365.0))
+    return F.when(seconds.isNull(), 365.0).otherwise(F.greatest(seconds / F.lit(86_400_000_000.0), F.lit(0.0)))

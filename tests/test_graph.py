@@ -1,6 +1,8 @@
 import random
 
 from loam.operators.components import connected_components
+from pyspark.sql import functions as F
+
 from loam.operators.graph import degrees, distances, shortest_path, similar_pairs
 
 
@@ -35,6 +37,8 @@ def test_distances_and_path(spark):
     assert {r.node: r.hops for r in distances(df, "a", 3).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
     assert [r.node for r in shortest_path(df, "a", "d").orderBy("hop").collect()] == ["a", "b", "c", "d"]
     assert shortest_path(df, "a", "y").count() == 0
+    kinds = df.withColumn("rel_type", F.lit("related")).unionByName(spark.createDataFrame([("n", "m", "supports"), ("n", "o", "requires")], "src string, dst string, rel_type string"))
+    assert [(r.previous, r.node, r.rel_type, r.stored) for r in shortest_path(kinds, "m", "o").orderBy("hop").collect()] == [(None, "m", None, None), ("m", "n", "supports", "in"), ("n", "o", "requires", "out")]
 
 
 def test_a_loop_counts_twice(spark):

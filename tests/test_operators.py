@@ -80,14 +80,77 @@ def test_evaluation(spark):
     assert gate.evaluate(gold, hits.limit(0)).first().precision == 1.0
 
 
-def test_fits():
-    x = np.array([[i / 20, (i * 7 % 5) / 5] for i in range(20)])
-    y = (x[:, 0] > 0.5).astype(float)
-    w, b = gate.fit(x, y)
-    p = 1 / (1 + np.exp(-(x @ w + b)))
-    assert (p[y == 1] > 0.5).all() and (p[y == 0] < 0.5).all()
-    weights = linking.fit(np.column_stack([x[:, 0], -x[:, 0], x[:, 1], x[:, 1], x[:, 1], x[:, 1]]), y)
-    assert weights["semantic"] > 0 and weights["mutual_rank"] == 0
+def _gold_rows(spark, n=20):
+    """Positive queries whose first candidate fits, and one that doesn't for each."""
+    full = lambda **f: tuple(float(f.get(x, 0.0)) for x in gate.FEATURES)
+    rows = [(f"q{i:02}", p, 0.9, *full(sim=s, lex=s, sem_top=s > 0.5, lex_top=s > 0.5, importance=0.9)) for i in range(n) for p, s in ((f"/a{i}", 0.9), (f"/b{i}", 0.1))]
+    featured = spark.createDataFrame(rows, "query string, path string, importance double, " + ", ".join(f"f_{f} double" for f in gate.FEATURES))
+    gold = spark.createDataFrame([(f"q{i:02}", [f"/a{i}"], []) for i in range(n)], "query string, expected array<string>, acceptable array<string>")
+    return gold, featured
+
+
+def test_gate_fit_and_cross_validation(spark):
+    gold, featured = _gold_rows(spark)
+    model = gate.fit(gate.labelled(gold, featured))
+    probs = {r.path: r.confidence for r in gate.learned_confidence(featured, model).collect()}
+    assert all((p > 0.8) if path.startswith("/a") else (p < 0.2) for path, p in probs.items())
+    m = gate.evaluate(gold, gate.select_hits(gate.cross_validate(gold, featured, 5), 0.5)).first()
+    assert (m.recall, m.precision) == (1.0, 1.0)
+    assert gate.fit(gate.labelled(gold, featured.limit(0))) == gate.GateModel()
+
+
+def test_gate_fit_is_the_least_loss(spark):
+    from loam.operators import logistic
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 3)) * [1, 5, 0.2] + [0, 3, 1]
+    y = (1 / (1 + np.exp(-(x @ [1.5, -0.4, 2.0] - 1))) > rng.random(300)).astype(int)
+    rows = spark.createDataFrame([(*map(float, a), int(b)) for a, b in zip(x, y)], "u double, v double, w double, y int").cache()
+    for standardise, non_negative in ((False, False), (True, True)):
+        got = logistic.fit(rows, ["u", "v", "w"], "y", 1.0, standardise, non_negative)
+        m, s = (x.mean(0), x.std(0) + 1e-9) if standardise else (np.zeros(3), np.ones(3))
+        z, w, b = (x - m) / s, np.zeros(3), 0.0
+        for _ in range(60000):
+            p = 1 / (1 + np.exp(-(z @ w + b)))
+            w = w - 0.05 * (z.T @ (p - y) + w) / 300
+            w = np.maximum(w, 0) if non_negative else w
+            b -= 0.05 * (p - y).mean()
+        assert np.allclose([got[f] for f in "uvw"], w / s, atol=2e-3) and abs(got["bias"] - (b - (w / s) @ m)) < 5e-3
+        assert not non_negative or got["v"] == 0.0
+
+
+def test_link_fit_needs_forty_deliberate_links(spark):
+    rows = [(int(i % 2 == 0), float(i % 2 == 0), 0.0, (i * 7 % 5) / 5, 0.0, 0.0, 0.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "y int, " + ", ".join(f"{f} double" for f in linking.FEATURES))
+    weights, source = linking.fit(df)
+    assert source == "trained" and weights["semantic"] > 0 and min(v for k, v in weights.items() if k != "bias") >= 0
+    assert linking.fit(df.limit(60)) == (dict(linking.WEIGHTS), "default") and linking.fit(df.filter("y = 1"))[1] == "default"
+
+
+def test_labels_of_links(spark):
+    named = spark.createDataFrame([("b", "a", "explicit"), ("c", "d", "inferred"), ("e", "f", "explicit")], "from_path string, to_path string, link_origin string")
+    pairs = spark.createDataFrame([("a", "b"), ("c", "d"), ("x", "y"), ("g", "h")], "a string, b string")
+    told = spark.createDataFrame([("h", "g"), ("e", "f")], "path string, mentioned string")
+    assert {tuple(r) for r in linking.labelled(named, pairs, told).collect()} == {("a", "b", 1), ("c", "d", 0), ("x", "y", 0)}
+
+
+def test_grid_and_failures(spark):
+    gold = spark.createDataFrame([("1", ["/a"], []), ("2", [], [])], "query string, expected array<string>, acceptable array<string>")
+    cands = spark.createDataFrame([("1", "/a", 0.8, 0.6, 0.9), ("1", "/b", 0.1, None, 0.9), ("2", "/c", 0.9, None, 0.9)], "query string, path string, lex_conf double, sim double, importance double")
+    settings = [gate.GateParams(min_confidence=c, sim_zero=z) for c in (0.1, 0.85, 0.95) for z in (0.5, 0.59)]
+    got = gate.grid(gold, cands, settings).collect()
+    for r in got:
+        p = settings[r.setting]
+        want = gate.evaluate(gold, gate.select_hits(gate.threshold_confidence(cands, p), p.min_confidence, p)).first()
+        assert (r.recall, r.precision, r.false_positive_rate, r.injection_rate) == tuple(want) and r.min_confidence == p.min_confidence
+    assert len(got) == 6 and gate.recommend(gate.grid(gold, cands, settings)).count() == 1
+    scored = gate.threshold_confidence(cands)
+    assert {(r.query, r.kind, r.path) for r in gate.failures(gold, scored, 0.9).collect()} == {("1", "missed", "/a"), ("1", "missed", "/b"), ("2", "wrong", "/c")}
+    assert gate.candidate_pool(scored).count() == 3
+    frontier = {r.threshold: r.recall for r in gate.sweep(gold, scored, [0.5, 0.9]).collect()}
+    assert frontier == {0.5: 1.0, 0.9: 0.0}
+    gone, told = spark.createDataFrame([("/a",)], "path string"), spark.createDataFrame([("2", "/c")], "query string, path string")
+    assert [r.path for r in gate.without(cands, gone, told).collect()] == ["/b"]
 
 
 def test_never_used(spark):
@@ -102,20 +165,75 @@ def test_mentions(spark):
 
 
 def test_spine_joins_a_project(spark):
-    pairs = spark.createDataFrame([("p", "a", "b", 0.9), ("p", "b", "c", 0.8), ("p", "a", "c", 0.7), ("p", "c", "d", 0.1)], "project string, a string, b string, confidence double")
-    members = spark.createDataFrame([("p", x) for x in "abcd"], "project string, path string")
-    none = spark.createDataFrame([], "project string, a string, b string")
-    assert {(r.a, r.b) for r in linking.spine(pairs, members, none).collect()} == {("a", "b"), ("b", "c"), ("c", "d")}
-    known = spark.createDataFrame([("p", "a", "c")], "project string, a string, b string")
-    assert {(r.a, r.b) for r in linking.spine(pairs, members, known).collect()} == {("a", "b"), ("c", "d")}
+    pairs = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.8), ("a", "c", 0.7), ("c", "d", 0.1), ("d", "z", 1.0)], "a string, b string, confidence double")
+    members = spark.createDataFrame([("p", x) for x in "abcd"] + [("q", "z")], "project string, path string")
+    none = spark.createDataFrame([], "a string, b string")
+    run = lambda known, rejected: {(r.project, r.a, r.b) for r in linking.spine(pairs, members, known, rejected).collect()}
+    assert run(none, none) == {("p", "a", "b"), ("p", "b", "c"), ("p", "c", "d")}
+    one = spark.createDataFrame([("a", "c")], "a string, b string")
+    assert run(one, none) == {("p", "a", "b"), ("p", "c", "d")}
+    assert run(none, spark.createDataFrame([("a", "b")], "a string, b string")) == {("p", "b", "c"), ("p", "a", "c"), ("p", "c", "d")}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_spine_is_kruskals(spark, seed):
+    rng = np.random.default_rng(seed)
+    names = [f"n{i:02}" for i in range(30)]
+    rows = [(a, b, float(rng.integers(0, 5)) / 5) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.2]
+    root = {x: x for x in names}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    want = set()
+    for a, b, _ in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want.add((a, b))
+    members = spark.createDataFrame([("p", x) for x in names], "project string, path string")
+    none = spark.createDataFrame([], "a string, b string")
+    assert {(r.a, r.b) for r in linking.spine(spark.createDataFrame(rows, "a string, b string, confidence double"), members, none, none).collect()} == want
+
+
+def test_pairs_for_a_spine_always_connect(spark):
+    members = spark.createDataFrame([("p", x) for x in "abcd"] + [("q", "z")], "project string, path string")
+    some = spark.createDataFrame([("b", "c"), ("c", "z")], "a string, b string")
+    assert {tuple(r) for r in linking.spine_pairs(members, some).collect()} == {("a", "b"), ("a", "c"), ("a", "d"), ("b", "c")}
+    assert linking.spine_pairs(members, some, exact=True).count() == 6
+
+
+def test_routing_holds_back_and_says_so(spark):
+    scored = spark.createDataFrame([(f"a{i}", f"b{i}", 0.7 + i / 1e5) for i in range(1200)] + [("x", "y", 0.5), ("s", "t", 0.9)], "a string, b string, confidence double")
+    named = spark.createDataFrame([], "from_path string, to_path string, link_origin string, confidence double")
+    settled = spark.createDataFrame([("s", "t")], "a string, b string")
+    count = lambda df: {r.action: r["count"] for r in df.groupBy("action").count().collect()}
+    assert count(linking.route(scored, named, settled)) == {"link": 1200, "suggest": 1}
+    assert count(linking.route(scored, named, settled, most=1000)) == {"link": 1000, "held": 200, "suggest": 1}
 
 
 def test_relative_dates(spark):
-    text = "Gestern war es da, `heute` nicht.\n```\nmorgen\n```\nÜbermorgen wieder, gestern auch."
+    text = "Gestern war es da, `heute` nicht.\n```\nmorgen\n```\nÜbermorgen, morgen früh und Morgen zählen nicht, gestern und übermorgen schon."
     r = one(spark, tx.relative_dates(F.lit(text), F.lit("2024-03-10").cast("date")).alias("d"))
-    assert r.d == ["gestern=2024-03-09", "übermorgen=2024-03-12"]
-    r = one(spark, tx.rewrite_relative_dates(F.lit("Gestern und `gestern`."), F.lit("2024-03-10").cast("date")).alias("d"))
-    assert r.d == "Gestern (2024-03-09) und `gestern`."
+    assert r.d == ["Gestern=2024-03-09", "gestern=2024-03-09", "übermorgen=2024-03-12"]
+    r = one(spark, tx.rewrite_relative_dates(F.lit("Gestern und `gestern`, morgen früh."), F.lit("2024-03-10").cast("date")).alias("d"))
+    assert r.d == "Gestern (2024-03-09) und `gestern`, morgen früh."
+
+
+def test_titles_tags_headlines_and_trivial_prompts(spark):
+    text = " ".join(f"w{i}" for i in range(60)) + " the Index here " + " ".join(f"v{i}" for i in range(60))
+    r = one(spark, tx.headline(F.lit(text), ["index"]).alias("a"), tx.headline(F.lit("one two"), ["index"]).alias("b"), tx.title_of(F.lit("\n  \n First line \nmore")).alias("c"), tx.title_of(F.lit("x" * 200)).alias("d"), tx.title_of(F.lit(None).cast("string")).alias("e"), tx.tag_list(F.lit("a, B ,,b, c"), ["C", "d"]).alias("f"), F.array(*[tx.trivial_prompt(F.lit(x)) for x in ("/clear", "/run quartz lattice", "ok", "quartz lattice", None)]).alias("g"))
+    assert "«Index»" in r.a and len(r.a.split()) == 25 and r.b == "one two" and r.c == "First line" and (len(r.d), r.d[-3:], r.e) == (120, "...", "")
+    assert r.f == ["a", "B", "c", "d"] and r.g == [True, False, True, False, True]
+
+
+def test_usage_of_what_was_shown(spark):
+    words = {"/a": "quartz lattice symmetry", "/b": "river delta sediment", "/c": "violin string tension"}
+    corpus = spark.createDataFrame([(p, "", w) for p, w in words.items()], "path string, title string, body string")
+    replies = spark.createDataFrame([("1", "/a", "what now", "the quartz lattice has symmetry"), ("2", "/b", "what now", "violin tension"), ("3", "/c", "what", "see /c there"), ("4", "/none", "what", "quartz")], "query string, path string, prompt string, reply string")
+    got = {r.query: (r.rank_share, r.used) for r in retrieval.judge(retrieval.usage_rank(corpus, replies), corpus).collect()}
+    assert got == {"1": (round(1 / 3, 9), True), "2": (1.0, False), "3": (0.0, True), "4": (1.0, False)}
 
 
 def test_text_columns(spark):
