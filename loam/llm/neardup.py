@@ -1,16 +1,18 @@
 """Near-duplicate records: fingerprints in Gray order, a hierarchical index, and exact verification.
 
 1. Each record becomes its set of word runs; records with the same set are one class, represented once.
-2. A class gets min-hashes of its set. One bit of each makes a 128-bit fingerprint, and groups of `ROWS` of them make
-   band keys. The share of bands is chosen so that two sets at the threshold agree on some band with probability
-   1 - loss; above the threshold the loss falls fast. (The fingerprint's Hamming distance alone can't prune at such
-   similarities: sets at 0.5 differ in a quarter of the bits. The band is the top of the hierarchy, the part of the
-   pattern on which no difference is allowed.)
-3. Within a band key, fingerprints are sorted by Gray rank and joined through the index of gray.py; the radius keeps all
-   but `loss` of the pairs at the threshold.
-4. A band key with more than `HOT` rows is cut into blocks of consecutive Gray ranks; each pair of blocks is a task of its
+2. A class gets min-hashes of its set. One bit of each makes a 128-bit fingerprint, and groups of `ROWS` of them make the
+   masked patterns of the topmost nodes of the index, on which no difference is allowed: a record lies below one node for
+   each of its `bands` patterns. Their number is chosen so that two sets at the threshold share some pattern with probability
+   1 - loss; above the threshold the loss falls fast. (Sets at 0.5 differ in a quarter of the fingerprint's bits and unlike ones
+   in half, so without such patterns nothing could be pruned before most bits are compared.)
+3. Below a pattern, fingerprints are sorted by Gray rank; runs of alike ones are factored into nodes of shared masked bits,
+   those into nodes of the next level. The index is descended from the patterns (gray.forest), and groups are left as soon as
+   their accumulated differences exceed the radius, which keeps all but `loss` of the pairs at the threshold. Every
+   candidate comes out of this descent, whatever the size of its group.
+4. A pattern with more than `HOT` rows is cut into blocks of consecutive Gray ranks; each pair of blocks is a task of its
    own, so no task gets an unbounded group, and nothing is dropped.
-5. Candidates are verified on their whole sets.
+5. Candidates are verified on their whole sets; a record with many candidates meets them in blocks.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.gray import BITS, FAN, gray_code, gray_rank, join
+from loam.llm.gray import BITS, forest, gray_code, gray_rank, join
 from loam.llm.words import WordHashes, distinct_runs, hash_words, mix
+from loam.operators.blocks import blocked, expand, pairs_within
 from loam.operators.components import connected_components
 from loam.session import lookup_join, materialize, semi_join, worker_cache
 
@@ -35,8 +38,6 @@ ROWS = 3
 LOSS = 0.002
 #: Rows of a band key that one task joins; larger ones are cut into blocks of this size.
 HOT = 4096
-#: Up to this size a group is compared row by row, without a tree.
-FLAT = 32
 TOP = np.uint64(1 << 63)
 
 
@@ -127,22 +128,12 @@ def _codes(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _group_pairs(key: np.ndarray, num: np.ndarray, hi: np.ndarray, lo: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs within the radius of rows with the same key; rows are sorted by key and Gray rank."""
     hi, lo = _codes(hi, lo)
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(first, len(key)))
-    of = np.repeat(size, size)
-    out = []
-    for step in range(1, min(FLAT, int(size.max()))):
-        i = np.flatnonzero((key[:-step] == key[step:]) & (of[:-step] <= FLAT))
-        if len(i):
-            d = np.bitwise_count(hi[i] ^ hi[i + step]) + np.bitwise_count(lo[i] ^ lo[i + step])
-            i = i[d <= radius]
-            out.append((num[i], num[i + step]))
-    for at, n in zip(first[size > FLAT], size[size > FLAT], strict=True):
-        i, j = join((hi[at : at + n], lo[at : at + n]), None, radius)
-        out.append((num[at + i], num[at + j]))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+    several = np.append(False, key[1:] == key[:-1])
+    several[:-1] |= several[1:]  # a pattern of one row has no tree
+    at = np.flatnonzero(several)
+    new = key[at][1:] != key[at][:-1]
+    i, j = forest(np.append(0, np.cumsum(new)) if len(at) else at, hi[at], lo[at], radius)
+    a, b = num[at[i]], num[at[j]]
     return np.minimum(a, b), np.maximum(a, b)
 
 
@@ -266,22 +257,26 @@ def near_duplicates(df: DataFrame, id_column: str, columns: Sequence[str], thres
     bodies = lookup_join(source, ids, "id", "inner", n_wanted).dropDuplicates(["num"]).select("num", *texts)
     sets_of = bodies.mapInArrow(grams(texts, n), "num long, grams array<long>")
     sets_of = materialize(sets_of.join(ids, "num"))
-    left = sets_of.select(F.col("num").alias("a"), F.col("grams").alias("ga"), F.col("id").alias("ia"))
-    right = sets_of.select(F.col("num").alias("b"), F.col("grams").alias("gb"), F.col("id").alias("ib"))
-    shared = F.size(F.array_intersect("ga", "gb"))
-    scored = pairs.join(left, "a").join(right, "b").withColumn("s", shared)
+    scored = _meet(_meet(pairs, sets_of, "b", "a"), sets_of, "a", "b").withColumn("s", F.size(F.array_intersect("ga", "gb")))
     similarity = F.col("s") / (F.size("ga") + F.size("gb") - F.col("s"))
     scored = scored.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), similarity.alias("similarity"))
     return NearDuplicates(records.select("id"), members, scored.filter((F.col("similarity") >= threshold) & (F.col("a") < F.col("b"))))
 
 
+def _meet(pairs: DataFrame, sets: DataFrame, end: str, other: str) -> DataFrame:
+    """Pairs with the set and id (g.., i..) of one end. An end with many pairs is met in blocks of them, so its set doesn't gather them all in one task."""
+    rows, many = blocked(pairs, end, other)
+    there = sets.select(F.col("num").alias(end), F.col("grams").alias(f"g{end}"), F.col("id").alias(f"i{end}"))
+    there = lookup_join(there, many, end, "left").withColumn("own", F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1))).drop("cuts")
+    return rows.drop("cuts").join(there, [end, "own"]).drop("own")
+
+
 def expand_pairs(found: NearDuplicates) -> DataFrame:
-    """All pairs of records (id_a < id_b), those within a class included. Its size is that of the result asked for: quadratic in a class."""
+    """All pairs of records (id_a < id_b), those within a class included, as the definition of a found pair asks. The result is quadratic in a class; a large class is opened in blocks, each two of them by a task."""
     m = found.members
-    within = m.alias("x").join(m.alias("y"), "class_id").filter("x.id < y.id").select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
-    a = m.select(F.col("class_id").alias("a"), F.col("id").alias("xa"))
-    b = m.select(F.col("class_id").alias("b"), F.col("id").alias("xb"))
-    across = found.pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left")
+    within = pairs_within(m, "class_id", "id").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    across = expand(found.pairs.select("a", "b"), m.select(F.col("class_id").alias("a"), F.col("id").alias("xa")), "a", "xa")
+    across = expand(across, m.select(F.col("class_id").alias("b"), F.col("id").alias("xb")), "b", "xb")
     x, y = F.coalesce("xa", "a"), F.coalesce("xb", "b")
     across = across.select(F.least(x, y).alias("id_a"), F.greatest(x, y).alias("id_b"))
     return within.unionByName(across)
@@ -297,4 +292,4 @@ def groups(found: NearDuplicates) -> DataFrame:
     return rows.select("id", "class_id", F.coalesce("component", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-__all__ = ["near_duplicates", "expand_pairs", "groups", "NearDuplicates", "FAN"]
+__all__ = ["near_duplicates", "expand_pairs", "groups", "NearDuplicates"]

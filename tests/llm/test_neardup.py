@@ -1,10 +1,12 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from loam.llm.gray import gray_code, gray_rank, join
+from loam.llm import neardup
+from loam.llm.gray import forest, gray_code, gray_rank, join
 from loam.llm.neardup import expand_pairs, groups, near_duplicates
 
 WORD = re.compile(r"[^\W_]+")
@@ -47,6 +49,62 @@ def test_index_join_is_exact(n, radius):
         assert set(zip(i.tolist(), (j + half).tolist(), strict=True)) == {p for p in want if p[0] < half <= p[1]}
 
 
+def clusters(sizes, noise, seed=0):
+    """Fingerprints of several trees in Gray order; the rows of a tree lie in clusters that differ in about 128 / 2^noise bits."""
+    rng = np.random.default_rng(seed)
+    his, los = [], []
+    for n in sizes:
+        base = rng.integers(0, 1 << 63, (2, max(1, n // 5)), dtype=np.uint64)
+        pick, z = rng.integers(0, base.shape[1], n), rng.integers(0, 1 << 63, (2 * noise, n), dtype=np.uint64)
+        hi, lo = base[0][pick] ^ np.bitwise_and.reduce(z[:noise]), base[1][pick] ^ np.bitwise_and.reduce(z[noise:])
+        order = np.lexsort(gray_rank(hi, lo)[::-1])
+        his.append(hi[order])
+        los.append(lo[order])
+    return np.repeat(np.arange(len(sizes)), sizes), np.concatenate(his), np.concatenate(los)
+
+
+@pytest.mark.parametrize("noise", [3, 5])
+@pytest.mark.parametrize("radius", [0, 20, 47, 128])
+def test_forest_is_exact(radius, noise):
+    tree, hi, lo = clusters([2, 3, 1, 9, 8, 64, 65, 700, 1, 2, 513], noise)
+    d = np.bitwise_count(hi[:, None] ^ hi) + np.bitwise_count(lo[:, None] ^ lo)
+    i, j = np.nonzero((d <= radius) & (tree[:, None] == tree))
+    want = {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b}
+    i, j = forest(tree, hi, lo, radius)
+    assert len(i) == len(want) and set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_forest_leaves_groups_before_it_looks_at_pairs():
+    """With tight clusters, most pairs of groups are left by their accumulated differences, and few pairs of rows are compared."""
+    tree, hi, lo = clusters([2000, 700], 5)
+    seen = Counter()
+    i, _ = forest(tree, hi, lo, 20, seen)
+    every = 2000 * 1999 // 2 + 700 * 699 // 2
+    assert seen["left"] > 0.9 * seen["groups"] > 0 and seen["pairs"] < every / 20 and seen["pairs"] >= len(i) > 1000
+
+
+def test_every_pair_comes_out_of_the_index(spark, monkeypatch):
+    rows = corpus()
+    near_all = [tuple(r) for r in expand_pairs(near_duplicates(frame(spark, rows), "id", ["title", "body"], threshold=0.5, n=3)).collect()]
+    monkeypatch.setattr(neardup, "forest", lambda tree, hi, lo, radius: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    found = near_duplicates(frame(spark, rows), "id", ["title", "body"], threshold=0.5, n=3)
+    assert len(near_all) > 50 and found.pairs.count() == 0
+
+
+def test_large_classes_and_many_links_are_met_in_blocks(spark, monkeypatch):
+    from loam.operators import blocks
+
+    monkeypatch.setattr(blocks.blocked, "__defaults__", (7,))
+    monkeypatch.setattr(blocks.pairs_within, "__defaults__", (7,))
+    monkeypatch.setattr(blocks.expand, "__defaults__", (7,))
+    words = [f"w{i}" for i in range(60)]
+    same = [(f"s{i:02}", " ".join(words), "") for i in range(40)]
+    near = [(f"n{i:02}", " ".join(words + [f"x{i}", f"y{i}", f"z{i}"]), "") for i in range(20)]
+    rows = same + near
+    got = [tuple(r) for r in expand_pairs(near_duplicates(frame(spark, rows), "id", ["title", "body"], threshold=0.5, n=3)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.5, 3) and len(got) == 60 * 59 // 2
+
+
 def corpus(seed=2):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(400)]
