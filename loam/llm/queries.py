@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.llm.knn import knn, neighbour_pairs
 from loam.llm.language import languages, wrong_labels
-from loam.llm.leakage import leak_report, leaked_items
+from loam.llm.leakage import leak_report, leaked_items, leaks_by_field
 from loam.llm.mixing import Mix, mix_sources
 from loam.llm.neardup import expand_pairs, groups, near_duplicates
 from loam.llm.splitting import oversized, split_documents
@@ -44,16 +44,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbour_pairs(knn(read_table(spark, d, "memory_nodes"), "id", "embedding", dims=384, k=5, ties=1e-6))
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
-
-
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+    return leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    return leak_report(_leaks(spark, d)).withColumnRenamed("item", "item_id")
+    return leak_report(leaks_by_field(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))).withColumnRenamed("item", "item_id")
 
 
 def _mix(spark: SparkSession, d: str) -> Mix:
@@ -79,11 +75,11 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_segments": p2_segments, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_pieces": p8_pieces}
 
 _P6 = """
-WITH i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(t), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM (SELECT item_id, prompt AS t FROM eval_items UNION ALL SELECT item_id, passage FROM eval_items)),
-ir AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 12), lambda i: array_to_string(ws[i:i + 13], ' '))) AS run FROM i WHERE len(ws) >= 14),
+WITH i AS (SELECT item_id, field, list_filter(regexp_split_to_array(lower(t), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM (SELECT item_id, 'prompt' AS field, prompt AS t FROM eval_items UNION ALL SELECT item_id, 'passage', passage FROM eval_items)),
+ir AS (SELECT DISTINCT item_id, field, unnest(list_transform(range(1, len(ws) - 12), lambda i: array_to_string(ws[i:i + 13], ' '))) AS run FROM i WHERE len(ws) >= 14),
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
 dr AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 12), lambda i: array_to_string(ws[i:i + 13], ' '))) AS run FROM d WHERE len(ws) >= 14)
-SELECT DISTINCT doc_id, item_id FROM dr JOIN ir ON dr.run = ir.run
+SELECT DISTINCT doc_id, item_id, field FROM dr JOIN ir ON dr.run = ir.run
 """
 
 ORACLE = {
@@ -101,6 +97,6 @@ r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC) AS rn FROM s)
 k AS (SELECT x, min(s) AS kth FROM r WHERE rn <= 5 GROUP BY x)
 SELECT DISTINCT least(s.x, s.y) AS id_a, greatest(s.x, s.y) AS id_b FROM s JOIN k ON s.x = k.x WHERE s.s >= k.kth - 0.000001
 """,
-    "p6_found": _P6,
-    "p6_report": f"SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM ({_P6}) GROUP BY item_id",
+    "p6_found": f"SELECT DISTINCT doc_id, item_id FROM ({_P6})",
+    "p6_report": f"SELECT item_id, count(*) AS n_docs, count(*) FILTER (q) AS n_prompt, count(*) FILTER (a) AS n_passage, count(*) FILTER (q AND a) AS n_both FROM (SELECT item_id, doc_id, bool_or(field = 'prompt') AS q, bool_or(field = 'passage') AS a FROM ({_P6}) GROUP BY 1, 2) GROUP BY 1",
 }
