@@ -78,3 +78,14 @@ def test_searches_of_queries(spark):
     queries = spark.createDataFrame([("/00001", [float(x) for x in v[7]]), ("zero", [0.0] * 16), ("short", [1.0])], "id string, vec array<float>").filter(F.size("vec") == 16)
     got = vl.among_queries(rows, queries, 16, 3).collect()
     assert len(got) == 3 and {r.id for r in got} == {"/00001"} and max(got, key=lambda r: r.similarity).neighbour == "/00007"
+
+
+@pytest.mark.parametrize("target", [10, 200, 10000])
+def test_packing_holds_every_list_once(target):
+    c, n = vl.fit_centroids(vl.unit(clustered(500, 16)), 40)
+    weights = n.astype(float)
+    of, parts = vl.pack_lists(c, weights, target)
+    assert set(of) == set(range(parts))
+    load = np.bincount(of, weights)
+    assert all(load[p] <= target or (of == p).sum() == 1 for p in range(parts))
+    assert vl.pack_lists(c[:0], weights[:0], target)[1] == 0
