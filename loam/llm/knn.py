@@ -1,14 +1,12 @@
 """Most similar vectors for every vector: an inverted file scanned with adaptive dimensions.
 
-1. Spherical k-means on a bounded sample gives the lists; every vector is indexed in the list of its nearest centroid.
-2. Neighbouring lists are packed into parts of about `PART` vectors. A list above that is cut into chunks by hash. A vector
-   travels to the part of its own list, where it is data and query, and as a query to the other parts that hold one of the
-   lists it probes.
-3. In a part, vectors are rotated by a random orthogonal matrix, so that any leading block of columns is a random
+1. Vectors lie in lists of one or two levels (operators/vector_lists.py): the number of lists grows with the vectors, each travels
+   to a bounded number of parts, and equal vectors are one row of the search.
+2. In a part, vectors are rotated by a random orthogonal matrix, so that any leading block of columns is a random
    projection. The own list is compared whole, which gives each query its k-th distance so far. Every other probed list
    is scanned block by block; after d of D columns a candidate is abandoned if its partial distance rejects, at level
    EPSILON, the hypothesis that its whole distance is within the k-th one: partial > (d/D) (1 + EPSILON/sqrt(d))^2 tau^2.
-4. What survives is compared again in double precision on the vectors as given, and the parts' results are merged.
+3. What survives is compared again in double precision on the vectors as given, and the parts' results are merged.
 
 Loss of accuracy: lists that aren't probed and candidates wrongly abandoned. `PROBES` and `EPSILON` set it; the tests hold
 the recall against brute force.
@@ -17,156 +15,21 @@ the recall against brute force.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.session import lookup_join, materialize, worker_cache
+from loam.operators.vector_lists import LISTS, MARGIN, PART, PROBES, SEED, among_all, part_rows, unit, wide
+from loam.session import worker_cache
 
-#: Most vectors that the centroids are fitted on, most lists, and iterations.
-SAMPLE, LISTS, ITERATIONS = 16384, 4096, 6
-#: Lists are so many times the square root of the vectors' number.
-DENSITY = 4
-#: Vectors of a list on average, at least.
-LEAST = 64
-#: Lists that a vector probes at most; those whose centroid is less similar than the best one by more than MARGIN are left.
-PROBES, MARGIN = 4, 0.1
-#: Lists that it probes at most in its own part, where nothing has to travel.
-OWN_PROBES = 24
-#: Vectors of a part.
-PART = 4000
 EPSILON = 2.1
 BLOCK = 64
 #: Slack of single precision.
 SLACK = 1e-4
 #: Entries of a tile, pairs that are compared at once, and the share of a tile above which it is scanned densely.
 TILE, PAIRS, DENSE = 1 << 20, 1 << 16, 0.2
-SEED = 20240229
-
-
-def usable(vectors: np.ndarray) -> np.ndarray:
-    """Rows of finite numbers that aren't all zero."""
-    return np.isfinite(vectors).all(1) & (vectors != 0).any(1)
-
-
-def unit(vectors: np.ndarray) -> np.ndarray:
-    v = vectors.astype(np.float64)
-    v /= np.abs(v).max(1, keepdims=True)
-    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-
-
-def fit_centroids(vectors: np.ndarray, lists: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means over unit vectors: centroids and the number of vectors of each. Empty lists restart from the worst represented vectors."""
-    rng = np.random.default_rng(seed)
-    lists = max(1, min(lists, len(vectors)))
-    centroids = vectors[rng.choice(len(vectors), lists, replace=False)].copy()
-    for _ in range(ITERATIONS):
-        sims = vectors @ centroids.T
-        own = sims.argmax(1)
-        counts = np.bincount(own, minlength=lists)
-        order = np.argsort(own, kind="stable")
-        there = np.flatnonzero(counts)
-        sums = np.add.reduceat(vectors[order], np.append(0, np.cumsum(counts[there])[:-1]), axis=0)
-        norms = np.linalg.norm(sums, axis=1, keepdims=True)
-        centroids[there] = sums / np.where(norms > 0, norms, 1)
-        empty = np.flatnonzero(counts == 0)
-        if len(empty):
-            centroids[empty] = vectors[np.argsort(sims.max(1), kind="stable")[: len(empty)]]
-    own = (vectors @ centroids.T).argmax(1)
-    return centroids, np.bincount(own, minlength=lists)
-
-
-def pack_lists(centroids: np.ndarray, weights: np.ndarray, target: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """First part and number of chunks of each list, and the number of parts: lists are halved along their main direction until a half weighs at most the target."""
-    first, chunks = np.zeros(len(weights), np.int32), np.ones(len(weights), np.int32)
-    parts, stack = 0, [np.arange(len(weights))]
-    while stack:
-        ids = stack.pop()
-        if len(ids) == 1 or weights[ids].sum() <= target:
-            n = max(1, math.ceil(weights[ids].sum() / (2 * target))) if len(ids) == 1 else 1
-            first[ids], chunks[ids], parts = parts, n, parts + n
-            continue
-        c = centroids[ids].astype(np.float64)
-        c -= c.mean(0)
-        axis = np.linalg.svd(c, full_matrices=False)[2][0]
-        ids = ids[np.argsort(c @ axis, kind="stable")]
-        run = np.cumsum(weights[ids] + 1e-9)
-        cut = min(max(1, int(np.searchsorted(run, run[-1] / 2))), len(ids) - 1)
-        stack += [ids[:cut], ids[cut:]]
-    return first, chunks, parts
-
-
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    """Lists of exactly dims floats as a matrix."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dims)
-
-
-def _narrow(vectors: np.ndarray) -> np.ndarray:
-    """In half precision if that holds every number exactly, as it does for vectors that were computed in it."""
-    with np.errstate(over="ignore"):
-        half = vectors.astype(np.float16)
-    return half if (half.astype(np.float32) == vectors).all() else vectors
-
-
-def _wide(rows: list[bytes], dims: int) -> np.ndarray:
-    if len({len(x) for x in rows}) == 1:
-        return np.frombuffer(b"".join(rows), np.float16 if len(rows[0]) == 2 * dims else np.float32).reshape(-1, dims).astype(np.float32)
-    return np.stack([np.frombuffer(x, np.float16 if len(x) == 2 * dims else np.float32).astype(np.float32) for x in rows])
-
-
-def route(centroids: np.ndarray, first: np.ndarray, chunks: np.ndarray, dims: int, probes: int, margin: float):
-    """A function over batches of (id, h, vec): a row for each part that the vector travels to."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                v = _matrix(batch.column("vec"), dims)
-                ok = np.flatnonzero(usable(v))
-                v = v[ok]
-                if not len(ok):
-                    continue
-                ids, h = batch.column("id").take(pa.array(ok)), batch.column("h").to_numpy()[ok]
-                sims = unit(v) @ centroids.T
-                p = min(max(probes, OWN_PROBES), sims.shape[1])
-                near = np.argpartition(-sims, p - 1, axis=1)[:, :p] if p < sims.shape[1] else np.tile(np.arange(p), (len(v), 1))
-                near_sims = np.take_along_axis(sims, near, 1)
-                order = np.argsort(-near_sims, axis=1, kind="stable")
-                near, near_sims = np.take_along_axis(near, order, 1), np.take_along_axis(near_sims, order, 1)
-                home = near[:, 0]
-                close = (near_sims >= near_sims[:, :1] - margin) & (np.arange(p) < probes)
-                probed = close | ((first[near] == first[home][:, None]) & (chunks[near] == 1))
-                home_part = first[home] + h % chunks[home]
-                row, col = np.nonzero(probed)
-                lists = near[row, col]
-                n = chunks[lists]  # a probed list may lie in several parts
-                row, lists = np.repeat(row, n), np.repeat(lists, n)
-                part = first[lists] + (np.arange(len(lists)) - np.repeat(np.cumsum(n) - n, n))
-                order = np.lexsort((part, row))
-                row, lists, part = row[order], lists[order], part[order]
-                start = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])))
-                who, where = row[start], part[start]
-                offsets = np.append(start, len(row)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(where.astype(np.int32)),
-                        pa.array(np.where(where == home_part[who], home[who], -1).astype(np.int32)),
-                        ids.take(pa.array(who)),
-                        pa.array([x.tobytes() for x in _narrow(v)[who]], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(lists.astype(np.int32))),
-                    ],
-                    ["part", "home", "id", "vec", "probes"],
-                )
-
-    return run
-
-
-ROUTED = "part int, home int, id string, vec binary, probes array<int>"
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -251,35 +114,22 @@ def search_part(dims: int, k: int, ties: float):
     """A function over one part: the k best of each query among the lists it probes here, and what lies within `ties` of the k-th."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("home", "ascending"), ("id", "ascending")])
-        home, ids = table.column("home").to_numpy(), table.column("id")
-        again = np.append(False, (home[1:] == home[:-1]) & pc.equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy())
-        if again.any():
-            table = table.filter(pa.array(~again)).combine_chunks()
-            home, ids = home[~again], table.column("id")
-        raw = _wide(table.column("vec").to_pylist(), dims)
+        table, home, where, probed, row = part_rows(table)
+        ids = table.column("id")
+        raw = wide(table.column("vec"), dims)
         scan = Scan(unit(raw) @ rotation(dims), k)
-        lists, counts = np.unique(home[home >= 0], return_counts=True)
-        begin = np.append(0, np.cumsum(counts))[:-1] + (home < 0).sum()
-        where = {int(x): slice(int(b), int(b + n)) for x, b, n in zip(lists, begin, counts, strict=True)}
         for data in where.values():
             scan.whole(np.arange(data.start, data.stop), data)
-        probes = table.column("probes").combine_chunks()
-        probed, row = probes.flatten().to_numpy(), np.repeat(np.arange(len(home)), np.diff(probes.offsets.to_numpy()))
         other = probed != home[row]
         probed, row = probed[other], row[other]
-        order = np.argsort(probed, kind="stable")
-        probed, row = probed[order], row[order]
         for x in np.unique(probed):
             if int(x) in where:
                 scan.adaptive(row[np.searchsorted(probed, x) : np.searchsorted(probed, x, "right")], where[int(x)])
         q, x, s = [np.concatenate(y) for y in zip(*scan.found, strict=True)] if scan.found else [np.empty(0, t) for t in (int, int, np.float32)]
         ok = s >= scan.best[q, 0] - SLACK - ties
         q, x = q[ok], x[ok]
-        wide = raw.astype(np.float64)
-        wide /= np.abs(wide).max(1, keepdims=True)
-        wide /= np.linalg.norm(wide, axis=1, keepdims=True)
-        exact = np.concatenate([np.einsum("ij,ij->i", wide[q[at : at + PAIRS]], wide[x[at : at + PAIRS]]) for at in range(0, len(q), PAIRS)]) if len(q) else np.empty(0)
+        exact_rows = unit(raw, np.float64)
+        exact = np.concatenate([np.einsum("ij,ij->i", exact_rows[q[at : at + PAIRS]], exact_rows[x[at : at + PAIRS]]) for at in range(0, len(q), PAIRS)]) if len(q) else np.empty(0)
         order = np.lexsort((-exact, q))
         q, x, exact = q[order], x[order], exact[order]
         first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.empty(0, int)
@@ -291,17 +141,7 @@ def search_part(dims: int, k: int, ties: float):
     return run
 
 
-def top_k(rows: DataFrame, k: int, ties: float) -> DataFrame:
-    """The k best rows of each id (equal ones by neighbour), and with ties > 0 also all within `ties` of the k-th."""
-    best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-    ranked = rows.withColumn("_rank", F.row_number().over(best))
-    if ties > 0:
-        kth = F.min(F.when(F.col("_rank") <= k, F.col("similarity"))).over(Window.partitionBy("id"))
-        return ranked.withColumn("_kth", kth).filter(F.col("similarity") >= F.col("_kth") - ties).drop("_rank", "_kth")
-    return ranked.filter(F.col("_rank") <= k).drop("_rank")
-
-
-def knn(df: DataFrame, id_column: str, vector_column: str, dims: int, k: int = 5, ties: float = 0.0, probes: int = PROBES, margin: float = MARGIN, lists: int | None = None, part: int = PART) -> DataFrame:
+def knn(df: DataFrame, id_column: str, vector_column: str, dims: int, k: int = 5, ties: float = 0.0, probes: int = PROBES, margin: float = MARGIN, lists: int | None = None, part: int = PART, most: int = LISTS) -> DataFrame:
     """(id, neighbour, similarity): for every usable vector its k most similar other ones by cosine, and those within `ties` of the k-th.
 
     Usable is a vector of `dims` finite numbers that aren't all zero; others, and rows without an id, neither ask nor
@@ -309,55 +149,7 @@ def knn(df: DataFrame, id_column: str, vector_column: str, dims: int, k: int = 5
     Fewer than k others: all of them. An empty table gives an empty result; other columns are ignored."""
     rows = df.filter(F.col(f"`{id_column}`").isNotNull() & (F.size(F.col(f"`{vector_column}`")) == dims))
     rows = rows.select(F.col(f"`{id_column}`").cast("string").alias("id"), F.col(f"`{vector_column}`").cast("array<float>").alias("vec"))
-    hashes = [F.xxhash64("vec").alias("h1"), F.xxhash64("vec", F.lit(1)).alias("h2")]
-    hashed = rows.select("id", *hashes)
-    copies = materialize(hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    counted = copies.agg(F.count(F.lit(1)), F.count(F.when(F.col("n") > 1, 1))).first()
-    n, n_copies = counted[0], counted[1]
-    copies = copies.filter("n > 1").select("h1", "h2", "rep")
-    empty = df.sparkSession.createDataFrame([], "id string, neighbour string, similarity double")
-    reps = rows
-    if n_copies:
-        reps = lookup_join(rows.select("id", "vec", *hashes), copies, ["h1", "h2"], "left", n_copies).filter("rep is null or id = rep").select("id", "vec")
-    reps = reps.withColumn("h", F.xxhash64("id").bitwiseAND(F.lit((1 << 62) - 1)))
-    if not n:
-        return empty
-    rate = min(1.0, 1.1 * SAMPLE / n)
-    sample = reps.filter(F.col("h") % F.lit(1 << 30) < F.lit(int(rate * (1 << 30)))).limit(SAMPLE).select("id", "vec").toArrow()
-    sample = _matrix(sample.sort_by("id").column("vec"), dims)
-    sample = unit(sample[usable(sample)])
-    if not len(sample):
-        return empty
-    wanted = lists or round(min(DENSITY * math.sqrt(n), n / LEAST))
-    centroids, counts = fit_centroids(sample, max(1, min(wanted, LISTS, len(sample) // 8)))
-    first, chunks, _ = pack_lists(centroids, (counts + 0.5) * (n / len(sample)), part)
-    routed = reps.mapInArrow(route(centroids, first, chunks, dims, probes, margin), ROUTED)
-    found = top_k(routed.groupBy("part").applyInArrow(search_part(dims, k, ties), "id string, neighbour string, similarity double"), k, ties)
-    if not n_copies:
-        return found
-    members = materialize(lookup_join(hashed.distinct(), copies, ["h1", "h2"], "inner", n_copies).select("rep", F.col("id").alias("member")))
-    if not ties:  # of equal neighbours, no more than k + 1 can be asked for
-        near = members.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy("member"))).filter(F.col("_r") <= k + 1).drop("_r")
-    else:
-        near = members
-    across = found.join(near.select(F.col("rep").alias("neighbour"), F.col("member").alias("nm")), "neighbour", "left")
-    across = across.join(members.select(F.col("rep").alias("id"), F.col("member").alias("qm")), "id", "left")
-    across = across.select(F.coalesce("qm", "id").alias("id"), F.coalesce("nm", "neighbour").alias("neighbour"), "similarity")
-    within = members.alias("a").join(near.alias("b"), "rep").filter("a.member != b.member")
-    # of the classes, only those with a usable vector are in the result of the search or all alone
-    good = reps.mapInArrow(_usable_ids(dims), "id string").select(F.col("id").alias("rep"))
-    within = within.join(good, "rep", "left_semi").select(F.col("a.member").alias("id"), F.col("b.member").alias("neighbour"), F.lit(1.0).alias("similarity"))
-    return top_k(across.unionByName(within), k, ties)
-
-
-def _usable_ids(dims: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ok = np.flatnonzero(usable(_matrix(batch.column("vec"), dims)))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ok))], ["id"])
-
-    return run
+    return among_all(rows, dims, k, ties, search_part, lists, part, most, probes, margin)
 
 
 def neighbour_pairs(found: DataFrame) -> DataFrame:
