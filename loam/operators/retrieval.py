@@ -1,27 +1,26 @@
 """Search: a lexical and a vector arm, rank fusion, re-ranking, and what is shown beside the hits.
 
 Queries come as a table (query, text, vector), so one search or a million are the same plan. Terms meet the postings in an
-equi-join; vectors are compared in blocks against the held query vectors, in parts of a bounded number."""
+equi-join, after those that no query asks for were left out; vectors meet in lists of alike ones. No query reaches the driver."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as tx
-from loam.functions.vector import cosine
-from loam.session import materialize
+from loam.functions.vector import cosine, usable_vector
+from loam.operators.vector_lists import among_queries
+from loam.session import BROADCAST_ROWS, materialize, semi_join
 from loam.visibility import days_since, importance
 
 #: Constant of the rank fusion.
 RRF_K = 60
-#: Queries that one part of a search may hold.
-MOST_VECTORS = 20_000
+#: Numbers of a vector.
+DIMS = 384
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str | None = None) -> DataFrame:
@@ -30,10 +29,11 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str | N
     return ranked.filter(F.col(name or "_rank") <= k) if name else ranked.filter(F.col("_rank") <= k).drop("_rank")
 
 
-def postings(nodes: DataFrame, key: str = "path") -> DataFrame:
-    """(key, term, tf, length) of each node's title and body."""
+def postings(nodes: DataFrame, key: str = "path", wanted: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, length) of each node's title and body; with wanted (term: distinct, materialized) only of those terms."""
     words = nodes.select(key, tx.terms(tx.document()).alias("w"))
-    return words.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(key, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    each = words.select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
+    return (each if wanted is None else semi_join(each, wanted, "term")).groupBy(key, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -43,70 +43,33 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def lexical_arm(nodes: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
     """(query, path, score): nodes with every term of the query, by the sum of tf / (1 + ln(1 + length)). A query without terms finds nothing."""
-    hits = postings(nodes).join(query_terms(queries), "term")
+    asked = query_terms(queries)
+    hits = postings(nodes, wanted=materialize(asked.select("term").distinct())).join(asked, "term")
     scored = hits.groupBy("query", "path", "wanted").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("tf") / (1.0 + F.log(1.0 + F.col("length")))).alias("score"))
     return top(scored.filter("n = wanted").select("query", "path", F.round("score", 9).alias("score")), ["query"], [F.desc("score"), F.col("path")], k)
 
 
-def _vector_scan(ids: list, matrix: np.ndarray, k: int):
-    unit = matrix / np.where((n := np.linalg.norm(matrix, axis=1, keepdims=True)) == 0, 1, n)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dims = unit.shape[1]
-        for batch in batches:
-            vectors, paths = batch.column("embedding"), batch.column("path")
-            if not batch.num_rows:
-                continue
-            v = np.asarray(vectors.flatten(), np.float64).reshape(-1, dims)
-            sims = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ unit.T
-            take = min(k, len(sims))
-            kth = np.partition(sims, len(sims) - take, axis=0)[len(sims) - take] - 1e-9
-            row, q = np.nonzero(sims >= kth)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], pa.string()), paths.take(pa.array(row)), pa.array(sims[row, q])], ["query", "path", "sim"])
-
-    return run
-
-
-def vector_arm(nodes: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
+def vector_arm(nodes: DataFrame, queries: DataFrame, k: int = 30, dims: int = DIMS) -> DataFrame:
     """(query, path, sim): the nodes most similar to each query vector. Vectors of another length, or that aren't finite or all zero, take no part on either side.
 
-    More than MOST_VECTORS queries are searched in parts, each written before the next."""
-    q = queries.select(F.col("query").cast("string"), "vector").filter("vector is not null")
-    held = q.limit(MOST_VECTORS + 1).collect()
-    if len(held) <= MOST_VECTORS:
-        return _vector_part(nodes, held, k)
-    q = materialize(q)
-    parts = -(-q.count() // MOST_VECTORS)
-    part = F.pmod(F.xxhash64("query"), F.lit(parts))
-    return reduce(DataFrame.unionByName, [materialize(_vector_part(nodes, q.filter(part == i).collect(), k)) for i in range(parts)])
-
-
-def _vector_part(nodes: DataFrame, held: list, k: int) -> DataFrame:
-    by_dims: dict[int, list] = {}
-    for r in held:
-        v = np.array([np.nan if x is None else x for x in r["vector"]], np.float64)
-        if len(v) and np.isfinite(v).all() and v.any():
-            by_dims.setdefault(len(v), []).append((r["query"], v))
-    out = nodes.select(F.lit(None).cast("string").alias("query"), "path", F.lit(0.0).alias("sim")).limit(0)
-    for dims, rows in by_dims.items():
-        usable = nodes.filter((F.size("embedding") == dims) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
-        found = usable.select("path", "embedding").mapInArrow(_vector_scan([q for q, _ in rows], np.stack([v for _, v in rows]), k), "query string, path string, sim double")
-        out = out.unionByName(found)
-    return top(out.withColumn("sim", F.round("sim", 9)), ["query"], [F.desc("sim"), F.col("path")], k)
+    Both sides are partitioned by lists of alike vectors; up to some thousands of nodes there is one part, and nothing is lost."""
+    rows = nodes.filter(usable_vector(F.col("embedding"), dims)).select(F.col("path").alias("id"), F.col("embedding").cast("array<float>").alias("vec"))
+    asked = queries.filter(usable_vector(F.col("vector"), dims)).select(F.col("query").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vec"))
+    return among_queries(rows, asked, dims, k).select(F.col("id").alias("query"), F.col("neighbour").alias("path"), F.col("similarity").alias("sim"))
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, k: int = RRF_K) -> DataFrame:
-    """(query, path, rrf, in_lexical, in_vector): 1/(k + rank) of both lists; a path that a list lacks ranks behind its last one."""
+    """(query, path, rrf, in_lexical, in_vector, na, nb, score, sim): 1/(k + rank) of both lists; a path that a list lacks ranks behind its last one. na, nb: their lengths."""
     def ranked(df: DataFrame, score: str, name: str) -> DataFrame:
         w = Window.partitionBy("query")
-        return df.select("query", "path", F.row_number().over(w.orderBy(F.desc(score), "path")).alias(name))
+        return df.select("query", "path", score, F.row_number().over(w.orderBy(F.desc(score), "path")).alias(name))
 
     a, b = ranked(lexical, "score", "ra"), ranked(vector, "sim", "rb")
     both = a.join(b, ["query", "path"], "full")
     w = Window.partitionBy("query")
     both = both.withColumn("na", F.count("ra").over(w)).withColumn("nb", F.count("rb").over(w))
     rrf = 1.0 / (k + F.coalesce("ra", F.col("na") + 1)) + 1.0 / (k + F.coalesce("rb", F.col("nb") + 1))
-    return both.select("query", "path", F.round(rrf, 12).alias("rrf"), F.col("ra").isNotNull().alias("in_lexical"), F.col("rb").isNotNull().alias("in_vector"), "na", "nb")
+    return both.select("query", "path", F.round(rrf, 12).alias("rrf"), F.col("ra").isNotNull().alias("in_lexical"), F.col("rb").isNotNull().alias("in_vector"), "na", "nb", "score", "sim")
 
 
 def rerank(hits: DataFrame, score: str, now: str) -> DataFrame:
@@ -118,11 +81,9 @@ def rerank(hits: DataFrame, score: str, now: str) -> DataFrame:
 def hybrid(nodes: DataFrame, queries: DataFrame, now: str, limit: int = 20, arm: int = 30) -> DataFrame:
     """(query, path, retrieval_score, final_score, position): fused if both arms find something, else the score of the one that does,
     else nodes that contain the query as it is, at 0.1. Decided per query, within one plan."""
-    lexical, vector = lexical_arm(nodes, queries, arm), vector_arm(nodes, queries, arm)
-    fused = fuse(lexical, vector)
-    raw = fused.join(lexical, ["query", "path"], "left").join(vector, ["query", "path"], "left")
+    fused = fuse(lexical_arm(nodes, queries, arm), vector_arm(nodes, queries, arm))
     score = F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("rrf")).otherwise(F.coalesce("score", "sim"))
-    found = raw.select("query", "path", score.alias("retrieval_score"))
+    found = materialize(fused.select("query", "path", score.alias("retrieval_score")))
     empty = queries.select(F.col("query").cast("string"), "text").join(found.select("query").distinct(), "query", "left_anti")
     plain = substring_arm(nodes, empty, arm).withColumn("retrieval_score", F.lit(0.1))
     hits = found.unionByName(plain).join(nodes.select("path", "importance", "updated_at"), "path")
@@ -130,13 +91,26 @@ def hybrid(nodes: DataFrame, queries: DataFrame, now: str, limit: int = 20, arm:
     return top(rerank(hits, "retrieval_score", now), ["query"], order, limit, "position").select("query", "path", "retrieval_score", "final_score", "position")
 
 
+#: Characters by which a query's text is sought before it is compared whole.
+PIECE = 8
+
+
 def substring_arm(nodes: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
-    """(query, path): the first k nodes by path whose title or body contains the query's text, in any case. The queries are few: those nothing else answers."""
+    """(query, path): the first k nodes by path whose title or body contains the query's text, in any case.
+
+    A query's first PIECE characters (all, if it has fewer) meet the pieces of the nodes' texts in an equi-join; what meets is
+    compared whole. So the work grows with the texts and the hits, not with nodes times queries."""
     q = queries.select(F.col("query").cast("string").alias("query"), F.lower("text").alias("_q")).filter("_q is not null and _q != ''")
-    q = materialize(q)
+    q = materialize(q.withColumn("_n", F.least(F.length("_q"), F.lit(PIECE))).withColumn("_piece", F.expr("substring(_q, 1, _n)")))
+    lengths = [(r["_n"], r["n"]) for r in q.groupBy("_n").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most PIECE rows
     n = nodes.select("path", F.lower(F.coalesce("title", F.lit(""))).alias("_t"), F.lower(F.coalesce("body", F.lit(""))).alias("_b"))
-    hits = n.join(F.broadcast(q) if q.count() <= MOST_VECTORS else q, F.col("_t").contains(F.col("_q")) | F.col("_b").contains(F.col("_q")))
-    return top(hits.select("query", "path"), ["query"], [F.col("path")], k)
+    out = n.select(F.lit(None).cast("string").alias("query"), "path").limit(0)
+    for length, count in sorted(lengths):
+        pieces = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{length}}}))"), F.lit(1)) for c in ("_t", "_b")])))
+        asked = q.filter(F.col("_n") == length).drop("_n")
+        met = n.withColumn("_piece", F.explode(pieces)).join(F.broadcast(asked) if count <= BROADCAST_ROWS // 10 else asked, "_piece")
+        out = out.unionByName(met.filter(F.col("_t").contains(F.col("_q")) | F.col("_b").contains(F.col("_q"))).select("query", "path"))
+    return top(out, ["query"], [F.col("path")], k)
 
 
 def neighbours(hits: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -164,22 +138,22 @@ def tripwire(extracted: DataFrame, queries: DataFrame, least: float = 0.85, most
     return top(vector_arm(extracted, queries, arm).filter(F.col("sim") >= least), ["query"], [F.desc("sim"), F.col("path")], most)
 
 
-def coverage(nodes: DataFrame, queries: DataFrame, n: Column, least_terms: int = 2, least_mass: float = 7.0, k: int = 60) -> DataFrame:
+def coverage(nodes: DataFrame, queries: DataFrame, least_terms: int = 2, least_mass: float = 7.0, k: int = 60) -> DataFrame:
     """(query, path, lex_conf): nodes with any term of the query, by the idf mass they cover.
 
     The confidence is the least of 1, matched mass / query mass, and 1/2 + title mass / query mass. A term that no node has
-    counts in the query's mass. n: number of nodes, which may be less than a term's df."""
-    post = postings(nodes)
-    df = tx.doc_freqs(post)
-    weight = tx.idf(n, F.coalesce("df", F.lit(0)))
-    q = query_terms(queries).join(df, "term", "left").withColumn("w", weight)
+    counts in the query's mass. Postings and document frequencies are made of the queries' terms only."""
+    asked = materialize(query_terms(queries))
+    post = materialize(postings(nodes, wanted=materialize(asked.select("term").distinct())).select("path", "term"))
+    total = nodes.agg(F.count(F.lit(1)).alias("n"))
+    q = asked.join(tx.doc_freqs(post), "term", "left").join(F.broadcast(total)).withColumn("w", tx.idf(F.col("n"), F.coalesce("df", F.lit(0)))).drop("n")
     q = q.withColumn("query_mass", F.sum("w").over(Window.partitionBy("query")))
-    titles = nodes.select("path", F.explode(tx.lexemes(F.col("title"))).alias("term"), F.lit(1).alias("in_title"))
-    hits = post.join(q, "term").join(titles, ["path", "term"], "left")
+    titles = semi_join(nodes.select("path", F.explode(tx.lexemes(F.col("title"))).alias("term")), asked.select("term").distinct(), "term").withColumn("in_title", F.lit(1))
+    hits = post.join(titles, ["path", "term"], "left").join(q, "term")
     mass = hits.groupBy("query", "path", "query_mass").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("matched"), F.sum(F.when(F.col("in_title") == 1, F.col("w")).otherwise(0.0)).alias("title_mass"))
     mass = top(mass.withColumn("matched", F.round("matched", 9)), ["query"], [F.desc("matched"), F.col("path")], k)
-    total = F.when(F.col("query_mass") == 0, 1.0).otherwise(F.col("query_mass"))
-    conf = F.least(F.lit(1.0), F.col("matched") / total, 0.5 + F.col("title_mass") / total)
+    whole = F.when(F.col("query_mass") == 0, 1.0).otherwise(F.col("query_mass"))
+    conf = F.least(F.lit(1.0), F.col("matched") / whole, 0.5 + F.col("title_mass") / whole)
     return mass.filter((F.col("n") >= least_terms) & (F.col("matched") >= least_mass)).select("query", "path", F.round(conf, 9).alias("lex_conf"))
 
 
@@ -222,7 +196,7 @@ def digest(nodes: DataFrame, budget: int, share: float = 1.0) -> DataFrame:
     """(project, position, path, chars): each project's nodes by rank score, up to the first line that exceeds the budget of characters.
 
     Rank score: importance + min(accesses, 20)/40 + 0.2 for a node of the last 30 days (column `recent`)."""
-    score = importance() + F.least("access_count", F.lit(20)) / 40.0 + F.when(F.col("recent"), 0.2).otherwise(0.0)
+    score = importance() + F.least(F.coalesce("access_count", F.lit(0)), F.lit(20)) / 40.0 + F.when(F.col("recent"), 0.2).otherwise(0.0)
     lines = nodes.select("project", "path", F.round(score, 9).alias("score"), F.length(F.concat_ws(" ", "path", tx.first_sentence(F.col("body")))).alias("chars"))
     w = Window.partitionBy("project").orderBy(F.desc("score"), "path")
     run = F.sum(F.col("chars") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -231,13 +205,21 @@ def digest(nodes: DataFrame, budget: int, share: float = 1.0) -> DataFrame:
 
 
 def pack_skipping(nodes: DataFrame, budget: int) -> DataFrame:
-    """(project, path): each project's bodies by importance, those that don't fit into what is left of the budget skipped."""
-    rows = nodes.select("project", F.struct((-importance()).alias("i"), "path", F.length(F.coalesce("body", F.lit(""))).alias("n")).alias("r"))
-    ordered = rows.groupBy("project").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("paths"))
+    """(project, path): each project's bodies by importance, those that don't fit into what is left of the budget skipped.
 
-    def step(acc: Column, r: Column) -> Column:
-        fits = acc["used"] + r["n"] <= budget
-        return F.struct(F.when(fits, acc["used"] + r["n"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["paths"], F.array(r["path"]))).otherwise(acc["paths"]).alias("paths"))
-
-    return ordered.select("project", F.explode(F.aggregate("rs", start, step)["paths"]).alias("path"))
+    One ordered pass over (project, path, length) that holds one number; a body longer than the whole budget doesn't travel."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        project, left = None, budget
+        for batch in batches:
+            keep = []
+            for i, (p, n) in enumerate(zip(batch.column("project").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+                if p != project:
+                    project, left = p, budget
+                if n <= left:
+                    left -= n
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64())).select(["project", "path"])
+
+    rows = nodes.select("project", "path", importance().alias("i"), F.length(F.coalesce("body", F.lit(""))).alias("n")).filter((F.col("n") <= budget) & F.col("project").isNotNull())
+    ordered = rows.repartition("project").sortWithinPartitions("project", F.desc("i"), "path").select("project", "path", "n")
+    return ordered.mapInArrow(run, "project string, path string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loam.functions import paths as ps
 from loam.operators import consolidate, graph, journal, linking, mutate, neighbours, stats
 from loam.operators.retrieval import vector_arm
+from loam.plans.tree import _DATED as DATED
 from loam.plans.common import DIMS, DOC, LINKS, LIVE, NOW, SHOWN, SLUG, T, Registry, links, nodes, shown, terms, usable
 from loam.session import lookup_join, materialize, read_table
 from loam.visibility import visible
@@ -54,7 +55,7 @@ def _(s, d):
 _UND = f"(SELECT from_path AS a, to_path AS b FROM {_NAMED} WHERE from_path <> to_path UNION SELECT to_path, from_path FROM {_NAMED} WHERE from_path <> to_path)"
 
 
-@R.add("components")
+@R.add("components", f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_UND}), r AS (SELECT path AS a, path AS b FROM {SHOWN} UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a AS path, min(b) AS component, count(*) AS size FROM r GROUP BY 1")
 def _(s, d):
     return graph.node_components(shown(s, d), links(s, d))
 
@@ -271,7 +272,12 @@ def _(s, d):
     return consolidate.duplicates(shown(s, d), DUPLICATE, DIMS)
 
 
-@R.add("consolidation_queue")
+_FOUND = f"""(SELECT 'duplicate' AS kind, list_sort([keep, drop]) AS sorted, keep || ',' || drop AS paths, '' AS extra FROM {_DUPLICATES} UNION ALL SELECT 'expired', [path], path, strftime(valid_until, '%Y-%m-%d') FROM memory_nodes WHERE {LIVE} AND origin = 'curated' AND valid_until < {T} - INTERVAL 14 DAYS
+UNION ALL SELECT 'stale', [path], path, strftime(updated_at, '%Y-%m-%d') FROM memory_nodes WHERE {LIVE} AND origin = 'curated' AND type <> 'category' AND round(CAST(importance AS DOUBLE), 6) <= 0.4 AND len(coalesce(pin_triggers, [])) = 0 AND valid_until IS NULL AND updated_at < {T} - INTERVAL 180 DAYS
+UNION ALL SELECT 'relative_dates', [path], path, dates FROM {DATED.format(source=f"(SELECT * FROM memory_nodes WHERE {LIVE} AND origin = 'curated')")})"""
+
+
+@R.add("consolidation_queue", f"SELECT kind, paths, extra, substr(sha256(kind || '|' || array_to_string(sorted, '|') || '|' || extra), 1, 32) AS fingerprint FROM {_FOUND}")
 def _(s, d):
     found = consolidate.proposals(nodes(s, d).filter(visible(NOW, include_expired=True)), shown(s, d), NOW, DUPLICATE, DIMS)
     return consolidate.enqueue(found, _none(s, "fingerprint")).withColumn("paths", F.array_join("paths", ","))

@@ -82,10 +82,10 @@ def _(s, d):
 _EXTRACTED = f"(SELECT * FROM memory_nodes WHERE {LIVE} AND origin = 'extracted')"
 
 
-@R.add("tripwire", f"SELECT query, path, sim FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, path) AS r FROM ({_vec(20, _EXTRACTED)}) WHERE sim >= 0.8) WHERE r <= 3")
+@R.add("tripwire", f"SELECT query, path, sim FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, path) AS r FROM ({_vec(20, _EXTRACTED)}) WHERE sim >= 0.85) WHERE r <= 3")
 def _(s, d):
     n = nodes(s, d).filter(live() & (F.col("origin") == "extracted"))
-    return rt.tripwire(n, node_queries(s, d), least=0.8).select("query", "path", "sim")
+    return rt.tripwire(n, node_queries(s, d)).select("query", "path", "sim")
 
 
 _DIRECTED = f"(SELECT from_id AS id, to_id AS other, 'out' AS direction, rel_type FROM {LINKS} UNION ALL SELECT to_id, from_id, 'in', rel_type FROM {LINKS})"
@@ -132,8 +132,7 @@ def _prompts(s, d) -> DataFrame:
 
 
 def _coverage(s, d, queries: DataFrame) -> DataFrame:
-    n = shown(s, d)
-    return rt.coverage(n, queries, F.lit(n.count()))
+    return rt.coverage(shown(s, d), queries)
 
 
 @R.add("fts_or_coverage", f"SELECT query, path, lex_conf FROM ({_COVER.replace('{queries}', _PROMPTS)})")
@@ -234,13 +233,17 @@ def _(s, d):
     return gate.folds(read_table(s, d, "eval_items").select("item_id"), "item_id", 10).withColumn("fold", F.col("fold").cast("long"))
 
 
-@R.add("never_used", "SELECT path FROM (SELECT '/projects/' || user_id AS path, count(*) AS n, bool_or(event_type = 'purchase') AS u FROM events GROUP BY 1) WHERE n >= 3 AND NOT u")
+@R.add("never_used", "SELECT path FROM (SELECT '/projects/' || user_id || '/' || CAST(ts AS DATE) AS path, count(*) AS n, bool_or(event_type = 'purchase') AS u FROM events GROUP BY 1) WHERE n >= 3 AND NOT u")
 def _(s, d):
-    e = read_table(s, d, "events").select(F.concat(F.lit("/projects/"), F.col("user_id").cast("string")).alias("path"), (F.col("event_type") == "purchase").alias("used"))
+    """Events of a user and day stand for the showings of a node."""
+    e = read_table(s, d, "events").select(F.concat_ws("/", F.lit("/projects"), F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("path"), (F.col("event_type") == "purchase").alias("used"))
     return gate.never_used(e)
 
 
-@R.add("usage_rank")
+@R.add("usage_rank", f"""WITH post AS MATERIALIZED (SELECT path, unnest(list_distinct({terms(DOC)})) AS term FROM {SHOWN}), n AS (SELECT count(*) AS n FROM {SHOWN}), w AS MATERIALIZED (SELECT p.path, p.term, ln(((SELECT n FROM n) + 1.0) / (f.df + 0.5)) AS w FROM post p JOIN (SELECT term, count(*) AS df FROM post GROUP BY 1) f ON f.term = p.term), mass AS (SELECT path, sqrt(sum(w)) AS mass FROM w GROUP BY 1),
+hit AS (SELECT query, arg_max(path, row(lex_conf, path)) AS path FROM ({_COVER.replace('{queries}', _PROMPTS)}) GROUP BY 1), r AS (SELECT h.query, h.path, i.passage AS reply, unnest(list_filter(list_distinct({terms('i.passage')}), lambda x: NOT list_contains({terms('i.prompt')}, x))) AS term FROM hit h JOIN eval_items i ON CAST(i.item_id AS VARCHAR) = h.query),
+fit AS MATERIALIZED (SELECT r.query, w.path, round(sum(w.w) / any_value(mass.mass), 9) AS fit FROM r JOIN w ON w.term = r.term JOIN mass ON mass.path = w.path GROUP BY 1, 2), t AS (SELECT h.query, h.path, contains(coalesce(i.passage, ''), h.path) AS named, coalesce(fit.fit, 0.0) AS target FROM hit h JOIN eval_items i ON CAST(i.item_id AS VARCHAR) = h.query LEFT JOIN fit ON fit.query = h.query AND fit.path = h.path)
+SELECT query, path, round(CASE WHEN named THEN 0.0 WHEN target > 0 THEN (SELECT count(*) FROM fit f WHERE f.query = t.query AND f.fit >= t.target) / (SELECT n FROM n) ELSE 1.0 END, 9) AS rank_share FROM t""")
 def _(s, d):
     items = read_table(s, d, "eval_items").select(F.col("item_id").cast("string").alias("query"), "prompt", F.col("passage").alias("reply"))
     n = shown(s, d)

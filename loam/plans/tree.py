@@ -101,17 +101,27 @@ def _(s, d):
     return nodes(s, d).select("path", tx.snippet(b).alias("snippet"), tx.shorten(b, 600).alias("short"), tx.approx_tokens(F.length(F.coalesce(b, F.lit("")))).alias("tokens"))
 
 
-@R.add("first_sentences")
+_LINE = "coalesce(list_filter(list_transform(string_split_regex(coalesce(body, ''), '\\r\\n|\\n|\\r'), lambda x: trim(regexp_replace(x, '^\\s*(?:[-*>]+|\\d+\\.)\\s+|[*_`]+', '', 'g'))), lambda x: length(x) > 0 AND NOT starts_with(x, '#'))[1], '')"
+_HOOK = f"(SELECT *, CASE WHEN length(h) > 120 THEN rtrim(substr(h, 1, 119)) || '…' ELSE h END AS hook FROM (SELECT *, CASE WHEN regexp_extract(l, '^(.*?[.!?])(?:\\s|$)', 1) = '' THEN l ELSE regexp_extract(l, '^(.*?[.!?])(?:\\s|$)', 1) END AS h FROM (SELECT *, {_LINE} AS l FROM {{source}})))"
+
+
+@R.add("first_sentences", f"SELECT path, hook FROM {_HOOK.format(source='memory_nodes')}")
 def _(s, d):
     return nodes(s, d).select("path", tx.first_sentence(F.col("body")).alias("hook"))
 
 
-@R.add("highlights")
+@R.add("highlights", f"SELECT path, regexp_replace(title, '(?i)\\b(puffer|index|buffer)\\b', '«\\1»', 'g') AS marked FROM {SHOWN}")
 def _(s, d):
     return shown(s, d).select("path", tx.highlight(F.col("title"), ["puffer", "index", "buffer"]).alias("marked"))
 
 
-@R.add("relative_dates")
+_PROSE = "regexp_replace(coalesce(body, ''), '```.*?```|`[^`\\n]*`', ' ', 'gs')"
+_DAYS = "CASE lower(w) WHEN 'vorgestern' THEN -2 WHEN 'gestern' THEN -1 WHEN 'yesterday' THEN -1 WHEN 'heute' THEN 0 WHEN 'today' THEN 0 WHEN 'tomorrow' THEN 1 WHEN 'morgen' THEN 1 ELSE 2 END"
+_LOCAL = "CAST(timezone('Europe/Berlin', {0} AT TIME ZONE 'UTC') AS DATE)"
+_DATED = f"(SELECT path, string_agg(d, ',' ORDER BY d) AS dates FROM (SELECT DISTINCT path, w || '=' || CAST(day + CAST({_DAYS} AS INTEGER) AS VARCHAR) AS d FROM (SELECT path, {_LOCAL.format('created_at')} AS day, unnest(list_concat(regexp_extract_all({_PROSE}, '(?i)\\b(?:vorgestern|gestern|yesterday|heute|today|tomorrow)\\b'), list_filter(regexp_extract_all({_PROSE}, '\\p{{{{L}}}}+(?:\\s*früh)?'), lambda x: x IN ('morgen', 'übermorgen')))) AS w FROM {{source}} WHERE {_LOCAL.format('created_at')} = {_LOCAL.format('updated_at')})) GROUP BY 1)"
+
+
+@R.add("relative_dates", f"SELECT path, dates FROM {_DATED.format(source='memory_nodes')}")
 def _(s, d):
     return consolidate.dated(nodes(s, d)).withColumn("dates", F.array_join("dates", ","))
 
@@ -181,21 +191,30 @@ def _(s, d):
     return top(n, ["slug_of"], [F.desc("created_at"), F.col("path")], 3).select("slug_of", "path")
 
 
-@R.add("rank_score", f"SELECT path, round({IMPORTANCE} + least(access_count, 20) / 40.0 + CASE WHEN updated_at >= {T} - INTERVAL 30 DAYS THEN 0.2 ELSE 0 END, 9) AS score, round(greatest((epoch_us({T}) - epoch_us(updated_at)) / 86400000000.0, 0), 6) AS days FROM memory_nodes WHERE {LIVE} ORDER BY score DESC, path LIMIT 50")
+@R.add("rank_score", f"SELECT path, round({IMPORTANCE} + least(coalesce(access_count, 0), 20) / 40.0 + CASE WHEN updated_at >= {T} - INTERVAL 30 DAYS THEN 0.2 ELSE 0 END, 9) AS score, round(greatest((epoch_us({T}) - epoch_us(updated_at)) / 86400000000.0, 0), 6) AS days FROM memory_nodes WHERE {LIVE} ORDER BY score DESC, path LIMIT 50")
 def _(s, d):
-    score = F.round(importance() + F.least("access_count", F.lit(20)) / 40.0 + F.when(F.col("updated_at") >= moment(NOW) - F.expr("INTERVAL 30 DAYS"), 0.2).otherwise(0.0), 9)
+    score = F.round(importance() + F.least(F.coalesce("access_count", F.lit(0)), F.lit(20)) / 40.0 + F.when(F.col("updated_at") >= moment(NOW) - F.expr("INTERVAL 30 DAYS"), 0.2).otherwise(0.0), 9)
     return nodes(s, d).filter(live()).select("path", score.alias("score"), F.round(days_since("updated_at", NOW), 6).alias("days")).orderBy(F.desc("score"), "path").limit(50)
 
 
-@R.add("digest")
+_SCORE = f"round({IMPORTANCE} + least(coalesce(access_count, 0), 20) / 40.0 + CASE WHEN updated_at >= {T} - INTERVAL 30 DAYS THEN 0.2 ELSE 0 END, 9)"
+
+
+@R.add("digest", f"SELECT project, position, path, chars FROM (SELECT *, row_number() OVER w AS position, sum(chars + 1) OVER (PARTITION BY project ORDER BY score DESC, path ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT {SLUG} AS project, path, {_SCORE} AS score, length(path || ' ' || hook) AS chars FROM {_HOOK.format(source=SHOWN)} WHERE {SLUG} IS NOT NULL) WINDOW w AS (PARTITION BY project ORDER BY score DESC, path)) WHERE run <= 5600")
 def _(s, d):
-    n = shown(s, d).withColumn("project", ps.project_slug(F.col("path"))).filter("project is not null").withColumn("recent", F.col("updated_at") >= moment(NOW) - F.expr("INTERVAL 30 DAYS"))
-    return digest(n, 8000, 0.7)
+    return digest(_projects(s, d), 8000, 0.7).withColumn("position", F.col("position").cast("long"))
+
+
+def _projects(s: SparkSession, d: str) -> DataFrame:
+    """Shown nodes of projects, with project and recent."""
+    return shown(s, d).withColumn("project", ps.project_slug(F.col("path"))).filter("project is not null").withColumn("recent", F.col("updated_at") >= moment(NOW) - F.expr("INTERVAL 30 DAYS"))
 
 
-@R.add("pack_skipping")
+@R.add("pack_skipping", f"""WITH RECURSIVE o AS MATERIALIZED (SELECT {SLUG} AS project, path, length(coalesce(body, '')) AS n, row_number() OVER (PARTITION BY {SLUG} ORDER BY {IMPORTANCE} DESC, path) AS r FROM {SHOWN} WHERE {SLUG} IS NOT NULL),
+f AS (SELECT project, path, r, CASE WHEN n <= 24000 THEN n ELSE 0 END AS used, n <= 24000 AS fits FROM o WHERE r = 1 UNION ALL SELECT o.project, o.path, o.r, f.used + CASE WHEN f.used + o.n <= 24000 THEN o.n ELSE 0 END, f.used + o.n <= 24000 FROM f JOIN o ON o.project = f.project AND o.r = f.r + 1)
+SELECT project, path FROM f WHERE fits""")
 def _(s, d):
-    return pack_skipping(shown(s, d).withColumn("project", ps.project_slug(F.col("path"))).filter("project is not null"), 24000)
+    return pack_skipping(_projects(s, d), 24000)
 
 
 @R.add("parent_backfill", "SELECT c.path, p.id AS parent_id FROM memory_nodes c LEFT JOIN memory_nodes p ON p.path = regexp_replace(c.path, '/[^/]*$', '')")
@@ -203,9 +222,10 @@ def _(s, d):
     return sync.backfill_parents(nodes(s, d))
 
 
-@R.add("missing_ancestors", "SELECT DISTINCT a.path FROM (SELECT unnest(list_transform(range(2, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS path FROM memory_nodes) a WHERE a.path NOT IN (SELECT path FROM memory_nodes)")
+@R.add("missing_ancestors", "SELECT DISTINCT a.path FROM (SELECT unnest(list_transform(range(2, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS path FROM memory_nodes WHERE type <> 'category') a WHERE a.path NOT IN (SELECT path FROM memory_nodes WHERE type <> 'category')")
 def _(s, d):
-    return mutate.missing_ancestors(nodes(s, d))
+    """With the categories left out, so that something is missing."""
+    return mutate.missing_ancestors(nodes(s, d).filter("type != 'category'"))
 
 
 @R.add("subtree_totals", "SELECT a.path, count(*) AS below FROM (SELECT unnest(list_transform(range(2, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS path FROM memory_nodes) a WHERE a.path IN (SELECT path FROM memory_nodes) GROUP BY 1")

@@ -1,12 +1,17 @@
+from pyspark.sql import functions as F
+
 from loam.operators import journal, retrieval
 
 
-def test_more_queries_than_one_part_holds(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "MOST_VECTORS", 2)
-    nodes = spark.createDataFrame([("/a", "index", None, [1.0, 0.0]), ("/b", "other", None, [0.0, 1.0])], "path string, title string, body string, embedding array<double>")
-    q = spark.createDataFrame([(f"q{i}", "nde", [1.0, 0.1]) for i in range(7)], "query string, text string, vector array<double>")
-    assert sorted((r.query, r.path) for r in retrieval.vector_arm(nodes, q, 1).collect()) == [(f"q{i}", "/a") for i in range(7)]
-    assert sorted((r.query, r.path) for r in retrieval.substring_arm(nodes, q).collect()) == [(f"q{i}", "/a") for i in range(7)]
+def test_more_queries_than_a_driver_should_hold(spark):
+    """20,500 queries, which are never collected; pieces of a query's text shorter and longer than the index key."""
+    nodes = spark.createDataFrame([("/a", "indexed lattice", None, [1.0, 0.0]), ("/b", "other", "x\nLatt", [0.0, 1.0]), ("/c", None, None, None)], "path string, title string, body string, embedding array<double>")
+    q = spark.range(20_500).select(F.concat(F.lit("q"), "id").alias("query"), F.lit("Ndexed latt").alias("text"), F.array(F.lit(1.0), F.lit(0.1)).alias("vector"))
+    got = retrieval.vector_arm(nodes, q, 1, dims=2)
+    assert [tuple(r) for r in got.groupBy("path").count().collect()] == [("/a", 20_500)]
+    assert [tuple(r) for r in retrieval.substring_arm(nodes, q).groupBy("path").count().collect()] == [("/a", 20_500)]
+    few = spark.createDataFrame([("1", "LATT"), ("2", "x"), ("3", ""), ("4", None), ("5", "lattice other"), ("6", "x\nlatt")], "query string, text string")
+    assert {tuple(r) for r in retrieval.substring_arm(nodes, few).collect()} == {("1", "/a"), ("1", "/b"), ("2", "/a"), ("2", "/b"), ("6", "/b")}
 
 
 def test_active_tasks_of_all_projects(spark):
