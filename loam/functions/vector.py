@@ -12,15 +12,15 @@ def usable_vector(v: Column, dims: int) -> Column:
     return F.coalesce((F.size(v) == dims) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def dot(a: Column, b: Column) -> Column:
+def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def norm(a: Column) -> Column:
+def norm(a: Column | str) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine(a: Column, b: Column) -> Column:
+def cosine(a: Column | str, b: Column | str) -> Column:
     """0 for vectors of different lengths, and where one is empty or zero."""
     n = norm(a) * norm(b)
     return F.when((F.size(a) != F.size(b)) | (n == 0) | n.isNull(), 0.0).otherwise(dot(a, b) / n)

@@ -41,12 +41,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query", tx.lexemes(F.col("text")).alias("q")).select("query", F.size("q").alias("wanted"), F.explode("q").alias("term"))
 
 
-def lexical_arm(nodes: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
+def lexical_hits(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, path, score): nodes with every term of the query, by the sum of tf / (1 + ln(1 + length)). A query without terms finds nothing."""
     asked = query_terms(queries)
     hits = postings(nodes, wanted=materialize(asked.select("term").distinct())).join(asked, "term")
     scored = hits.groupBy("query", "path", "wanted").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("tf") / (1.0 + F.log(1.0 + F.col("length")))).alias("score"))
-    return top(scored.filter("n = wanted").select("query", "path", F.round("score", 9).alias("score")), ["query"], [F.desc("score"), F.col("path")], k)
+    return scored.filter("n = wanted").select("query", "path", F.round("score", 9).alias("score"))
+
+
+def lexical_arm(nodes: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
+    """The k best of lexical_hits."""
+    return top(lexical_hits(nodes, queries), ["query"], [F.desc("score"), F.col("path")], k)
 
 
 def vector_arm(nodes: DataFrame, queries: DataFrame, k: int = 30, dims: int = DIMS) -> DataFrame:
@@ -95,8 +100,8 @@ def hybrid(nodes: DataFrame, queries: DataFrame, now: str, limit: int = 20, arm:
 PIECE = 8
 
 
-def substring_arm(nodes: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
-    """(query, path): the first k nodes by path whose title or body contains the query's text, in any case.
+def substring_arm(nodes: DataFrame, queries: DataFrame, k: int | None = 30) -> DataFrame:
+    """(query, path): the first k nodes by path (all for None) whose title or body contains the query's text, in any case.
 
     A query's first PIECE characters (all, if it has fewer) meet the pieces of the nodes' texts in an equi-join; what meets is
     compared whole. So the work grows with the texts and the hits, not with nodes times queries."""
@@ -110,7 +115,7 @@ def substring_arm(nodes: DataFrame, queries: DataFrame, k: int = 30) -> DataFram
         asked = q.filter(F.col("_n") == length).drop("_n")
         met = n.withColumn("_piece", F.explode(pieces)).join(F.broadcast(asked) if count <= BROADCAST_ROWS // 10 else asked, "_piece")
         out = out.unionByName(met.filter(F.col("_t").contains(F.col("_q")) | F.col("_b").contains(F.col("_q"))).select("query", "path"))
-    return top(out, ["query"], [F.col("path")], k)
+    return out if k is None else top(out, ["query"], [F.col("path")], k)
 
 
 def neighbours(hits: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -192,12 +197,14 @@ def similar_to(nodes: DataFrame, vector: Column, k: int) -> DataFrame:
     return nodes.filter(F.col("embedding").isNotNull()).select("path", F.round(cosine(F.col("embedding"), vector), 9).alias("sim")).orderBy(F.desc("sim"), "path").limit(k)
 
 
-def digest(nodes: DataFrame, budget: int, share: float = 1.0) -> DataFrame:
-    """(project, position, path, chars): each project's nodes by rank score, up to the first line that exceeds the budget of characters.
+def rank_score() -> Column:
+    """Importance + min(accesses, 20)/40 + 0.2 for a node of the last 30 days (column `recent`)."""
+    return importance() + F.least(F.coalesce("access_count", F.lit(0)), F.lit(20)) / 40.0 + F.when(F.col("recent"), 0.2).otherwise(0.0)
+
 
-    Rank score: importance + min(accesses, 20)/40 + 0.2 for a node of the last 30 days (column `recent`)."""
-    score = importance() + F.least(F.coalesce("access_count", F.lit(0)), F.lit(20)) / 40.0 + F.when(F.col("recent"), 0.2).otherwise(0.0)
-    lines = nodes.select("project", "path", F.round(score, 9).alias("score"), F.length(F.concat_ws(" ", "path", tx.first_sentence(F.col("body")))).alias("chars"))
+def digest(nodes: DataFrame, budget: int, share: float = 1.0) -> DataFrame:
+    """(project, position, path, chars): each project's nodes by rank score, up to the first line that exceeds the budget of characters."""
+    lines = nodes.select("project", "path", F.round(rank_score(), 9).alias("score"), F.length(F.concat_ws(" ", "path", tx.first_sentence(F.col("body")))).alias("chars"))
     w = Window.partitionBy("project").orderBy(F.desc("score"), "path")
     run = F.sum(F.col("chars") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))
     kept = lines.withColumn("position", F.row_number().over(w)).withColumn("run", run)
@@ -205,7 +212,7 @@ def digest(nodes: DataFrame, budget: int, share: float = 1.0) -> DataFrame:
 
 
 def pack_skipping(nodes: DataFrame, budget: int) -> DataFrame:
-    """(project, path): each project's bodies by importance, those that don't fit into what is left of the budget skipped.
+    """(project, path): each project's bodies by rank score, those that don't fit into what is left of the budget skipped.
 
     One ordered pass over (project, path, length) that holds one number; a body longer than the whole budget doesn't travel."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +227,6 @@ def pack_skipping(nodes: DataFrame, budget: int) -> DataFrame:
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select(["project", "path"])
 
-    rows = nodes.select("project", "path", importance().alias("i"), F.length(F.coalesce("body", F.lit(""))).alias("n")).filter((F.col("n") <= budget) & F.col("project").isNotNull())
+    rows = nodes.select("project", "path", F.round(rank_score(), 9).alias("i"), F.length(F.coalesce("body", F.lit(""))).alias("n")).filter((F.col("n") <= budget) & F.col("project").isNotNull())
     ordered = rows.repartition("project").sortWithinPartitions("project", F.desc("i"), "path").select("project", "path", "n")
     return ordered.mapInArrow(run, "project string, path string")

@@ -210,7 +210,7 @@ def _projects(s: SparkSession, d: str) -> DataFrame:
     return shown(s, d).withColumn("project", ps.project_slug(F.col("path"))).filter("project is not null").withColumn("recent", F.col("updated_at") >= moment(NOW) - F.expr("INTERVAL 30 DAYS"))
 
 
-@R.add("pack_skipping", f"""WITH RECURSIVE o AS MATERIALIZED (SELECT {SLUG} AS project, path, length(coalesce(body, '')) AS n, row_number() OVER (PARTITION BY {SLUG} ORDER BY {IMPORTANCE} DESC, path) AS r FROM {SHOWN} WHERE {SLUG} IS NOT NULL),
+@R.add("pack_skipping", f"""WITH RECURSIVE o AS MATERIALIZED (SELECT {SLUG} AS project, path, length(coalesce(body, '')) AS n, row_number() OVER (PARTITION BY {SLUG} ORDER BY {_SCORE} DESC, path) AS r FROM {SHOWN} WHERE {SLUG} IS NOT NULL),
 f AS (SELECT project, path, r, CASE WHEN n <= 24000 THEN n ELSE 0 END AS used, n <= 24000 AS fits FROM o WHERE r = 1 UNION ALL SELECT o.project, o.path, o.r, f.used + CASE WHEN f.used + o.n <= 24000 THEN o.n ELSE 0 END, f.used + o.n <= 24000 FROM f JOIN o ON o.project = f.project AND o.r = f.r + 1)
 SELECT project, path FROM f WHERE fits""")
 def _(s, d):
