@@ -105,6 +105,15 @@ def rewrite_relative_dates(text: Column, day: Column) -> Column:
     return out
 
 
+def replace_relative_dates(text: Column, day: Column) -> Column:
+    """Relative days outside code replaced by their date."""
+    out = F.coalesce(text, F.lit(""))
+    for word, off in (RELATIVE_DAYS | LOWER_CASE_DAYS).items():
+        kind, after = ("(?iU)", "") if word in RELATIVE_DAYS else ("(?U)", r"(?!\s*früh)")
+        out = F.regexp_replace(out, F.lit(rf"{kind}(?<![`\w])\b{word}\b{after}(?=(?:[^`]*`[^`]*`)*[^`]*$)"), F.date_add(day, off).cast("string"))
+    return out
+
+
 def headline(text: Column, words: list[str], most: int = 25, before: str = "«", after: str = "»") -> Column:
     """The `most` words around the first hit, with the hits marked; the beginning of the text where there is none. A third of the words precede the hit."""
     tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.session import lookup_join, materialize
@@ -34,6 +34,83 @@ def rollup(projects: DataFrame, milestones: DataFrame, tasks: DataFrame, logs: D
     return rows.select("project", "milestones", "milestones_done", "tasks", "tasks_done", pct.alias("done_pct"), "logs_30d", "last_log")
 
 
+def overview(projects: DataFrame, milestones: DataFrame, reminders: DataFrame, now: str, archived: bool = False) -> DataFrame:
+    """(project, archived, done_pct, updated_at, open, due, overdue) of live projects, archived ones only if asked for: share of done milestones in percent, open reminders, those that are due and those from before today."""
+    p = current(projects) if archived else current(projects).filter("not coalesce(archived, false)")
+    m = current(milestones).groupBy(F.col("project_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count_if("completed").alias("done"))
+    left = ~F.coalesce("completed", F.lit(False))
+    r = current(reminders).groupBy(F.col("project_id").alias("id")).agg(F.count_if(left).alias("open"), F.count_if(left & due(F.col("target_date"), now)).alias("due"), F.count_if(left & overdue(F.col("target_date"), now)).alias("overdue"))
+    rows = p.select("id", F.col("name").alias("project"), F.coalesce("archived", F.lit(False)).alias("archived"), "updated_at").join(m, "id", "left").join(r, "id", "left").fillna(0, ["n", "done", "open", "due", "overdue"])
+    return rows.select("project", "archived", F.when(F.col("n") > 0, F.bround(100.0 * F.col("done") / F.col("n"), 1)).otherwise(0.0).alias("done_pct"), "updated_at", "open", "due", "overdue")
+
+
+def project_view(name: str, projects: DataFrame, milestones: DataFrame, tasks: DataFrame, logs: DataFrame, limit: int = 20) -> DataFrame:
+    """(kind, id, parent, title, done, at, position) of one live project: itself, its milestones, their tasks, and its last logs in the order they were written."""
+    p = F.broadcast(current(projects).filter(F.col("name") == name).select(F.col("id").alias("_p"), F.col("name").alias("_name"), "status", "updated_at"))
+    m = current(milestones).join(p.select("_p"), F.col("project_id") == F.col("_p"), "left_semi")
+    t = current(tasks).join(m.select(F.col("id").alias("_m")), F.col("milestone_id") == F.col("_m"), "left_semi")
+    g = current(logs).join(p.select("_p"), F.col("project_id") == F.col("_p"), "left_semi").orderBy(F.desc("logged_at"), F.desc("id")).limit(limit)
+    g = g.withColumn("position", F.row_number().over(Window.orderBy("logged_at", "id")).cast("long"))  # over `limit` rows
+    none, no = F.lit(None).cast("long"), F.lit(None).cast("boolean")
+    parts = [
+        p.select(F.lit("project").alias("kind"), F.col("_p").cast("long").alias("id"), none.alias("parent"), F.col("_name").alias("title"), no.alias("done"), F.col("updated_at").alias("at"), none.alias("position")),
+        m.select(F.lit("milestone"), F.col("id").cast("long"), F.col("project_id").cast("long"), "title", F.coalesce("completed", F.lit(False)), "completed_at", none),
+        t.select(F.lit("task"), F.col("id").cast("long"), F.col("milestone_id").cast("long"), "title", F.coalesce("completed", F.lit(False)), "created_at", none),
+        g.select(F.lit("log"), F.col("id").cast("long"), F.col("project_id").cast("long"), "entry", no, "logged_at", "position"),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+def complete(rows: DataFrame, ids: DataFrame, done: bool, now: str) -> DataFrame:
+    """Milestones, tasks or reminders (id) set done or open; live ones only. A milestone's completion time follows."""
+    hits = rows.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
+    hit = F.coalesce(F.col("_hit"), F.lit(False)) & F.col("deleted_at").isNull()
+    values = {"completed": F.lit(done), "updated_at": moment(now)} | ({"completed_at": moment(now) if done else F.lit(None).cast("timestamp_ntz")} if "completed_at" in rows.columns else {})
+    return hits.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()}).select(*rows.columns)
+
+
+def append(rows: DataFrame, new: DataFrame, now: str) -> DataFrame:
+    """New rows of a journal table (milestones, tasks, reminders, pages, errors) with the next ids, created and updated now, and a sync_id. new is small: what somebody writes."""
+    base = rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
+    order = Window.orderBy(*[F.col(f"`{c}`").cast("string") for c in new.columns])
+    kinds = dict(rows.dtypes)
+    made = new.withColumn("id", F.row_number().over(order)).join(F.broadcast(base)).withColumn("id", (F.col("id") + F.col("_base")).cast(kinds["id"])).drop("_base").withColumns({c: moment(now) for c in ("created_at", "updated_at") if c in kinds})
+    if "sync_id" in kinds and "sync_id" not in new.columns:
+        made = made.withColumn("sync_id", F.substring(F.sha2(F.concat_ws("|", F.lit(now), F.col("id").cast("string"), *[F.col(f"`{c}`").cast("string") for c in new.columns]), 256), 1, 32))
+    return rows.unionByName(made, allowMissingColumns=True)
+
+
+def edit(rows: DataFrame, changes: DataFrame, now: str) -> DataFrame:
+    """Live rows of a journal table with the values that changes (id, columns) have for them; null leaves a value as it is."""
+    new = changes.dropDuplicates(["id"])
+    columns = [c for c in new.columns if c != "id"]
+    both = rows.join(new.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_n_{c}") for c in columns]), "id", "left")
+    hit = F.coalesce(F.col("_hit"), F.lit(False)) & F.col("deleted_at").isNull()
+    out = both.withColumns({c: F.when(hit, F.coalesce(f"_n_{c}", c)).otherwise(F.col(c)) for c in columns})
+    return out.withColumn("updated_at", F.when(hit, moment(now)).otherwise(F.col("updated_at"))).select(*rows.columns)
+
+
+def errors_of(projects: DataFrame, errors: DataFrame, project: str | None = None, words: list[str] | None = None, limit: int = 50) -> DataFrame:
+    """(project, id, error_msg, solution_msg, created_at), the newest first."""
+    rows = current(errors).join(current(projects).select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id")
+    rows = rows if project is None else rows.filter(F.col("project") == project)
+    rows = rows if not words else rows.filter(has_words(words, ["error_msg", "solution_msg"]))
+    return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(limit).select("project", "id", "error_msg", "solution_msg", "created_at")
+
+
+def search_pages(projects: DataFrame, pages: DataFrame, project: str, words: list[str] | None = None, title: str | None = None) -> DataFrame:
+    """(id, title, content) of one project's pages: all, those with all words, or those of a title."""
+    rows = current(pages).join(current(projects).filter(F.col("name") == project).select(F.col("id").alias("project_id")), "project_id", "left_semi")
+    rows = rows if not words else rows.filter(has_words(words, ["title", "content"]))
+    return (rows if title is None else rows.filter(F.col("title") == title)).orderBy("title", "id").select("id", "title", "content")
+
+
+def ensure_projects(projects: DataFrame, names: DataFrame, now: str) -> DataFrame:
+    """projects and those of names (name) that aren't there, with the next ids."""
+    new = names.select(F.trim("name").alias("name")).filter("name is not null and name != ''").distinct().join(projects.select("name"), "name", "left_anti")
+    return append(projects, materialize(new.withColumn("archived", F.lit(False))), now)
+
+
 def active_tasks(projects: DataFrame, milestones: DataFrame, tasks: DataFrame) -> DataFrame:
     """(project, milestone, task_id, task): open tasks whose milestone and project are live."""
     p = current(projects).filter("not coalesce(archived, false)").select(F.col("id").alias("project_id"), F.col("name").alias("project"))

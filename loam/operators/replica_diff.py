@@ -122,6 +122,9 @@ def differing_keys(local: DataFrame, remote: DataFrame, key: str, fields: Sequen
     buckets = max(1, math.ceil(MARGIN * estimate_differences(elements) / PLANNED))
     cells = _cells(elements, F.pmod(F.xxhash64("key", F.lit(11)), F.lit(buckets)), CELLS)
     cells = cells.filter(" or ".join(f"{c} != 0" for c in SUMS))
+    # peeling is work of a processor and its input small: partitions by number of buckets, not by bytes
+    parts = max(1, min(buckets // 8, 4 * local.sparkSession.sparkContext.defaultParallelism))
+    cells = cells.repartition(parts, "grp")
     return materialize(cells.groupBy("grp").applyInPandas(_peel_bucket, "key long, bucket long")), buckets
 
 

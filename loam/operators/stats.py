@@ -117,10 +117,34 @@ def health(projects: DataFrame, milestones: DataFrame, tasks: DataFrame, nodes:
     return p.join(F.broadcast(m)).join(F.broadcast(t)).join(F.broadcast(n))
 
 
-def tail_bytes(lines: DataFrame, order: str, text: str, budget: int) -> DataFrame:
-    """The newest lines (and their line ends) within a budget of bytes. For one log file; the running sum is one ordered pass."""
-    w = Window.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("_b", F.sum(F.octet_length(text) + 1).over(w)).filter(F.col("_b") <= budget).drop("_b")
+def tail_bytes(lines: DataFrame, order: str, text: str, budget: int, spans: int = 256) -> DataFrame:
+    """The newest lines (and their line ends) within a budget of bytes; lines of equal order come as one.
+
+    The lines are summed by span of the order first; whole spans are kept or left by their sums, and only the span in
+    which the budget ends is opened, again by spans, until it holds few lines. So no task orders the log."""
+    rows = lines.withColumn("_b", (F.octet_length(text) + 1).cast("long"))
+    key = F.col(order).cast("double") if dict(lines.dtypes)[order] not in ("timestamp", "timestamp_ntz") else F.unix_micros(F.col(order).cast("timestamp")).cast("double")
+    rows = rows.filter(F.col(order).isNotNull()).withColumn("_o", key)
+    low, high, n = rows.agg(F.min("_o"), F.max("_o"), F.count(F.lit(1))).first()
+    floor, left = float("inf"), budget  # lines above floor are kept; what is left is for those from low to high
+    while n > spans * 64 and high > low:
+        width = (high - low) / spans
+        part = rows.filter((F.col("_o") >= low) & (F.col("_o") <= high)).withColumn("_s", F.least(F.floor((F.col("_o") - low) / width), F.lit(spans - 1)))
+        sums = sorted(part.groupBy("_s").agg(F.sum("_b"), F.count(F.lit(1)), F.min("_o"), F.max("_o")).collect(), reverse=True)  # at most `spans` rows
+        for _, size, count, first, last in sums:
+            if size > left:
+                low, high, n = first, last, count
+                break
+            left -= size
+            floor = first
+        else:
+            return rows.drop("_b", "_o")
+        if high - low <= 0:
+            break
+    inside = rows.filter((F.col("_o") >= low) & (F.col("_o") <= high) & (F.col("_o") < floor))
+    w = Window.orderBy(F.desc("_o")).rangeBetween(Window.unboundedPreceding, 0)
+    cut = inside.withColumn("_run", F.sum("_b").over(w)).filter(F.col("_run") <= left).drop("_run")
+    return rows.filter(F.col("_o") >= floor).unionByName(cut).drop("_b", "_o")
 
 
 def file_coverage(files: DataFrame, nodes: DataFrame, probe: int = 80) -> DataFrame:

@@ -49,10 +49,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that materialize wrote. Only once nothing of them is needed: results that are read lazily depend on them. It runs by itself when the driver ends."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    while _WRITTEN:
+        p = hadoop(_WRITTEN.pop())
+        try:
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the folder may be gone
+            pass
+
+
+def _release_all() -> None:
+    spark = SparkSession.getActiveSession() if _WRITTEN else None
+    if spark is not None:
+        release(spark)
+
+
+atexit.register(_release_all)
+
+
 def materialize(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut, a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loam/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,12 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loam.operators.journal import route_errors
+from loam.operators import linking
+from loam.operators.journal import ensure_projects, route_errors
+from loam.operators.mutate import retention
+from loam.operators.neighbours import nearest, pair_ranks
+from loam.operators.retrieval import vector_arm
+from loam.session import lookup_join, materialize
 
 QUEUE = "project string, level string, worker string, message string, timestamp timestamp"
 #: Days of event time after which a session without events is forgotten.
@@ -38,10 +43,22 @@ def valid_entries(queue: DataFrame) -> DataFrame:
     return rows.withColumn("level", F.upper(F.coalesce(F.nullif(F.trim("level"), F.lit("")), F.lit("INFO"))))
 
 
-def ingest_queue(queue: DataFrame, out: str, checkpoint: str, now: bool = True) -> StreamingQuery:
-    """Drains the queue into out/logs, and rows of an error level into out/errors too. Each batch is written under its number, so a repeated one replaces itself."""
+def ingest_queue(queue: DataFrame, out: str, checkpoint: str, now: bool = True, projects: DataFrame | None = None, clock: str | None = None) -> StreamingQuery:
+    """Drains the queue into out/logs, and rows of an error level into out/errors too. Each batch is written under its number, so a repeated one replaces itself.
+
+    With projects (a table) and a clock, entries get the project's id, projects not there yet are added under out/projects (the whole table,
+    by batch), and a log older than its project keeps isn't written."""
+    state = {"projects": projects}
+
     def handle(batch: DataFrame, number: int) -> None:
-        rows = valid_entries(batch).select(F.col("project").alias("project_id"), F.col("message").alias("entry"), "level", "worker", F.col("timestamp").alias("logged_at"))
+        rows = valid_entries(batch)
+        rows = rows.select(F.col("project").alias("project_id"), F.col("message").alias("entry"), "level", "worker", F.col("timestamp").alias("logged_at"))
+        if state["projects"] is not None:
+            state["projects"] = materialize(ensure_projects(state["projects"], rows.select(F.col("project_id").alias("name")), clock))
+            state["projects"].write.mode("overwrite").parquet(f"{out}/projects/batch={number}")
+            ids = state["projects"].groupBy(F.col("name").alias("_name")).agg(F.min("id").alias("_id"))
+            rows = lookup_join(rows.withColumn("_name", F.trim("project_id")), materialize(ids), "_name").withColumn("project_id", F.col("_id")).drop("_id", "_name")
+            rows = retention(rows.withColumn("logged_at", F.col("logged_at").cast("timestamp_ntz")), state["projects"], clock)
         logs, errors = route_errors(rows)
         logs.write.mode("overwrite").parquet(f"{out}/logs/batch={number}")
         errors.write.mode("overwrite").parquet(f"{out}/errors/batch={number}")
@@ -89,6 +106,34 @@ def since(df: DataFrame, column: str, cursor: str | None) -> DataFrame:
     return df if cursor is None else df.filter(F.col(column) > F.lit(cursor).cast(dict(df.dtypes)[column]))
 
 
-def link_new_nodes(new: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, now: bool = True) -> StreamingQuery:
-    """Scores the candidate links of each batch of new nodes against the tree as it is then, and writes them under the batch's number."""
-    return run(new, lambda batch, number: score(batch).write.mode("overwrite").parquet(f"{out}/batch={number}"), checkpoint, now=now)
+def focus_links(new: DataFrame, nodes: DataFrame, named: DataFrame, dims: int = 384, k: int = linking.K_SEMANTIC) -> DataFrame:
+    """(a, b, confidence, rank) of candidate links of new nodes (path) with the nodes there are, themselves among them.
+
+    Candidates: the k most similar nodes of each new one, sharers of its rare terms, two hops, mentions either way. rank is that of the
+    write-time search: one more than the number of more similar nodes, from the new node's side, among the k nearest."""
+    fresh = materialize(new.select("path").distinct())
+    mine = materialize(nodes.join(fresh, "path", "left_semi"))
+    near = vector_arm(nodes, mine.select(F.col("path").alias("query"), F.col("embedding").alias("vector")), k + 1, dims).filter("query != path")
+    near = near.withColumn("rank", F.rank().over(Window.partitionBy("query").orderBy(F.desc("sim")))).filter(F.col("rank") <= k)
+    near = materialize(near.select(F.col("query").alias("a"), F.col("path").alias("b"), "sim", F.col("rank").cast("long").alias("rank")))
+    vectors = materialize(linking.idf_vectors(nodes))
+    told = materialize(linking.mentions(nodes))
+    touch = lambda df, x, y: df.join(fresh.withColumnRenamed("path", x), x, "left_semi").unionByName(df.join(fresh.withColumnRenamed("path", y), y, "left_semi"))
+    lexical = linking.rare_term_pairs(vectors).select("a", "b")
+    pairs = linking.canonical(near.select("a", "b"), touch(lexical, "a", "b"), touch(linking.two_hop(linking.deliberate(named)), "a", "b"), touch(told, "path", "mentioned"))
+    pairs = materialize(pairs)
+    ranked = materialize(nearest(nodes, linking.K_SEMANTIC, dims))
+    featured = linking.features(pairs, ranked, vectors, named, materialize(pair_ranks(nodes, ranked, pairs, dims)))
+    scored = linking.score(featured, told).select("a", "b", "confidence")
+    best = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("rank").alias("near")).groupBy("a", "b").agg(F.min("near").alias("rank"))
+    return scored.join(best, ["a", "b"], "left")
+
+
+def link_new_nodes(new: DataFrame, tables: Callable[[], tuple[DataFrame, DataFrame]], out: str, checkpoint: str, now: bool = True, dims: int = 384) -> StreamingQuery:
+    """Writes, under the number of each batch of new nodes (path), their routed links (a, b, confidence, action). tables: the nodes and links by path as they are when a batch comes."""
+    def handle(batch: DataFrame, number: int) -> None:
+        nodes, named = tables()
+        none = batch.sparkSession.createDataFrame([], "a string, b string")
+        linking.route(focus_links(batch, nodes, named, dims), named, none).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return run(new, handle, checkpoint, now=now)
