@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.session import materialize
@@ -32,6 +32,8 @@ SPELLINGS = {
 }
 #: Labelled records a language that the models are fitted on at most.
 SAMPLE = 800
+#: Characters of their titles and bodies at most, in the order of the hash; a record is in the sample whole or not at all.
+SAMPLE_CHARS = 64_000_000
 GRAM, BUCKETS, ALPHA = 3, 1 << 16, 0.1
 #: n-grams overlap, so each counts as this share of an independent observation.
 TEMPER = 1 / GRAM
@@ -241,7 +243,10 @@ def fit_models(records: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> n
         return None
     bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, sample / n) * (1 << 30)))])
     chosen = materialize(known.filter(F.col("h") < bound[F.col("named")]).limit(2 * sample * len(LANGUAGES)).select("id", "named"))
-    rows = records.join(F.broadcast(chosen), "id").select("id", "title", "body", "named").toArrow().sort_by("id").to_pylist()
+    drawn = materialize(records.join(F.broadcast(chosen), "id").select("id", "title", "body", "named", (F.length(F.coalesce("title", F.lit(""))) + F.length(F.coalesce("body", F.lit("")))).alias("n")))
+    run = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))  # over the sample, which is bounded
+    kept = drawn.select("id", "n").distinct().withColumn("run", run).filter(F.col("run") <= SAMPLE_CHARS).select("id")
+    rows = drawn.join(kept, "id", "left_semi").select("id", "title", "body", "named").toArrow().sort_by("id").to_pylist()
     texts, given = [], []
     for r in rows:
         lines = [x for x, code in lines_of(r["body"] or "") if not code] + [r["title"] or ""]

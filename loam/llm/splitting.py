@@ -58,10 +58,10 @@ class Text:
             return int(self.places[best[np.abs(self.at[best] - target).argmin()]])
         return self.character(min(max(target, low), high))
 
-    def begin(self, token: float, cut: int) -> int:
-        """The first boundary at or after a token and before the cut; without any, the character at the token."""
+    def begin(self, token: float, cut: int, overlap: int) -> int:
+        """The first boundary at or after a token and before the cut, as long as half of the overlap is left; without any, the character at the token."""
         a = np.searchsorted(self.at, token, "left")
-        if a < len(self.places) and self.places[a] < cut:
+        if a < len(self.places) and self.places[a] < cut and self.at[a] <= token + overlap / 2:
             return int(self.places[a])
         return min(self.character(math.ceil(token)), cut)
 
@@ -82,7 +82,7 @@ def _cuts(x: Text, n: int, limit: int, overlap: int) -> list[tuple[int, int]] |
             return None
         out.append((begin, cut))
         last = cut
-        begin = max(x.begin(int(x.token(np.array([cut]))[0]) - overlap, cut), out[-1][0] + 1) if overlap else cut
+        begin = max(x.begin(int(x.token(np.array([cut]))[0]) - overlap, cut, overlap), out[-1][0] + 1) if overlap else cut
     out.append((begin, len(x.text)))
     return out
 
@@ -110,8 +110,8 @@ PIECES = "piece_no int, n_pieces int, begin long, end long, n_tokens long, piece
 def split_documents(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", limit: int = 1000, overlap: int = 50, path: str | None = None) -> DataFrame:
     """(id, piece_no, n_pieces, begin, end, n_tokens, piece): every text in pieces of at most `limit` tokens.
 
-    begin and end count characters, end excluded; each piece after the first begins up to `overlap` tokens before the end
-    of the one before it, at a boundary. A text within the limit is one piece. A null text is one null piece, an empty one
+    begin and end count characters, end excluded; each piece after the first begins `overlap` tokens before the end of the
+    one before it, or at the first boundary after that which leaves half of them. A text within the limit is one piece. A null text is one null piece, an empty one
     one empty piece. A piece has one character at least, whatever the limit. Rows without an id are split too; a row that
     comes twice is split twice; other columns are ignored."""
     if not 0 <= overlap < limit:

@@ -36,6 +36,14 @@ def test_pieces_cover_the_text_under_the_limit(t, limit, overlap):
             assert t.count(x[a1:b0]) <= overlap + 4 if overlap else a1 == b0
 
 
+def test_overlap_is_the_one_asked_for_or_at_least_half_of_it(t):
+    for x in (text(3000), text(2000, paragraph=7), "word " * 3000, "a" * 9000):
+        pieces = split_text(x, t, 500, 60)
+        assert len(pieces) > 4
+        for (_, b0, _), (a1, _, _) in zip(pieces, pieces[1:], strict=False):
+            assert 26 <= t.count(x[a1:b0]) <= 64
+
+
 def test_cuts_prefer_paragraphs_and_pieces_are_balanced(t):
     x = text(2400, paragraph=40)
     pieces = split_text(x, t, 1000, 0)
@@ -59,6 +67,16 @@ def test_documents(spark, t):
         split_documents(out.select("doc_id", "piece").toDF("doc_id", "text"), limit=5, overlap=5)
 
 
+def test_shares_of_many_sources(spark):
+    """More sources than a driver should hold slices of: each meets its share within its repeats."""
+    n = 1200
+    docs = spark.range(n * 12).selectExpr("id AS doc_id", f"concat('s', id % {n}) AS source", "repeat('word ', cast(5 + id % 7 AS int)) AS text")
+    targets = spark.range(n).selectExpr("concat('S', id) AS source", f"1 / {n}d AS target_share", "4 AS max_repeats")
+    report = mix_sources(docs, targets).report
+    assert report.count() == n and report.filter("n_rows > 48 or n_rows = 0").count() == 0
+    assert report.selectExpr("sum(actual_share) s").first().s == pytest.approx(1.0)
+
+
 def test_poisson_inverse():
     p = at_least(0.7, 4)
     assert p == sorted(p, reverse=True) and abs(p[0] - (1 - 2.718281828 ** -0.7)) < 1e-6
