@@ -17,8 +17,7 @@ SHORT = 2
 
 def terms(text: Column) -> Column:
     """All terms in order, repeated ones too: lower case, split at everything but letters and digits, without short and stop words. Null is no term."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda t: (F.length(t) > SHORT) & ~F.array_contains(stop, t))
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda t: (F.length(t) > SHORT) & ~t.isin(*STOP_WORDS))  # looked up in a hash set
 
 
 def lexemes(text: Column) -> Column:

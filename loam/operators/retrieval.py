@@ -42,10 +42,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def lexical_hits(nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, path, score): nodes with every term of the query, by the sum of tf / (1 + ln(1 + length)). A query without terms finds nothing."""
-    asked = query_terms(queries)
-    hits = postings(nodes, wanted=materialize(asked.select("term").distinct())).join(asked, "term")
-    scored = hits.groupBy("query", "path", "wanted").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("tf") / (1.0 + F.log(1.0 + F.col("length")))).alias("score"))
+    """(query, path, score): nodes with every term of the query, by the sum of tf / (1 + ln(1 + length)). A query without terms finds nothing.
+
+    A query meets the nodes of its rarest term, and only those are looked up for its other terms."""
+    asked = materialize(query_terms(queries))
+    post = materialize(postings(nodes, wanted=materialize(asked.select("term").distinct())))
+    known = asked.join(tx.doc_freqs(post), "term", "left")
+    rarest = known.groupBy("query", "wanted").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count("df").alias("n")).filter("n = wanted")
+    cands = post.select("path", "term").join(rarest.select("query", "term", "wanted"), "term").select("query", "path", "wanted")
+    met = cands.join(asked.select("query", "term"), "query").join(post, ["path", "term"])
+    scored = met.groupBy("query", "path", "wanted").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("tf") / (1.0 + F.log(1.0 + F.col("length")))).alias("score"))
     return scored.filter("n = wanted").select("query", "path", F.round("score", 9).alias("score"))
 
 
@@ -148,15 +154,19 @@ def coverage(nodes: DataFrame, queries: DataFrame, least_terms: int = 2, least_m
 
     The confidence is the least of 1, matched mass / query mass, and 1/2 + title mass / query mass. A term that no node has
     counts in the query's mass. Postings and document frequencies are made of the queries' terms only."""
-    asked = materialize(query_terms(queries))
-    post = materialize(postings(nodes, wanted=materialize(asked.select("term").distinct())).select("path", "term"))
-    total = nodes.agg(F.count(F.lit(1)).alias("n"))
-    q = asked.join(tx.doc_freqs(post), "term", "left").join(F.broadcast(total)).withColumn("w", tx.idf(F.col("n"), F.coalesce("df", F.lit(0)))).drop("n")
-    q = q.withColumn("query_mass", F.sum("w").over(Window.partitionBy("query")))
-    titles = semi_join(nodes.select("path", F.explode(tx.lexemes(F.col("title"))).alias("term")), asked.select("term").distinct(), "term").withColumn("in_title", F.lit(1))
-    hits = post.join(titles, ["path", "term"], "left").join(q, "term")
-    mass = hits.groupBy("query", "path", "query_mass").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("matched"), F.sum(F.when(F.col("in_title") == 1, F.col("w")).otherwise(0.0)).alias("title_mass"))
-    mass = top(mass.withColumn("matched", F.round("matched", 9)), ["query"], [F.desc("matched"), F.col("path")], k)
+    docs = materialize(nodes.select("path", tx.lexemes(tx.document()).alias("w"), tx.lexemes(F.col("title")).alias("t")).withColumn("node", F.monotonically_increasing_id()))
+    asked = materialize(queries.select("query", tx.lexemes(F.col("text")).alias("q")).withColumn("no", F.monotonically_increasing_id()))
+    terms = materialize(asked.select("no", F.explode("q").alias("term")))
+    each = docs.select("node", F.explode(F.transform("w", lambda x: F.struct(x.alias("term"), F.array_contains("t", x).alias("in_title")))).alias("p")).select("node", "p.term", "p.in_title")
+    post = materialize(semi_join(each, materialize(terms.select("term").distinct()), "term"))
+    total = nodes.agg(F.count(F.lit(1)).alias("nodes"))
+    q = terms.join(tx.doc_freqs(post), "term", "left").join(F.broadcast(total)).withColumn("w", tx.idf(F.col("nodes"), F.coalesce("df", F.lit(0)))).select("no", "term", "w")
+    weights = materialize(q)
+    masses = weights.groupBy("no").agg(F.sum("w").alias("query_mass"))
+    mass = post.join(weights, "term").groupBy("no", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("matched"), F.sum(F.when(F.col("in_title"), F.col("w")).otherwise(0.0)).alias("title_mass")).withColumn("matched", F.round("matched", 9))
+    first = mass.withColumn("_r", F.rank().over(Window.partitionBy("no").orderBy(F.desc("matched")))).filter(F.col("_r") <= k).drop("_r")  # names are joined to what may come out
+    named = first.join(asked.select("no", "query"), "no").join(docs.select("node", "path"), "node").join(masses, "no")
+    mass = top(named, ["query"], [F.desc("matched"), F.col("path")], k)
     whole = F.when(F.col("query_mass") == 0, 1.0).otherwise(F.col("query_mass"))
     conf = F.least(F.lit(1.0), F.col("matched") / whole, 0.5 + F.col("title_mass") / whole)
     return mass.filter((F.col("n") >= least_terms) & (F.col("matched") >= least_mass)).select("query", "path", F.round(conf, 9).alias("lex_conf"))
