@@ -15,7 +15,9 @@ from loam.operators import retrieval as rt
 from loam.session import lookup_join, materialize
 from loam.visibility import importance, moment
 
-NONE = F.lit(None).cast("string")
+
+def _null() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _rows(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
@@ -32,10 +34,10 @@ def search(shown: DataFrame, extracted: DataFrame, links: DataFrame, queries: Da
     more = rt.lexical_hits(extracted, queries).select("query", "path").unionByName(rt.substring_arm(extracted, queries, None)).distinct().groupBy("query").agg(F.count(F.lit(1)).alias("n"))
     no = F.lit(None).cast("long")
     parts = [
-        _rows(hits, "hit", query=F.col("query"), position=F.col("position").cast("long"), path=F.col("path"), other=NONE, score=F.round("retrieval_score", 9)),
+        _rows(hits, "hit", query=F.col("query"), position=F.col("position").cast("long"), path=F.col("path"), other=_null(), score=F.round("retrieval_score", 9)),
         _rows(against, "contradiction", query=F.col("query"), position=no, path=F.col("path"), other=F.col("neighbour"), score=F.lit(None).cast("double")),
-        _rows(trip, "tripwire", query=F.col("query"), position=F.col("position").cast("long"), path=F.col("path"), other=NONE, score=F.col("sim")),
-        _rows(more, "hidden", query=F.col("query"), position=no, path=NONE, other=NONE, score=F.col("n").cast("double")),
+        _rows(trip, "tripwire", query=F.col("query"), position=F.col("position").cast("long"), path=F.col("path"), other=_null(), score=F.col("sim")),
+        _rows(more, "hidden", query=F.col("query"), position=no, path=_null(), other=_null(), score=F.col("n").cast("double")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
@@ -56,7 +58,7 @@ def read_nodes(nodes: DataFrame, links: DataFrame, paths: DataFrame, now: str) -
     other = live.select(F.col("id").alias("other_id"), F.col("path").alias("other"))
     linked = rt.directed(links).withColumnRenamed("other", "other_id").join(mine.select("path", "id"), "id").join(other, "other_id")
     none = F.lit(None).cast("boolean")
-    rows = mine.select("path", F.lit("node").alias("kind"), NONE.alias("rel_type"), NONE.alias("other"), gone.alias("expired"))
+    rows = mine.select("path", F.lit("node").alias("kind"), _null().alias("rel_type"), _null().alias("other"), gone.alias("expired"))
     rows = rows.unionByName(linked.select("path", F.col("direction").alias("kind"), "rel_type", "other", none.alias("expired")))
     return rows.unionByName(linked.filter("rel_type = 'contradicts'").select("path", F.lit("contradicts").alias("kind"), "rel_type", "other", none.alias("expired")).distinct())
 
@@ -112,7 +114,7 @@ def session_digest(shown: DataFrame, projects: DataFrame, now: str, trigger: str
     limit = F.when(F.col("section") == "pin", room["pin"]).when(F.col("section") == "index", room["index"]).otherwise(room["rule"])
     told = lines.join(at, "project").withColumn("fits", F.col("run") <= limit)
     kept = told.filter("fits").select("project", "section", "position", "path", F.lit(None).cast("long").alias("n"))
-    omitted = told.filter("not fits and section != 'pin'").groupBy("project").agg(F.count(F.lit(1)).alias("n")).select("project", F.lit("omitted").alias("section"), F.lit(None).cast("long").alias("position"), NONE.alias("path"), "n")
+    omitted = told.filter("not fits and section != 'pin'").groupBy("project").agg(F.count(F.lit(1)).alias("n")).select("project", F.lit("omitted").alias("section"), F.lit(None).cast("long").alias("position"), _null().alias("path"), "n")
     return kept.unionByName(omitted)
 
 
@@ -131,7 +133,7 @@ def context(nodes: DataFrame, now: str, recent: int = 15) -> DataFrame:
     last = curated.filter(~F.contains("path", F.lit("/auto/"))).orderBy(F.desc("updated_at"), "path").limit(recent)
     rows = stats.branches(curated).select(F.lit("branch").alias("kind"), F.col("branch").alias("name"), "n", F.col("last_update").alias("at"))
     rows = rows.unionByName(last.select(F.lit("recent").alias("kind"), F.col("path").alias("name"), F.lit(None).cast("long").alias("n"), F.col("updated_at").alias("at")))
-    return rows.unionByName(live.filter("origin = 'extracted'").agg(F.count(F.lit(1)).alias("n")).select(F.lit("extracted").alias("kind"), NONE.alias("name"), "n", F.lit(None).cast("timestamp_ntz").alias("at")))
+    return rows.unionByName(live.filter("origin = 'extracted'").agg(F.count(F.lit(1)).alias("n")).select(F.lit("extracted").alias("kind"), _null().alias("name"), "n", F.lit(None).cast("timestamp_ntz").alias("at")))
 
 
 def graph_report(nodes: DataFrame, links: DataFrame, most: int = 8) -> DataFrame:
@@ -140,7 +142,7 @@ def graph_report(nodes: DataFrame, links: DataFrame, most: int = 8) -> DataFrame
     degree = materialize(graph.degrees(nodes, sub).join(nodes.select("path", "type"), "path"))
     found = materialize(graph.node_components(nodes, sub).groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2"))
     alone = degree.filter("degree = 0 and (type is null or type != 'category')")
-    row = lambda df, kind, a=NONE, b=NONE, n=F.lit(None).cast("long"): df.select(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), n.alias("n"))
+    row = lambda df, kind, a=None, b=None, n=None: df.select(F.lit(kind).alias("kind"), (_null() if a is None else a).alias("a"), (_null() if b is None else b).alias("b"), (F.lit(None).cast("long") if n is None else n).alias("n"))
     count = lambda df, kind: row(df.agg(F.count(F.lit(1)).alias("n")), kind, n=F.col("n"))
     against = graph.named_links(nodes, sub.filter("rel_type = 'contradicts'"))
     parts = [count(nodes, "nodes"), count(sub, "links"), count(found, "clusters"), count(alone, "orphans")]

@@ -303,3 +303,14 @@ def test_written_tables_are_released(spark):
     session.release(spark)
     assert not os.path.exists(path) and not session._WRITTEN
     session._WRITTEN[:] = kept
+
+
+def test_queries_are_listed_without_a_session():
+    """The driver may read the list before there is a session: nothing builds a column while modules load."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 100"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
