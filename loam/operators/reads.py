@@ -27,9 +27,9 @@ def _rows(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
 def search(shown: DataFrame, extracted: DataFrame, links: DataFrame, queries: DataFrame, now: str, limit: int = 20) -> DataFrame:
     """(kind, query, position, path, other, score): `hit`s of the hybrid search; `contradiction`s of hits with another node; `tripwire`, the
     extracted tier's few nearly equal nodes; `hidden`, the number (in score) of extracted nodes with all words of the query or its text."""
-    hits = materialize(rt.hybrid(shown, queries, now, limit))
+    hits = materialize(rt.hybrid(shown, queries, now, limit, dims=rt.DIMS))
     against = rt.contradictions(hits.select("query", "path"), shown, links)
-    trip = rt.tripwire(extracted, queries)
+    trip = rt.tripwire(extracted, queries, dims=rt.DIMS)
     trip = trip.withColumn("position", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "path")))
     more = rt.lexical_hits(extracted, queries).select("query", "path").unionByName(rt.substring_arm(extracted, queries, None)).distinct().groupBy("query").agg(F.count(F.lit(1)).alias("n"))
     no = F.lit(None).cast("long")
@@ -67,7 +67,7 @@ def graph_query(nodes: DataFrame, links: DataFrame, queries: DataFrame, now: str
     """(query, position, path, direction, rel_type, neighbour, tag): the k best nodes by re-ranked similarity out of max(3 k, 15), each with its links to live nodes and whether a link is EXPLICIT or INFERRED; a hit without links comes once, with nulls."""
     live = nodes.filter("deleted_at is null")
     curated = live.filter("origin = 'curated'")
-    near = rt.vector_arm(curated, queries, max(3 * k, 15)).join(curated.select("path", "id", "importance", "updated_at"), "path")
+    near = rt.vector_arm(curated, queries, max(3 * k, 15), rt.DIMS).join(curated.select("path", "id", "importance", "updated_at"), "path")
     hits = rt.top(rt.rerank(near, "sim", now), ["query"], [F.desc("final_score"), F.col("path")], k, "position").select("query", "path", "id", F.col("position").cast("long").alias("position"))
     ends = links.select(F.col("from_id").alias("id"), F.col("to_id").alias("o"), F.lit("out").alias("direction"), "rel_type", "link_origin").unionByName(links.select(F.col("to_id").alias("id"), F.col("from_id").alias("o"), F.lit("in").alias("direction"), "rel_type", "link_origin"))
     named = ends.join(live.select(F.col("id").alias("o"), F.col("path").alias("neighbour")), "o").select("id", "direction", "rel_type", "neighbour", F.when(F.col("link_origin") == "explicit", "EXPLICIT").otherwise("INFERRED").alias("tag"))

@@ -19,7 +19,7 @@ from loam.visibility import days_since, importance
 
 #: Constant of the rank fusion.
 RRF_K = 60
-#: Numbers of a vector.
+#: Numbers of a vector, where nothing else says it.
 DIMS = 384
 
 
@@ -60,10 +60,16 @@ def lexical_arm(nodes: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
     return top(lexical_hits(nodes, queries), ["query"], [F.desc("score"), F.col("path")], k)
 
 
-def vector_arm(nodes: DataFrame, queries: DataFrame, k: int = 30, dims: int = DIMS) -> DataFrame:
-    """(query, path, sim): the nodes most similar to each query vector. Vectors of another length, or that aren't finite or all zero, take no part on either side.
+def vector_arm(nodes: DataFrame, queries: DataFrame, k: int = 30, dims: int | None = None) -> DataFrame:
+    """(query, path, sim): the nodes most similar to each query vector. Vectors of another length than dims, or that aren't finite or all zero, take no part on either side.
+
+    Without dims, it is the commonest length of the queries' vectors (of equally common ones the greatest).
 
     Both sides are partitioned by lists of alike vectors; up to some thousands of nodes there is one part, and nothing is lost."""
+    if dims is None:
+        size = F.size("vector")
+        found = queries.filter(size > 0).groupBy(size.alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
+        dims = found["n"] if found else DIMS
     rows = nodes.filter(usable_vector(F.col("embedding"), dims)).select(F.col("path").alias("id"), F.col("embedding").cast("array<float>").alias("vec"))
     asked = queries.filter(usable_vector(F.col("vector"), dims)).select(F.col("query").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vec"))
     return among_queries(rows, asked, dims, k).select(F.col("id").alias("query"), F.col("neighbour").alias("path"), F.col("similarity").alias("sim"))
@@ -89,10 +95,10 @@ def rerank(hits: DataFrame, score: str, now: str) -> DataFrame:
     return hits.withColumn("final_score", F.round(F.col(score) * (0.5 + 0.5 * importance()) + 1e-6 * recency, 12))
 
 
-def hybrid(nodes: DataFrame, queries: DataFrame, now: str, limit: int = 20, arm: int = 30) -> DataFrame:
+def hybrid(nodes: DataFrame, queries: DataFrame, now: str, limit: int = 20, arm: int = 30, dims: int | None = None) -> DataFrame:
     """(query, path, retrieval_score, final_score, position): fused if both arms find something, else the score of the one that does,
     else nodes that contain the query as it is, at 0.1. Decided per query, within one plan."""
-    fused = fuse(lexical_arm(nodes, queries, arm), vector_arm(nodes, queries, arm))
+    fused = fuse(lexical_arm(nodes, queries, arm), vector_arm(nodes, queries, arm, dims))
     score = F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("rrf")).otherwise(F.coalesce("score", "sim"))
     found = materialize(fused.select("query", "path", score.alias("retrieval_score")))
     empty = queries.select(F.col("query").cast("string"), "text").join(found.select("query").distinct(), "query", "left_anti")
@@ -144,9 +150,9 @@ def contradictions(hits: DataFrame, nodes: DataFrame, links: DataFrame) -> DataF
     return neighbours(hits, nodes, links.filter("rel_type = 'contradicts'")).select("query", "path", "neighbour").distinct()
 
 
-def tripwire(extracted: DataFrame, queries: DataFrame, least: float = 0.85, most: int = 3, arm: int = 20) -> DataFrame:
+def tripwire(extracted: DataFrame, queries: DataFrame, least: float = 0.85, most: int = 3, arm: int = 20, dims: int | None = None) -> DataFrame:
     """(query, path, sim): the extracted tier's few very similar nodes, shown although the tier isn't searched."""
-    return top(vector_arm(extracted, queries, arm).filter(F.col("sim") >= least), ["query"], [F.desc("sim"), F.col("path")], most)
+    return top(vector_arm(extracted, queries, arm, dims).filter(F.col("sim") >= least), ["query"], [F.desc("sim"), F.col("path")], most)
 
 
 def coverage(nodes: DataFrame, queries: DataFrame, least_terms: int = 2, least_mass: float = 7.0, k: int = 60) -> DataFrame:

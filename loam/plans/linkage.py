@@ -413,7 +413,7 @@ def _(s, d):
 @R.add("vector_neighbours_by_tier", f"SELECT query, path, sim FROM (SELECT q.path AS query, n.path, round(list_cosine_similarity(CAST(n.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS sim, row_number() OVER (PARTITION BY q.path ORDER BY round(list_cosine_similarity(CAST(n.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) DESC, n.path) AS r FROM memory_nodes q, {SHOWN} n WHERE q.type = 'user' AND {usable('q.embedding')} AND {usable('n.embedding')}) WHERE r <= 5")
 def _(s, d):
     q = nodes(s, d).filter("type = 'user'").select(F.col("path").alias("query"), F.col("embedding").alias("vector"))
-    return vector_arm(shown(s, d), q, 5)
+    return vector_arm(shown(s, d), q, 5, DIMS)
 
 
 QUERIES, ORACLE = R.queries, R.sql

@@ -54,17 +54,17 @@ def _(s, d):
 
 @R.add("vector_arm", f"SELECT query, path, sim FROM ({_vec(30)})")
 def _(s, d):
-    return rt.vector_arm(shown(s, d), node_queries(s, d))
+    return rt.vector_arm(shown(s, d), node_queries(s, d), dims=DIMS)
 
 
 @R.add("rrf_fuse", f"SELECT query, path, round(rrf, 9) AS rrf, in_lexical, in_vector FROM ({_FUSE})")
 def _(s, d):
     q, n = node_queries(s, d), shown(s, d)
-    return rt.fuse(rt.lexical_arm(n, q), rt.vector_arm(n, q)).select("query", "path", F.round("rrf", 9).alias("rrf"), "in_lexical", "in_vector")
+    return rt.fuse(rt.lexical_arm(n, q), rt.vector_arm(n, q, dims=DIMS)).select("query", "path", F.round("rrf", 9).alias("rrf"), "in_lexical", "in_vector")
 
 
 def _hybrid(s, d, limit: int = 20) -> DataFrame:
-    return rt.hybrid(shown(s, d), node_queries(s, d), NOW, limit)
+    return rt.hybrid(shown(s, d), node_queries(s, d), NOW, limit, dims=DIMS)
 
 
 @R.add("hybrid_search", _HYBRID)
@@ -75,7 +75,7 @@ def _(s, d):
 @R.add("vector_rerank", f"SELECT query, path, position FROM (SELECT query, path, row_number() OVER (PARTITION BY query ORDER BY final_score DESC, path) AS position FROM (SELECT v.query, v.path, {_FINAL.format(s='v.sim')} AS final_score FROM ({_vec(30)}) v JOIN {SHOWN} n ON n.path = v.path)) WHERE position <= 8")
 def _(s, d):
     n = shown(s, d)
-    hits = rt.rerank(rt.vector_arm(n, node_queries(s, d), 30).join(n.select("path", "importance", "updated_at"), "path"), "sim", NOW)
+    hits = rt.rerank(rt.vector_arm(n, node_queries(s, d), 30, DIMS).join(n.select("path", "importance", "updated_at"), "path"), "sim", NOW)
     return rt.top(hits, ["query"], [F.desc("final_score"), F.col("path")], 8, "position").select("query", "path", F.col("position").cast("long").alias("position"))
 
 
@@ -85,7 +85,7 @@ _EXTRACTED = f"(SELECT * FROM memory_nodes WHERE {LIVE} AND origin = 'extracted'
 @R.add("tripwire", f"SELECT query, path, sim FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, path) AS r FROM ({_vec(20, _EXTRACTED)}) WHERE sim >= 0.85) WHERE r <= 3")
 def _(s, d):
     n = nodes(s, d).filter(live() & (F.col("origin") == "extracted"))
-    return rt.tripwire(n, node_queries(s, d)).select("query", "path", "sim")
+    return rt.tripwire(n, node_queries(s, d), dims=DIMS).select("query", "path", "sim")
 
 
 _DIRECTED = f"(SELECT from_id AS id, to_id AS other, 'out' AS direction, rel_type FROM {LINKS} UNION ALL SELECT to_id, from_id, 'in', rel_type FROM {LINKS})"
@@ -148,7 +148,7 @@ FROM ({_COVER.replace('{queries}', NODE_QUERIES)}) a FULL JOIN ({_vec(10)}) b ON
 def _candidates(s, d) -> DataFrame:
     """Candidates for titles and vectors of the query nodes, without the node itself."""
     q, n = node_queries(s, d), shown(s, d)
-    merged = gate.merge_signals(_coverage(s, d, q), rt.vector_arm(n, q, 10)).filter("query != path")
+    merged = gate.merge_signals(_coverage(s, d, q), rt.vector_arm(n, q, 10, DIMS)).filter("query != path")
     slug = ps.project_slug
     return merged.join(n.select("path", importance().alias("importance")), "path").withColumn("in_project", F.coalesce(slug(F.col("query")) == slug(F.col("path")), F.lit(False))).select("query", "path", "lex_conf", "sim", "importance", "in_project")
 
