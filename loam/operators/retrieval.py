@@ -198,6 +198,22 @@ def usage_rank(corpus: DataFrame, replies: DataFrame) -> DataFrame:
     return joined.select("query", "path", F.round(share, 9).alias("rank_share"))
 
 
+def kept_frequencies(nodes: DataFrame, path: str, clock: str, hours: float = 6.0) -> DataFrame:
+    """(term, df, n) of the nodes, kept at a path with the time it was built, and built anew once that is `hours` ago; n: number of nodes."""
+    spark = nodes.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        kept = spark.read.parquet(path)
+        built = kept.select(F.max("built")).first()[0]
+        age = spark.sql(f"SELECT (unix_micros(cast(timestamp_ntz'{clock}' as timestamp)) - unix_micros(cast(timestamp_ntz'{built}' as timestamp))) / 3.6e9 AS h").first()["h"] if built else None
+        if age is not None and 0 <= age < hours:
+            return kept.drop("built")
+    total = nodes.agg(F.count(F.lit(1)).alias("n"))
+    rows = tx.doc_freqs(postings(nodes)).join(F.broadcast(total)).withColumn("built", F.lit(clock).cast("timestamp_ntz"))
+    rows.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).drop("built")
+
+
 #: Share of the corpus among which a node must rank to count as used.
 USE_TOP_SHARE = 0.01
 

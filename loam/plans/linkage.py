@@ -145,6 +145,16 @@ _LEXICAL = f"SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER
 _CANDIDATES = f"(SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT a, b FROM {_RANKED} WHERE rank <= 15 UNION ALL {_LEXICAL} UNION ALL {_TWO_HOP} UNION ALL SELECT path, mentioned FROM {_mentions(SHOWN)} UNION ALL SELECT from_path, to_path FROM {_NAMED} WHERE link_origin = 'inferred') WHERE a <> b)"
 
 
+_NAMES = f"(SELECT path, substr(slug, 1, 6) AS name FROM {SHOWN} WHERE slug IS NOT NULL AND slug <> '')"
+
+
+@R.add("resolve_names", f"SELECT path, name, arg_min(target, row(o, target)) AS target FROM (SELECT w.path, w.name, n.path AS target, CASE WHEN regexp_replace(w.path, '/[^/]*$', '') = regexp_replace(n.path, '/[^/]*$', '') THEN 0 ELSE 1 END AS o FROM {_NAMES} w JOIN {SHOWN} n ON starts_with(list_extract(string_split(n.path, '/'), -1), w.name) AND n.path <> w.path) GROUP BY 1, 2")
+def _(s, d):
+    """The first six letters of each node's own slug, as a name written in it, resolved to another node."""
+    n = shown(s, d)
+    return linking.resolve_names(n.filter("slug is not null").select("path", F.expr("substring(slug, 1, 6)").alias("name")), n)
+
+
 def _mentioned(s, d) -> DataFrame:
     return materialize(linking.mentions(shown(s, d)))
 

@@ -216,6 +216,70 @@ def _(s, d):
     return gate.sweep(_gold(s, d), materialize(_scored(s, d)), [0.2, 0.5, 0.8])
 
 
+@R.add("frontier", " UNION ALL ".join(_metrics(t) for t in gate.FRONTIER))
+def _(s, d):
+    from loam.session import materialize
+
+    return gate.sweep(_gold(s, d), materialize(_scored(s, d)))
+
+
+_GRID = [gate.GateParams(max_hits=h, min_confidence=c, sim_full=f) for h in (1, 2) for c in (0.7, 0.9) for f in (0.8, 0.95)]
+
+
+def _grid_sql(p: gate.GateParams) -> str:
+    conf = f"round(1.0 - (1.0 - lex_conf) * (1.0 - CASE WHEN sim IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, (sim - {p.sim_zero}) / ({p.sim_full} - {p.sim_zero}))) END), 9)"
+    hits = f"SELECT query, path FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, importance DESC, path) AS r FROM (SELECT *, {conf} AS c FROM ({_CAND})) WHERE c >= {p.min_confidence} AND importance >= {p.min_importance}) WHERE r <= {p.max_hits}"
+    return f"""SELECT CAST({p.max_hits} AS INTEGER) AS max_hits, CAST({p.min_confidence} AS DOUBLE) AS min_confidence, CAST({p.sim_full} AS DOUBLE) AS sim_full, round(coalesce(count(DISTINCT g.query) FILTER (len(e) > 0 AND list_contains(e, path)) / nullif(count(DISTINCT g.query) FILTER (len(e) > 0), 0), 0.0), 9) AS recall, round(coalesce(count(*) FILTER (list_contains(e, path)) / nullif(count(path), 0), 1.0), 9) AS precision,
+round(coalesce(count(DISTINCT g.query) FILTER (len(coalesce(e, [])) = 0 AND path IS NOT NULL) / nullif(count(DISTINCT g.query) FILTER (len(coalesce(e, [])) = 0), 0), 0.0), 9) AS false_positive_rate, round(count(DISTINCT g.query) FILTER (path IS NOT NULL) / count(DISTINCT g.query), 9) AS injection_rate FROM {_GOLD} g LEFT JOIN ({hits}) h ON h.query = g.query"""
+
+
+@R.add("param_grid", " UNION ALL ".join(map(_grid_sql, _GRID)))
+def _(s, d):
+    from loam.session import materialize
+
+    return gate.grid(_gold(s, d), materialize(_candidates(s, d)), _GRID).select("max_hits", "min_confidence", "sim_full", "recall", "precision", "false_positive_rate", "injection_rate")
+
+
+@R.add("gate_failures", f"""WITH p AS MATERIALIZED ({_PROB}), h AS (SELECT query, path FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY confidence DESC, importance DESC, path) AS r FROM p WHERE confidence >= 0.5 AND importance >= 0.5) WHERE r <= 1),
+b AS (SELECT g.query, CASE WHEN len(coalesce(e, [])) > 0 AND (h.path IS NULL OR NOT list_contains(e, h.path)) THEN 'missed' WHEN h.path IS NOT NULL AND NOT list_contains(coalesce(e, []), h.path) THEN 'wrong' END AS kind FROM {_GOLD} g LEFT JOIN h ON h.query = g.query)
+SELECT b.query, kind, c.path, c.confidence, c.position FROM b LEFT JOIN (SELECT query, path, confidence, row_number() OVER (PARTITION BY query ORDER BY confidence DESC, importance DESC, path) AS position FROM p QUALIFY position <= 3) c ON c.query = b.query WHERE kind IS NOT NULL""")
+def _(s, d):
+    from loam.session import materialize
+
+    return gate.failures(_gold(s, d), materialize(_scored(s, d)), 0.5)
+
+
+@R.add("candidate_pool", f"SELECT query, path, confidence, position FROM (SELECT query, path, confidence, row_number() OVER (PARTITION BY query ORDER BY confidence DESC, importance DESC, path) AS position FROM ({_PROB}) WHERE importance >= 0) WHERE position <= 10")
+def _(s, d):
+    return gate.candidate_pool(_scored(s, d)).select("query", "path", "confidence", F.col("position").cast("long").alias("position"))
+
+
+@R.add("gate_fit")
+def _(s, d):
+    """(feature, weight) of the gate fitted on what the links say should be found."""
+    model = gate.fit(gate.labelled(_gold(s, d), gate.add_features(_candidates(s, d))))
+    return s.createDataFrame(list(model.weights.items()), "feature string, weight double")
+
+
+@R.add("cross_validated")
+def _(s, d):
+    """The metrics of models that never saw the query they are judged on, in five folds."""
+    from loam.session import materialize
+
+    gold = materialize(_gold(s, d))
+    preds = gate.cross_validate(gold, materialize(gate.add_features(_candidates(s, d))), 5)
+    return gate.evaluate(gold, gate.select_hits(preds, 0.5))
+
+
+@R.add("trivial_prompts", f"SELECT CAST(item_id AS VARCHAR) AS query, (starts_with(trim(prompt), '/') AND NOT contains(trim(prompt), ' ')) OR len(list_distinct({terms('prompt')})) < 2 AS trivial FROM eval_items UNION ALL SELECT path, (starts_with(trim(slug), '/') AND NOT contains(trim(slug), ' ')) OR len(list_distinct({terms('slug')})) < 2 FROM memory_nodes WHERE slug IS NOT NULL")
+def _(s, d):
+    """Prompts, and the slugs of nodes as prompts, that ask for nothing."""
+    from loam.functions import text as tx
+
+    rows = _prompts(s, d).select("query", "text").unionByName(nodes(s, d).filter("slug is not null").select(F.col("path").alias("query"), F.col("slug").alias("text")))
+    return rows.select("query", tx.trivial_prompt(F.col("text")).alias("trivial"))
+
+
 @R.add("eval_metrics", f"SELECT * EXCLUDE (threshold) FROM ({_metrics(0.5)})")
 def _(s, d):
     return gate.evaluate(_gold(s, d), gate.select_hits(_scored(s, d), 0.5))

@@ -121,6 +121,25 @@ _LOCAL = "CAST(timezone('Europe/Berlin', {0} AT TIME ZONE 'UTC') AS DATE)"
 _DATED = f"(SELECT path, string_agg(d, ',' ORDER BY d) AS dates FROM (SELECT DISTINCT path, w || '=' || CAST(day + CAST({_DAYS} AS INTEGER) AS VARCHAR) AS d FROM (SELECT path, {_LOCAL.format('created_at')} AS day, unnest(list_concat(regexp_extract_all({_PROSE}, '(?i)\\b(?:vorgestern|gestern|yesterday|heute|today|tomorrow)\\b'), list_filter(regexp_extract_all({_PROSE}, '\\p{{{{L}}}}+(?:\\s*früh)?'), lambda x: x IN ('morgen', 'übermorgen')))) AS w FROM {{source}} WHERE {_LOCAL.format('created_at')} = {_LOCAL.format('updated_at')})) GROUP BY 1)"
 
 
+@R.add("titles", "SELECT path, CASE WHEN length(l) > 120 THEN substr(l, 1, 117) || '...' ELSE l END AS title_of FROM (SELECT path, coalesce(list_filter(list_transform(string_split_regex(coalesce(body, ''), '\\r\\n|\\n|\\r'), lambda x: trim(x)), lambda x: x <> '')[1], '') AS l FROM memory_nodes)")
+def _(s, d):
+    return nodes(s, d).select("path", tx.title_of(F.col("body")).alias("title_of"))
+
+
+@R.add("tag_lists", "SELECT path, array_to_string(list_filter(t, lambda x, i: list_position(list_transform(t, lambda y: lower(y)), lower(x)) = i), '|') AS tags FROM (SELECT path, list_concat(list_filter(list_transform(string_split(coalesce(array_to_string(tags, ', ') || ',' || upper(tags[1]), ''), ','), lambda x: trim(x)), lambda x: x <> ''), ['Review', 'kept']) AS t FROM memory_nodes)")
+def _(s, d):
+    """The tags of each node as one text, its first one repeated in capitals, read back with two forced ones."""
+    text = F.concat(F.array_join("tags", ", "), F.lit(","), F.upper(F.try_element_at("tags", F.lit(1))))
+    return nodes(s, d).select("path", F.array_join(tx.tag_list(text, ["Review", "kept"]), "|").alias("tags"))
+
+
+@R.add("headlines", f"SELECT path, list_contains(string_split_regex(lower(hl), '[^a-z]+'), 'puffer') AS hit, len(string_split(hl, ' ')) <= 25 AS short FROM (SELECT path, coalesce(title, '') || ' ' || coalesce(body, '') AS hl0, CASE WHEN regexp_matches({DOC}, '(?i)\\bpuffer\\b') THEN 'puffer' ELSE '' END AS hl FROM {SHOWN})")
+def _(s, d):
+    """Whether the words around the first hit hold it, and are few."""
+    h = tx.headline(tx.document(), ["puffer"])
+    return shown(s, d).select("path", F.contains(F.lower(h), F.lit("«puffer»")).alias("hit"), (F.size(F.split(h, " ")) <= 25).alias("short"))
+
+
 @R.add("relative_dates", f"SELECT path, dates FROM {_DATED.format(source='memory_nodes')}")
 def _(s, d):
     return consolidate.dated(nodes(s, d)).withColumn("dates", F.array_join("dates", ","))

@@ -20,3 +20,19 @@ def test_active_tasks_of_all_projects(spark):
     t = spark.createDataFrame([(3, 2, "t", False, None)], "id int, milestone_id int, title string, completed boolean, deleted_at timestamp_ntz")
     got = journal.active_tasks(p, m, t)
     assert [tuple(r) for r in got.collect()] == [("p", "m", 3, "t")] and "Limit" not in got._jdf.queryExecution().logical().toString()
+
+
+def test_frequencies_are_kept_for_hours(spark, tmp_path):
+    make = lambda *texts: spark.createDataFrame([(f"/{i}", "", t) for i, t in enumerate(texts)], "path string, title string, body string")
+    read = lambda df, at: {r.term: (r.df, r.n) for r in retrieval.kept_frequencies(df, f"{tmp_path}/df", at).collect()}
+    one, two = make("quartz lattice"), make("quartz", "quartz river")
+    assert read(one, "2026-01-01 00:00:00") == {"quartz": (1, 1), "lattice": (1, 1)} == read(two, "2026-01-01 05:00:00")
+    assert read(two, "2026-01-01 07:00:00") == {"quartz": (2, 2), "river": (1, 2)}
+
+
+def test_names_resolve_near_before_far(spark):
+    from loam.operators import linking
+
+    nodes = spark.createDataFrame([("/p/alpha-one",), ("/q/alpha-two",), ("/q/beta",), ("/q/n",)], "path string")
+    names = spark.createDataFrame([("/q/n", "alpha"), ("/p/alpha-one", "beta"), ("/q/n", "gamma"), ("/p/alpha-one", "alpha"), ("/q/n", "")], "path string, name string")
+    assert {tuple(r) for r in linking.resolve_names(names, nodes).collect()} == {("/q/n", "alpha", "/q/alpha-two"), ("/p/alpha-one", "beta", "/q/beta"), ("/p/alpha-one", "alpha", "/q/alpha-two")}
