@@ -64,9 +64,12 @@ def release(spark: SparkSession) -> None:
 
 
 def _release_all() -> None:
-    spark = SparkSession.getActiveSession() if _WRITTEN else None
-    if spark is not None:
-        release(spark)
+    try:
+        spark = SparkSession.getActiveSession() if _WRITTEN else None
+        if spark is not None:
+            release(spark)
+    except Exception:  # the JVM ended first
+        pass
 
 
 atexit.register(_release_all)
