@@ -56,7 +56,7 @@ def test_ancestors_are_added_and_revived(spark):
 
 def test_saving(spark):
     n = table(spark, "memory_nodes", [node("/p", provenance="user"), node("/p/gone", deleted_at=DAY[1]), node("/p/cur", title="kept")])
-    change = spark.createDataFrame([("/p", "new", None), ("/p/gone", "back", "claude"), ("/q/r", "made", None)], "path string, title string, provenance string")
+    change = spark.createDataFrame([("/p", "new", None), ("/p/gone", "back", "import"), ("/q/r", "made", None)], "path string, title string, provenance string")
     got = {r.path: r for r in mutate.save_nodes(n, change, NOW).collect()}
     assert set(got) == {"/p", "/p/gone", "/p/cur", "/q", "/q/r"} and got["/p"].provenance == "user" and got["/p"].created_at == DAY[0] and got["/p"].updated_at == AT
     assert got["/p/gone"].deleted_at is None and got["/q/r"].id and got["/p"].id == "/p"
