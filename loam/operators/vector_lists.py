@@ -1,15 +1,19 @@
 """Lists of alike vectors, on which searches for neighbours run: an inverted file of one or two levels.
 
-1. Spherical k-means on a bounded sample (`SAMPLE` vectors, the first by hash of the id) gives at most `LISTS` lists.
+1. Spherical k-means on a bounded sample (an eighth of the vectors, at least `SAMPLE` and at most `MOST_SAMPLE`, the first by
+   hash of the id), fitted by a task, gives at most `LISTS` lists.
 2. Small lists that lie together are packed into parts of about `PART` vectors. A list of more than two parts is split:
    k-means on a bounded sample of its own vectors gives up to `FINE` finer lists, each a part. Two levels keep parts at
    their size up to some LISTS x FINE x PART / 2 vectors, about 10^10. A finer list that can't be cut along its vectors
    (its sample says it has over four parts) is cut into chunks by hash.
-3. A vector answers in its nearest list only, and asks there and in the `PROBES` nearest lists whose centroid is less
-   similar than the best by at most `MARGIN`. It travels once to each part in which it answers or asks, so the copies of a
-   vector are bounded, whatever the number of vectors.
-
-The centroids of the first level travel with the tasks (at most 2048 of them); those of the second lie in the shared
+3. A vector asks in its nearest list and in the `PROBES` nearest ones whose centroid is less similar than the best by at most
+   `MARGIN`. It travels once to each part in which it asks, so the copies of a vector are bounded, whatever the number of
+   vectors. Among all, it also answers in every part to which it travels: two alike vectors meet if any of their lists is the
+   same. Where the sample has none of a small group of alike vectors, which is usual with millions of vectors, its members
+   are spread over several lists by chance; answering in the nearest list only would lose many of them. Rows that answer
+   queries lie in their nearest list only.
+
+The centroids of the first level travel with the tasks (at most 8192 of them); those of the second lie in the shared
 folder, a file for each split list, and rows come to them sorted by list.
 """
 
@@ -29,12 +33,12 @@ from pyspark.sql import functions as F
 from loam.operators.blocks import expand, pairs_within
 from loam.session import lookup_join, materialize, read_files
 
-#: Most vectors that the centroids of one level are fitted on, most lists of the first level and of a split list, iterations.
-SAMPLE, LISTS, FINE, ITERATIONS = 16384, 2048, 4096, 6
+#: Vectors that the centroids of a split list are fitted on at most, and those of the first level at least and at most; most lists of the first level and of a split list, iterations.
+SAMPLE, MOST_SAMPLE, LISTS, FINE, ITERATIONS = 16384, 65536, 8192, 4096, 6
 #: Lists are so many times the square root of the vectors' number, and hold so many vectors on average at least.
 DENSITY, LEAST = 4, 64
-#: Lists that a vector probes, and how much less similar their centroid may be than the best one.
-PROBES, MARGIN = 4, 0.1
+#: Lists that a vector probes, and how much less similar their centroid may be than the best one; the latter where rows answer in their nearest list only.
+PROBES, MARGIN, QUERY_MARGIN = 8, 0.07, 0.1
 #: Lists that it probes at most in its own part, where nothing has to travel.
 OWN_PROBES = 24
 #: Vectors of a part.
@@ -85,8 +89,7 @@ def fit_centroids(vectors: np.ndarray, lists: int, seed: int = SEED) -> tuple[np
     lists = max(1, min(lists, len(vectors)))
     centroids = vectors[rng.choice(len(vectors), lists, replace=False)].copy()
     for _ in range(ITERATIONS):
-        sims = vectors @ centroids.T
-        own = sims.argmax(1)
+        own, best = _nearest(vectors, centroids)
         counts = np.bincount(own, minlength=lists)
         order = np.argsort(own, kind="stable")
         there = np.flatnonzero(counts)
@@ -95,9 +98,17 @@ def fit_centroids(vectors: np.ndarray, lists: int, seed: int = SEED) -> tuple[np
         centroids[there] = sums / np.where(norms > 0, norms, 1)
         empty = np.flatnonzero(counts == 0)
         if len(empty):
-            centroids[empty] = vectors[np.argsort(sims.max(1), kind="stable")[: len(empty)]]
-    own = (vectors @ centroids.T).argmax(1)
-    return centroids, np.bincount(own, minlength=lists)
+            centroids[empty] = vectors[np.argsort(best, kind="stable")[: len(empty)]]
+    return centroids, np.bincount(_nearest(vectors, centroids)[0], minlength=lists)
+
+
+def _nearest(vectors: np.ndarray, centroids: np.ndarray, rows: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each vector and its similarity, in slices that bound the memory."""
+    own, best = np.empty(len(vectors), np.int64), np.empty(len(vectors), np.float32)
+    for at in range(0, len(vectors), rows):
+        sims = vectors[at : at + rows] @ centroids.T
+        own[at : at + rows], best[at : at + rows] = sims.argmax(1), sims.max(1)
+    return own, best
 
 
 def pack_lists(centroids: np.ndarray, weights: np.ndarray, target: float) -> tuple[np.ndarray, int]:
@@ -165,6 +176,32 @@ def _split_fit(dims: int, weights: dict[int, float], part: int):
     return run
 
 
+def _pack_sample(dims: int):
+    """A function over batches of (id, vec): the usable ones, unit length not yet, vectors packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v = matrix(batch.column("vec"), dims)
+                ok = np.flatnonzero(usable(v))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ok)), packed(v[ok])], ["id", "vec"])
+
+    return run
+
+
+def _fit_sample(dims: int, lists: int):
+    """A function over the whole sample: the centroids of the first level, the number of vectors of each, and that of the sample."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("id").column("vec")
+        del table
+        v = np.concatenate([unit(wide(rows.slice(at, 4096), dims)) for at in range(0, len(rows), 4096)])
+        c, counts = fit_centroids(v, max(1, min(lists, max(1, len(v) // 8))))
+        return pa.table({"i": pa.array(np.arange(len(c)), pa.int32()), "n": pa.array(counts, pa.int64()), "sample": pa.array(np.full(len(c), len(v)), pa.int64()), "vec": pa.array([x.tobytes() for x in c], pa.binary())})
+
+    return run
+
+
 def _hash() -> F.Column:
     return F.xxhash64("id").bitwiseAND(F.lit((1 << 62) - 1))
 
@@ -172,15 +209,15 @@ def _hash() -> F.Column:
 def fit_lists(rows: DataFrame, n: int, dims: int, lists: int | None = None, part: int = PART, most: int = LISTS, probes: int = PROBES, margin: float = MARGIN) -> Lists | None:
     """Lists for the n rows (id, vec: array of floats); None if no vector of the sample is usable."""
     hashed = rows.withColumn("h", _hash())
-    rate = min(1.0, 1.1 * SAMPLE / max(n, 1))
-    sample = hashed.filter(F.col("h") % F.lit(1 << 30) < F.lit(int(rate * (1 << 30)))).orderBy("h", "id").limit(SAMPLE).select("id", "vec").toArrow()
-    sample = matrix(sample.sort_by("id").column("vec"), dims)
-    sample = unit(sample[usable(sample)])
-    if not len(sample):
-        return None
+    size = min(MOST_SAMPLE, max(SAMPLE, n // 8))
+    rate = min(1.0, 1.1 * size / max(n, 1))
+    sample = hashed.filter(F.col("h") % F.lit(1 << 30) < F.lit(int(rate * (1 << 30)))).orderBy("h", "id").limit(size).select("id", "vec")
     wanted = lists or round(min(DENSITY * math.sqrt(n), n / LEAST))
-    centroids, counts = fit_centroids(sample, max(1, min(wanted, most, max(1, len(sample) // 8))))
-    weights = (counts + 0.5) * (n / len(sample))
+    fitted = sample.mapInArrow(_pack_sample(dims), "id string, vec binary").groupBy().applyInArrow(_fit_sample(dims, min(wanted, most)), "i int, n long, sample long, vec binary").toArrow().sort_by("i")
+    if not len(fitted):
+        return None
+    centroids = np.frombuffer(b"".join(fitted.column("vec").to_pylist()), np.float32).reshape(-1, dims)
+    weights = (fitted.column("n").to_numpy() + 0.5) * (n / fitted.column("sample")[0].as_py())
     heavy = np.flatnonzero(weights > 2 * part)
     light = np.flatnonzero(weights <= 2 * part)
     of, parts = pack_lists(centroids[light], weights[light], part)
@@ -243,7 +280,7 @@ def _copies(rows: np.ndarray, near: np.ndarray, probed: np.ndarray, parts: np.nd
     who = np.concatenate([r, mine])
     where = np.concatenate([parts[r, c], home_part[mine]])
     probe = np.concatenate([near[r, c], np.full(len(mine), -1)])
-    order = np.lexsort((probe, where, who))
+    order = np.lexsort((np.concatenate([c, np.full(len(mine), -1)]), where, who))  # probed lists from the nearest on
     who, where, probe = who[order], where[order], probe[order]
     start = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (where[1:] != where[:-1]))) if len(who) else np.empty(0, int)
     asked = probe >= 0
@@ -302,9 +339,18 @@ def routed(rows: DataFrame, lists: Lists) -> DataFrame:
     return first.filter("part >= 0").unionByName(finer.mapInArrow(_route_split(lists), ROUTED))
 
 
-def part_rows(table: pa.Table) -> tuple[pa.Table, np.ndarray, dict[int, slice], np.ndarray, np.ndarray]:
-    """The rows of a part by (home, id), each once; their homes; the rows of each list; (list, row) of what asks where, by list."""
-    table = table.combine_chunks().sort_by([("home", "ascending"), ("id", "ascending")])
+def part_rows(table: pa.Table, everywhere: bool = True) -> tuple[pa.Table, np.ndarray, dict[int, slice], np.ndarray, np.ndarray]:
+    """The rows of a part by (home, id), each once; their homes; the rows of each list; (list, row) of what asks where, by list.
+
+    everywhere: rows that only ask here answer, too, in the nearest list that they probe here."""
+    table = table.combine_chunks()
+    if everywhere:
+        home, probes = table.column("home").to_numpy(), table.column("probes").combine_chunks()
+        offsets = probes.offsets.to_numpy()
+        first = np.append(probes.values.to_numpy(), -1)[offsets[:-1]]
+        home = np.where((home < 0) & (np.diff(offsets) > 0), first, home).astype(np.int32)
+        table = table.set_column(table.schema.get_field_index("home"), "home", pa.array(home))
+    table = table.sort_by([("home", "ascending"), ("id", "ascending")])
     home, ids = table.column("home").to_numpy(), table.column("id")
     again = np.append(False, (home[1:] == home[:-1]) & pc.equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy())
     if again.any():
@@ -319,11 +365,11 @@ def part_rows(table: pa.Table) -> tuple[pa.Table, np.ndarray, dict[int, slice],
     return table, home, where, probed[order], row[order]
 
 
-def search_part(dims: int, k: int = 0, least: float | None = None):
-    """A function over one part: (id, neighbour, similarity) of the k most similar answers of each row that asks, or of all from `least` on. Similarities are rounded to 9 decimals, ties go by name."""
+def search_part(dims: int, k: int = 0, least: float | None = None, everywhere: bool = True):
+    """A function over one part: (id, neighbour, similarity) of the k most similar answers of each row that asks, or of all from `least` on. Similarities are rounded to 9 decimals, ties go by name. everywhere: as in part_rows."""
 
     def run(table: pa.Table) -> pa.Table:
-        table, _, where, probed, row = part_rows(table)
+        table, _, where, probed, row = part_rows(table, everywhere)
         ids = table.column("id").combine_chunks()
         v = unit(wide(table.column("vec"), dims), np.float64)
         rank = np.empty(len(ids), np.int64)
@@ -407,7 +453,8 @@ def among_all(rows: DataFrame, dims: int, k: int, ties: float, search: Callable,
     if tree is None:
         return empty
     sent = routed(d.rows.select("id", "vec", F.lit(True).alias("asks"), F.lit(True).alias("answers")), tree)
-    found = top_k(sent.groupBy("part").applyInArrow(search(dims, k, ties), PAIRS), k, ties)
+    met = sent.groupBy("part").applyInArrow(search(dims, k, ties), PAIRS).repartition("id")  # two vectors may meet in several parts
+    found = top_k(met.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity")), k, ties)
     if d.members is None:
         return found
     near = d.members
@@ -448,12 +495,12 @@ def similar_among(rows: DataFrame, dims: int, least: float, lists: int | None =
     return across.unionByName(within.filter(F.lit(least <= 1.0)))
 
 
-def among_queries(rows: DataFrame, queries: DataFrame, dims: int, k: int, lists: int | None = None, part: int = PART, most: int = LISTS, probes: int = PROBES, margin: float = MARGIN) -> DataFrame:
+def among_queries(rows: DataFrame, queries: DataFrame, dims: int, k: int, lists: int | None = None, part: int = PART, most: int = LISTS, probes: int = PROBES, margin: float = QUERY_MARGIN) -> DataFrame:
     """(id, neighbour, similarity): for each query (id, vec) the k most similar rows (id, vec). Both sides are partitioned by list."""
     tree = fit_lists(rows, rows.count(), dims, lists, part, most, probes, margin)
     if tree is None:
         return rows.sparkSession.createDataFrame([], PAIRS)
     flags = lambda asks, mark: [F.concat(F.lit(mark), "id").alias("id"), "vec", F.lit(asks).alias("asks"), F.lit(not asks).alias("answers")]
     sent = routed(rows.select(*flags(False, "n")).unionByName(queries.select(*flags(True, "q"))), tree)
-    found = top_k(sent.groupBy("part").applyInArrow(search_part(dims, k), PAIRS), k)
+    found = top_k(sent.groupBy("part").applyInArrow(search_part(dims, k, everywhere=False), PAIRS), k)
     return found.select(F.expr("substring(id, 2)").alias("id"), F.expr("substring(neighbour, 2)").alias("neighbour"), "similarity")

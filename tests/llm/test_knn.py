@@ -1,6 +1,7 @@
 import numpy as np
 
 from loam.llm.knn import knn, neighbour_pairs
+from loam.operators import vector_lists as vl
 
 
 def vectors(n, dims, clusters, seed=0):
@@ -70,3 +71,15 @@ def test_a_third_of_the_rows_alike(spark):
     want = {p for p in brute(v, 5) if int(p[0][1:]) >= 500}
     assert len(got) == 7500 and len(got & want) >= 0.9 * len(want)
     assert all(r.similarity > 1 - 1e-9 for r in rows if int(r.id[1:]) < 500)
+
+
+def test_small_groups_that_the_sample_misses(spark, monkeypatch):
+    """Most groups of alike vectors have none in the sample that the centroids are fitted on; their members still meet."""
+    for name in ("SAMPLE", "MOST_SAMPLE"):
+        monkeypatch.setattr(vl, name, 200, raising=False)
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((400, 96))
+    v = (np.repeat(centres, 10, axis=0) + 0.4 * rng.standard_normal((4000, 96))).astype(np.float32)
+    got = {(r.id, r.neighbour) for r in knn(frame(spark, v), "id", "vec", 96, k=5, part=100).collect()}
+    want = brute(v, 5)
+    assert len(got) == 20000 and len(got & want) >= 0.97 * len(want)
