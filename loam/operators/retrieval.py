@@ -1,7 +1,7 @@
 """Search: a lexical and a vector arm, rank fusion, re-ranking, and what is shown beside the hits.
 
-Queries come as a table (query, text, vector), so one search or a million are the same plan. Terms meet the postings in an
-equi-join, after those that no query asks for were left out; vectors meet in lists of alike ones. No query reaches the driver."""
+Queries come as a table (query, text, vector), so one search or a million are the same plan. Terms meet in inverted lists that
+tasks read block by block; vectors meet in lists of alike ones. No query reaches the driver."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as tx
 from loam.functions.vector import cosine, usable_vector
+from loam.operators import inverted
 from loam.operators.vector_lists import among_queries
 from loam.session import BROADCAST_ROWS, materialize, semi_join
 from loam.visibility import days_since, importance
@@ -36,28 +37,17 @@ def postings(nodes: DataFrame, key: str = "path", wanted: DataFrame | None = Non
     return (each if wanted is None else semi_join(each, wanted, "term")).groupBy(key, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query, term, wanted) with the number of distinct terms of the query."""
-    return queries.select("query", tx.lexemes(F.col("text")).alias("q")).select("query", F.size("q").alias("wanted"), F.explode("q").alias("term"))
-
-
-def lexical_hits(nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, path, score): nodes with every term of the query, by the sum of tf / (1 + ln(1 + length)). A query without terms finds nothing.
-
-    A query meets the nodes of its rarest term, and only those are looked up for its other terms."""
-    asked = materialize(query_terms(queries))
-    post = materialize(postings(nodes, wanted=materialize(asked.select("term").distinct())))
-    known = asked.join(tx.doc_freqs(post), "term", "left")
-    rarest = known.groupBy("query", "wanted").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count("df").alias("n")).filter("n = wanted")
-    cands = post.select("path", "term").join(rarest.select("query", "term", "wanted"), "term").select("query", "path", "wanted")
-    met = cands.join(asked.select("query", "term"), "query").join(post, ["path", "term"])
-    scored = met.groupBy("query", "path", "wanted").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("tf") / (1.0 + F.log(1.0 + F.col("length")))).alias("score"))
-    return scored.filter("n = wanted").select("query", "path", F.round("score", 9).alias("score"))
+def lexical_hits(nodes: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """(query, path, score): nodes with every term of the query, by the sum of tf / (1 + ln(1 + length)); the first k of each query, or all for None. A query without terms finds nothing."""
+    norm = 1.0 + F.log(1.0 + F.size("w"))
+    index = inverted.build(nodes, queries, tx.terms(tx.document()), F.transform("w", lambda x: F.struct(x.alias("term"), norm.alias("x"))), True)
+    hits = index.search(index.terms, inverted.with_all(k), inverted.HITS)
+    return hits.join(index.asked, "no").join(index.names, "node").select("query", "path", "score")
 
 
 def lexical_arm(nodes: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
     """The k best of lexical_hits."""
-    return top(lexical_hits(nodes, queries), ["query"], [F.desc("score"), F.col("path")], k)
+    return lexical_hits(nodes, queries, k)
 
 
 def vector_arm(nodes: DataFrame, queries: DataFrame, k: int = 30, dims: int | None = None) -> DataFrame:
@@ -160,22 +150,16 @@ def coverage(nodes: DataFrame, queries: DataFrame, least_terms: int = 2, least_m
 
     The confidence is the least of 1, matched mass / query mass, and 1/2 + title mass / query mass. A term that no node has
     counts in the query's mass. Postings and document frequencies are made of the queries' terms only."""
-    docs = materialize(nodes.select("path", tx.lexemes(tx.document()).alias("w"), tx.lexemes(F.col("title")).alias("t")).withColumn("node", F.monotonically_increasing_id()))
-    asked = materialize(queries.select("query", tx.lexemes(F.col("text")).alias("q")).withColumn("no", F.monotonically_increasing_id()))
-    terms = materialize(asked.select("no", F.explode("q").alias("term")))
-    each = docs.select("node", F.explode(F.transform("w", lambda x: F.struct(x.alias("term"), F.array_contains("t", x).alias("in_title")))).alias("p")).select("node", "p.term", "p.in_title")
-    post = materialize(semi_join(each, materialize(terms.select("term").distinct()), "term"))
-    total = nodes.agg(F.count(F.lit(1)).alias("nodes"))
-    q = terms.join(tx.doc_freqs(post), "term", "left").join(F.broadcast(total)).withColumn("w", tx.idf(F.col("nodes"), F.coalesce("df", F.lit(0)))).select("no", "term", "w")
-    weights = materialize(q)
+    titled = lambda x: F.array_contains("t", x).cast("double")
+    index = inverted.build(nodes, queries, tx.lexemes(tx.document()), F.transform("w", lambda x: F.struct(x.alias("term"), titled(x).alias("x"))), False)
+    weights = index.terms.join(index.doc_freqs(), "code", "left").select("no", "code", tx.idf(F.lit(index.nodes), F.coalesce("df", F.lit(0))).alias("w"))
+    weights = materialize(weights)
     masses = weights.groupBy("no").agg(F.sum("w").alias("query_mass"))
-    mass = post.join(weights, "term").groupBy("no", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("matched"), F.sum(F.when(F.col("in_title"), F.col("w")).otherwise(0.0)).alias("title_mass")).withColumn("matched", F.round("matched", 9))
-    first = mass.withColumn("_r", F.rank().over(Window.partitionBy("no").orderBy(F.desc("matched")))).filter(F.col("_r") <= k).drop("_r")  # names are joined to what may come out
-    named = first.join(asked.select("no", "query"), "no").join(docs.select("node", "path"), "node").join(masses, "no")
-    mass = top(named, ["query"], [F.desc("matched"), F.col("path")], k)
+    first = index.search(weights, inverted.with_any(k, least_terms, least_mass), inverted.COVER)
+    mass = first.join(index.asked, "no").join(index.names, "node").join(masses, "no")
     whole = F.when(F.col("query_mass") == 0, 1.0).otherwise(F.col("query_mass"))
-    conf = F.least(F.lit(1.0), F.col("matched") / whole, 0.5 + F.col("title_mass") / whole)
-    return mass.filter((F.col("n") >= least_terms) & (F.col("matched") >= least_mass)).select("query", "path", F.round(conf, 9).alias("lex_conf"))
+    conf = F.least(F.lit(1.0), F.col("matched") / whole, 0.5 + F.col("extra") / whole)
+    return mass.select("query", "path", F.round(conf, 9).alias("lex_conf"))
 
 
 def usage_rank(corpus: DataFrame, replies: DataFrame) -> DataFrame:
