@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +43,23 @@ class Index:
 
     def search(self, rows: DataFrame, find: Callable, schema: str) -> DataFrame:
         """find(files), a function over the rows (no, code, ..) of a chunk of queries, applied to all chunks."""
-        chunk = F.pmod(F.xxhash64("no"), F.lit(max(1, math.ceil(self.queries / CHUNK)))).alias("chunk")
-        return rows.select(chunk, *rows.columns).groupBy("chunk").applyInArrow(find(sorted(self.lists.inputFiles())), schema)
+        chunks = rows.repartition(max(1, math.ceil(self.queries / CHUNK)), "no")  # by number: rows are few bytes and much work
+        return chunks.mapInArrow(_whole(find(sorted(self.lists.inputFiles()))), schema)
+
+
+def _whole(run: Callable):
+    """run, a function over a table, applied to all rows of a partition; nothing for none."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from run(pa.Table.from_batches(held)).to_batches(max_chunksize=4096)
+
+    return each
 
 
 def _build(frequency: bool):
-    """A function over the rows (block, node, code, x) of a block: its lists. Values are x, or with frequency the number of a node's rows over x."""
+    """A function over the rows (node, code, x) of a block: its lists. Values are x, or with frequency the number of a node's rows over x."""
 
     def run(table: pa.Table) -> pa.Table:
         code, x = table.column("code").to_numpy(), table.column("x").to_numpy()
@@ -65,7 +77,7 @@ def _build(frequency: bool):
         n = len(start) + 1
         ats = [ids.tobytes(), *(at[a:b].tobytes() for a, b in zip(start, stop, strict=True))]
         values = [b"", *(x[a:b].tobytes() for a, b in zip(start, stop, strict=True))]
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()] * n, pa.int32()), "code": np.append(-1, code[start]), "n": np.append(len(ids), stop - start), "at": pa.array(ats, pa.binary()), "value": pa.array(values, pa.binary())})
+        return pa.table({"block": pa.array([TaskContext.get().partitionId()] * n, pa.int32()), "code": np.append(-1, code[start]), "n": np.append(len(ids), stop - start), "at": pa.array(ats, pa.binary()), "value": pa.array(values, pa.binary())})
 
     return run
 
@@ -80,10 +92,9 @@ def build(nodes: DataFrame, queries: DataFrame, words: Column, postings: Column,
     codes = materialize(each.select("term").distinct().withColumn("code", F.monotonically_increasing_id()))
     known, n = codes.count(), docs.count()
     terms = lookup_join(each, codes, "term", rows=known).select("no", "code")
-    block = F.pmod(F.xxhash64("node"), F.lit(max(1, math.ceil(n / BLOCK)))).cast("int").alias("block")
-    rows = docs.select(block, "node", F.explode(postings).alias("p")).select("block", "node", "p.term", "p.x")
-    rows = lookup_join(rows, codes, "term", rows=known).select("block", "node", "code", "x")
-    lists = materialize(rows.groupBy("block").applyInArrow(_build(frequency), "block int, code long, n long, at binary, value binary"))
+    rows = docs.select("node", F.explode(postings).alias("p")).select("node", "p.term", "p.x")
+    rows = lookup_join(rows, codes, "term", rows=known).select("node", "code", "x").repartition(max(1, math.ceil(n / BLOCK)), "node")
+    lists = materialize(rows.mapInArrow(_whole(_build(frequency)), "block int, code long, n long, at binary, value binary"))
     return Index(docs.select("node", "path"), asked.select("no", "query"), materialize(terms), lists, n, asked.count())
 
 
