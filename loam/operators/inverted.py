@@ -133,6 +133,16 @@ def _first(score: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
 HITS = "no long, node long, score double"
 
 
+def _in_all(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes that lie in all lists (at, value), and the sum of their values."""
+    at, score = (lists := sorted(lists, key=lambda x: len(x[0])))[0]
+    for other, value in lists[1:]:
+        i = np.searchsorted(other, at)
+        ok = np.flatnonzero(other[np.minimum(i, len(other) - 1)] == at)
+        at, score = at[ok], score[ok] + value[i[ok]]
+    return at, score
+
+
 def with_all(k: int | None):
     """Nodes with every term of a query by the sum of the values, rounded to 9 decimals: the first k, or all for None."""
 
@@ -146,12 +156,7 @@ def with_all(k: int | None):
                     mine = [lists.get(int(c)) for c in code[rows]]
                     if any(x is None for x in mine):
                         continue
-                    mine.sort(key=lambda x: len(x[0]))
-                    at, score = mine[0]
-                    for other, value in mine[1:]:
-                        i = np.searchsorted(other, at)
-                        ok = np.flatnonzero(other[np.minimum(i, len(other) - 1)] == at)
-                        at, score = at[ok], score[ok] + value[i[ok]]
+                    at, score = _in_all(mine)
                     found = ids[at], np.round(score, 9)
                     if no in best:
                         found = tuple(np.concatenate(x) for x in zip(best[no], found, strict=True))
@@ -166,6 +171,29 @@ def with_all(k: int | None):
     return find
 
 
+COUNTS = "no long, n long"
+
+
+def count_all():
+    """The number of nodes with every term of a query, for queries that have any such node: a row a query, however many the nodes."""
+
+    def find(files: list[str]):
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by("no")
+            code, asks = table.column("code").to_numpy(), _queries(table.column("no").to_numpy())
+            n: dict[int, int] = {}
+            for _, lists in blocks(files, np.unique(code)):
+                for no, rows in asks:
+                    mine = [lists.get(int(c)) for c in code[rows]]
+                    if all(x is not None for x in mine) and (met := len(_in_all(mine)[0])):
+                        n[no] = n.get(no, 0) + met
+            return pa.table([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], names=["no", "n"])
+
+        return run
+
+    return find
+
+
 COVER = "no long, node long, matched double, n long, extra double"
 
 

@@ -31,7 +31,7 @@ def search(shown: DataFrame, extracted: DataFrame, links: DataFrame, queries: Da
     against = rt.contradictions(hits.select("query", "path"), shown, links)
     trip = rt.tripwire(extracted, queries, dims=rt.DIMS)
     trip = trip.withColumn("position", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "path")))
-    more = rt.lexical_hits(extracted, queries).select("query", "path").unionByName(rt.substring_arm(extracted, queries, None)).distinct().groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    more = rt.match_counts(extracted, queries)
     no = F.lit(None).cast("long")
     parts = [
         _rows(hits, "hit", query=F.col("query"), position=F.col("position").cast("long"), path=F.col("path"), other=_null(), score=F.round("retrieval_score", 9)),

@@ -5,7 +5,9 @@ tasks read block by block; vectors meet in lists of alike ones. No query reaches
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,10 +39,14 @@ def postings(nodes: DataFrame, key: str = "path", wanted: DataFrame | None = Non
     return (each if wanted is None else semi_join(each, wanted, "term")).groupBy(key, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _lexical_index(nodes: DataFrame, queries: DataFrame) -> inverted.Index:
+    norm = 1.0 + F.log(1.0 + F.size("w"))
+    return inverted.build(nodes, queries, tx.terms(tx.document()), F.transform("w", lambda x: F.struct(x.alias("term"), norm.alias("x"))), True)
+
+
 def lexical_hits(nodes: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
     """(query, path, score): nodes with every term of the query, by the sum of tf / (1 + ln(1 + length)); the first k of each query, or all for None. A query without terms finds nothing."""
-    norm = 1.0 + F.log(1.0 + F.size("w"))
-    index = inverted.build(nodes, queries, tx.terms(tx.document()), F.transform("w", lambda x: F.struct(x.alias("term"), norm.alias("x"))), True)
+    index = _lexical_index(nodes, queries)
     hits = index.search(index.terms, inverted.with_all(k), inverted.HITS)
     return hits.join(index.asked, "no").join(index.names, "node").select("query", "path", "score")
 
@@ -100,26 +106,67 @@ def hybrid(nodes: DataFrame, queries: DataFrame, now: str, limit: int = 20, arm:
 
 #: Characters by which a query's text is sought before it is compared whole.
 PIECE = 8
+#: Queries of a round.
+ROUND = BROADCAST_ROWS // 10
 
 
-def substring_arm(nodes: DataFrame, queries: DataFrame, k: int | None = 30) -> DataFrame:
-    """(query, path): the first k nodes by path (all for None) whose title or body contains the query's text, in any case.
+def _containing(nodes: DataFrame, queries: DataFrame, *conditions: Column) -> DataFrame:
+    """(query, path): nodes whose title or body contains the query's text, in any case, under conditions on the node's title and body and `_q`, the text in lower case.
 
     A query's first PIECE characters (all, if it has fewer) meet the pieces of the nodes' texts in an equi-join; what meets is
-    compared whole. So the work grows with the texts and the hits, not with nodes times queries."""
+    compared whole. So the work grows with the texts and the hits, not with nodes times queries. Texts and their pieces don't
+    travel: the queries do, in as many rounds as can be broadcast."""
     q = queries.select(F.col("query").cast("string").alias("query"), F.lower("text").alias("_q")).filter("_q is not null and _q != ''")
     q = materialize(q.withColumn("_n", F.least(F.length("_q"), F.lit(PIECE))).withColumn("_piece", F.expr("substring(_q, 1, _n)")))
     lengths = [(r["_n"], r["n"]) for r in q.groupBy("_n").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most PIECE rows
-    n = nodes.select("path", F.lower(F.coalesce("title", F.lit(""))).alias("_t"), F.lower(F.coalesce("body", F.lit(""))).alias("_b"))
+    n = nodes.select("path", "title", "body", F.lower(F.coalesce("title", F.lit(""))).alias("_t"), F.lower(F.coalesce("body", F.lit(""))).alias("_b"))
     out = n.select(F.lit(None).cast("string").alias("query"), "path").limit(0)
     for length, count in sorted(lengths):
         pieces = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{length}}}))"), F.lit(1)) for c in ("_t", "_b")])))
-        asked = q.filter(F.col("_n") == length).drop("_n")
-        met = n.withColumn("_piece", F.explode(pieces)).join(F.broadcast(asked) if count <= BROADCAST_ROWS // 10 else asked, "_piece")
-        out = out.unionByName(met.filter(F.col("_t").contains(F.col("_q")) | F.col("_b").contains(F.col("_q"))).select("query", "path"))
+        rounds = math.ceil(count / ROUND)
+        for i in range(rounds):
+            asked = q.filter((F.col("_n") == length) & (F.pmod(F.xxhash64("query", "_q"), F.lit(rounds)) == i)).drop("_n")
+            met = n.withColumn("_piece", F.explode(pieces)).join(F.broadcast(asked), "_piece").filter(F.col("_t").contains(F.col("_q")) | F.col("_b").contains(F.col("_q")))
+            for c in conditions:
+                met = met.filter(c)
+            out = out.unionByName(met.select("query", "path"))
+    return out
+
+
+def substring_arm(nodes: DataFrame, queries: DataFrame, k: int | None = 30) -> DataFrame:
+    """(query, path): the first k nodes by path (all for None) whose title or body contains the query's text, in any case."""
+    out = _containing(nodes, queries)
     return out if k is None else top(out, ["query"], [F.col("path")], k)
 
 
+def match_counts(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, n): the number of paths of nodes with all words of the query or its text, for queries that have any.
+
+    Nodes with all words are counted where they are found, and those that only contain the text where they meet it; the pairs don't
+    travel. Only those of a path, or of a query's name, that occurs several times do, as its nodes count once."""
+    rows, asked = nodes.select("path", "title", "body"), queries.select(F.col("query").cast("string").alias("query"), "text")
+    several = lambda df, key: materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(key))
+    paths, names = several(rows, "path"), several(asked, "query")
+    parts = []
+
+    def pairs(n: DataFrame, q: DataFrame) -> None:
+        both = lexical_hits(n, q).select("query", "path").unionByName(substring_arm(n, q, None)).distinct()
+        parts.append(both.groupBy("query").agg(F.count(F.lit(1)).alias("n")))
+
+    if not names.isEmpty():
+        pairs(rows, asked.join(names, "query", "left_semi"))
+        asked = asked.join(names, "query", "left_anti")
+    if not paths.isEmpty():
+        pairs(rows.join(paths, "path", "left_semi"), asked)
+        rows = rows.join(paths, "path", "left_anti")
+    index = _lexical_index(rows, asked)
+    parts.append(index.search(index.terms, inverted.count_all(), inverted.COUNTS).join(index.asked, "no").select("query", "n"))
+    words = tx.lexemes(F.col("_q"))
+    every = (F.size(words) > 0) & (F.size(F.array_except(words, tx.terms(tx.document()))) == 0)
+    parts.append(_containing(rows, asked, ~every).groupBy("query").agg(F.count(F.lit(1)).alias("n")))
+    return reduce(DataFrame.unionByName, parts).groupBy("query").agg(F.sum("n").alias("n"))
+
+
 def neighbours(hits: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(query, path, direction, rel_type, neighbour): one hop from each hit, both ways."""
     ids = hits.select("query", "path").join(nodes.select("path", "id"), "path")
