@@ -1,6 +1,7 @@
 """Inverted lists of the terms that queries ask for, read block by block by the tasks that search them.
 
-1. Nodes get numbers in the order of their paths, so that ties by path are ties by number, and are dealt into blocks of about
+1. A node's text doesn't travel: where it is read, its terms become codes of a few bytes (`_codes`), and those are sorted by
+   path. Nodes get numbers in that order, so that ties by path are ties by number, and are cut into blocks of at most
    `BLOCK`. A block's lists lie together in the shared folder.
 2. Queries are dealt into chunks of about `CHUNK`. A task reads the blocks in turn, sums up the lists of one query at a time and
    holds its first k nodes. Pairs of a query and a node that meet in a term never travel: what comes out is at most k rows a query."""
@@ -8,17 +9,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loam.functions import text as tx
-from loam.session import lookup_join, materialize, read_files
+from loam.session import BROADCAST_ROWS, lookup_join, materialize, read_files
 
 #: Nodes of a block, and queries of a task.
 BLOCK, CHUNK = 32768, 512
@@ -28,7 +30,7 @@ Lists = dict[int, tuple[np.ndarray, np.ndarray]]
 
 @dataclass(frozen=True)
 class Index:
-    """names: (node, path); asked: (no, query); terms: (no, code) of the queries' distinct terms; lists: (block, code, n, at, value), a block's node numbers first, under -1; nodes, queries: their numbers."""
+    """names: (node, path, and the columns that were kept); asked: (no, query); terms: (no, code) of the queries' distinct terms; lists: (block, code, n, at, value), a block's node numbers first, under -1; nodes, queries: their numbers."""
 
     names: DataFrame
     asked: DataFrame
@@ -46,6 +48,10 @@ class Index:
         chunks = rows.repartition(max(1, math.ceil(self.queries / CHUNK)), "no")  # by number: rows are few bytes and much work
         return chunks.mapInArrow(_whole(find(sorted(self.lists.inputFiles()))), schema)
 
+    def named(self, hits: DataFrame) -> DataFrame:
+        """hits (no, node, ..) with the query, the path and the kept columns of the node. Hits travel once, by node and as numbers; up to BROADCAST_ROWS queries are sent to them."""
+        return lookup_join(hits.join(self.names, "node"), self.asked, "no", rows=self.queries).drop("no", "node")
+
 
 def _whole(run: Callable):
     """run, a function over a table, applied to all rows of a partition; nothing for none."""
@@ -58,44 +64,128 @@ def _whole(run: Callable):
     return each
 
 
-def _build(frequency: bool):
-    """A function over the rows (node, code, x) of a block: its lists. Values are x, or with frequency the number of a node's rows over x."""
+#: Terms that a task looks words up in at a time.
+SLICE = BROADCAST_ROWS
+
+
+def _codes(files: list[str], known: int, kept: list[str], titled: bool):
+    """A function over batches of nodes (path, the kept columns, w, t, x): their terms as codes.
+
+    `codes`: the sorted numbers of its words that any query asks for, a word as often as w has it; with titled, twice the
+    number, and one more for a word of t. files: (term, code), read in slices, held if there is one."""
+    kind = _kind(known)
+
+    def slices() -> Iterator[tuple[pa.Array, np.ndarray]]:
+        rows, n = [], 0
+        for batch in read_files(files, ["term", "code"], SLICE):
+            rows, n = [*rows, batch], n + batch.num_rows
+            if n >= SLICE:
+                yield _merged(rows)
+                rows, n = [], 0
+        if n:
+            yield _merged(rows)
+
+    def found(lists: pa.Array, held: list | None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, code) of the elements of lists."""
+        words, row = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+        rows, codes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for terms, code in held or slices():
+            at = pc.fill_null(pc.index_in(words, value_set=terms), -1).to_numpy()
+            ok = np.flatnonzero(at >= 0)
+            rows.append(row[ok])
+            codes.append(code[at[ok]])
+        return np.concatenate(rows), np.concatenate(codes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(slices()) if known <= SLICE else None
+        for batch in batches:
+            row, code = found(batch.column("w"), held)
+            if titled:
+                title_row, title_code = found(batch.column("t"), held)
+                code = 2 * code + np.isin(row * known + code, title_row * known + title_code)
+            order = np.lexsort((code, row))
+            code, ends = code[order].astype(kind), np.searchsorted(row[order], np.arange(batch.num_rows + 1))
+            packed = pa.array([code[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", *kept, "x")), packed], ["path", *kept, "x", "codes"])
+
+    return run
+
+
+def _merged(rows: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray]:
+    table = pa.Table.from_batches(rows)
+    return table.column("term").combine_chunks(), table.column("code").to_numpy()
+
+
+def _kind(known: int) -> np.dtype:
+    return np.dtype(np.min_scalar_type(2 * known + 1))
+
 
-    def run(table: pa.Table) -> pa.Table:
-        code, x = table.column("code").to_numpy(), table.column("x").to_numpy()
-        ids, at = np.unique(table.column("node").to_numpy(), return_inverse=True)
-        order = np.lexsort((at, code))
-        code, at, x = code[order], at[order].astype(np.int32), x[order]
-        first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (at[1:] != at[:-1])))
-        if frequency:
-            x = np.diff(np.append(first, len(code))) / x[first]
-        else:
-            x = x[first]
+def _build(known: int, titled: bool, most: int):
+    """A function over batches of nodes (node, x, codes): the lists of blocks of at most so many. Values are whether the title has the term, or without titled the number of times that a node has it, over x."""
+    kind = _kind(known)
+
+    def lists(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).sort_by("node")  # files may come in another order
+        node, x, codes = table.column("node").to_numpy(), table.column("x").to_numpy(), table.column("codes").to_pylist()
+        code = np.frombuffer(b"".join(codes), kind)
+        at = np.repeat(np.arange(len(node), dtype=np.int32), [len(c) // kind.itemsize for c in codes])
+        value = (code & 1).astype(np.float64) if titled else None
+        code = (code >> 1 if titled else code).astype(np.int64)
+        order = np.argsort(code, kind="stable")
+        code, at = code[order], at[order]
+        first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (at[1:] != at[:-1]))) if len(code) else np.empty(0, np.int64)
+        value = value[order][first] if titled else np.diff(np.append(first, len(code))) / x[at[first]]
         code, at = code[first], at[first]
-        start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-        stop = np.append(start[1:], len(code))
-        n = len(start) + 1
-        ats = [ids.tobytes(), *(at[a:b].tobytes() for a, b in zip(start, stop, strict=True))]
-        values = [b"", *(x[a:b].tobytes() for a, b in zip(start, stop, strict=True))]
-        return pa.table({"block": pa.array([TaskContext.get().partitionId()] * n, pa.int32()), "code": np.append(-1, code[start]), "n": np.append(len(ids), stop - start), "at": pa.array(ats, pa.binary()), "value": pa.array(values, pa.binary())})
+        start = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.empty(0, np.int64)
+        stop = np.append(start[1:], len(code))[: len(start)]
+        ats = [node.tobytes(), *(at[a:b].tobytes() for a, b in zip(start, stop, strict=True))]
+        values = [b"", *(value[a:b].tobytes() for a, b in zip(start, stop, strict=True))]
+        block = pa.array(np.full(len(start) + 1, node[0]), pa.int64())
+        return pa.RecordBatch.from_arrays([block, pa.array(np.append(-1, code[start])), pa.array(np.append(len(node), stop - start)), pa.array(ats, pa.binary()), pa.array(values, pa.binary())], ["block", "code", "n", "at", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, most - n)
+                batch = batch.slice(part.num_rows)
+                held.append(part)
+                n += part.num_rows
+                if n == most:
+                    yield lists(held)
+                    held, n = [], 0
+        if n:
+            yield lists(held)
 
     return run
 
 
-def build(nodes: DataFrame, queries: DataFrame, words: Column, postings: Column, frequency: bool) -> Index:
-    """The index of nodes (path, title, body) for queries (query, text).
+def build(nodes: DataFrame, queries: DataFrame, words: Column, norm: Column | None = None, titled: bool = False, keep: Sequence[str] = ()) -> Index:
+    """The index of nodes (path, title, body, and columns to keep) for queries (query, text).
 
-    words: of a node, kept as `w`; postings: array of (term, x) over `w` and `t`, the distinct terms of the title."""
-    docs = materialize(nodes.select("path", "title", "body").orderBy("path").select(F.monotonically_increasing_id().alias("node"), "path", tx.lexemes(F.col("title")).alias("t"), words.alias("w")))
+    words: of a node, kept as `w`, distinct with titled; a list's values: how often a node has the term, over norm (of `w`), or with titled whether its title has it."""
     asked = materialize(queries.select(F.col("query").cast("string").alias("query"), tx.lexemes(F.col("text")).alias("q")).withColumn("no", F.monotonically_increasing_id()))
     each = asked.select("no", F.explode("q").alias("term"))
-    codes = materialize(each.select("term").distinct().withColumn("code", F.monotonically_increasing_id()))
-    known, n = codes.count(), docs.count()
+    codes = materialize(_numbered(each.select("term").distinct()))
+    known = codes.count()
     terms = lookup_join(each, codes, "term", rows=known).select("no", "code")
-    rows = docs.select("node", F.explode(postings).alias("p")).select("node", "p.term", "p.x")
-    rows = lookup_join(rows, codes, "term", rows=known).select("node", "code", "x").repartition(max(1, math.ceil(n / BLOCK)), "node")
-    lists = materialize(rows.mapInArrow(_whole(_build(frequency)), "block int, code long, n long, at binary, value binary"))
-    return Index(docs.select("node", "path"), asked.select("no", "query"), materialize(terms), lists, n, asked.count())
+    kept = [c for c in keep if c != "path"]
+    rows = nodes.select("path", *kept, words.alias("w"), *([tx.lexemes(F.col("title")).alias("t")] if titled else []))
+    rows = rows.withColumn("x", F.lit(1.0) if norm is None else norm)
+    schema = T.StructType([rows.schema[c] for c in ("path", *kept, "x")]).add("codes", "binary")
+    docs = materialize(rows.mapInArrow(_codes(sorted(codes.inputFiles()), known, kept, titled), schema))
+    docs = materialize(docs.orderBy("path").withColumn("node", F.monotonically_increasing_id()))
+    lists = materialize(docs.select("node", "x", "codes").mapInArrow(_build(known, titled, BLOCK), "block long, code long, n long, at binary, value binary"))
+    return Index(docs.select("node", "path", *kept), asked.select("no", "query"), materialize(terms), lists, docs.count(), asked.count())
+
+
+def _numbered(terms: DataFrame) -> DataFrame:
+    """(term, code): numbered from 0 on without gaps, as terms are written once."""
+    terms = materialize(terms.withColumn("i", F.monotonically_increasing_id()).withColumn("part", F.shiftright("i", 33)))
+    sizes = sorted((r["part"], r["n"]) for r in terms.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a task
+    starts = {part: sum(n for p, n in sizes if p < part) for part, _ in sizes}
+    start = F.create_map(*[F.lit(x).cast("long") for kv in starts.items() for x in kv])[F.col("part")] if starts else F.lit(0)
+    return terms.select("term", (start + F.col("i").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("code"))
 
 
 def blocks(files: list[str], wanted: np.ndarray) -> Iterator[tuple[np.ndarray, Lists]]:
@@ -194,11 +284,10 @@ def count_all():
     return find
 
 
-COVER = "no long, node long, matched double, n long, extra double"
-
-
 def with_any(k: int, least_terms: int, least_mass: float):
-    """Of the first k nodes by the sum of the weights of a query's terms that they have (rounded to 9 decimals), those with so many terms and such a sum; extra: the sum of weights times values."""
+    """Of the first k nodes by the sum of the weights of a query's terms that they have (rounded to 9 decimals), those with so many terms and such a sum.
+
+    Their score is the least of 1, the sum / the query's mass (the sum of all its weights), and 1/2 + the sum of weights times values / that mass."""
 
     def find(files: list[str]):
         def run(table: pa.Table) -> pa.Table:
@@ -228,8 +317,11 @@ def with_any(k: int, least_terms: int, least_mass: float):
                         keep = _first(found[1], found[0], k)
                         found = tuple(x[keep] for x in found)
                     best[no] = found
-            best = {no: tuple(x[ok] for x in f) for no, f in best.items() for ok in [np.flatnonzero((f[2] >= least_terms) & (f[1] >= least_mass))]}
-            return _table(best, ["node", "matched", "n", "extra"], COVER)
+            whole = {no: weight[rows].sum() or 1.0 for no, rows in asks}
+            for no, (ids, matched, n, extra) in best.items():
+                ok = np.flatnonzero((n >= least_terms) & (matched >= least_mass))
+                best[no] = ids[ok], np.minimum(np.minimum(1.0, matched[ok] / whole[no]), 0.5 + extra[ok] / whole[no])
+            return _table(best, ["node", "score"], HITS)
 
         return run
 

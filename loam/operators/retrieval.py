@@ -6,7 +6,7 @@ tasks read block by block; vectors meet in lists of alike ones. No query reaches
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -39,21 +39,19 @@ def postings(nodes: DataFrame, key: str = "path", wanted: DataFrame | None = Non
     return (each if wanted is None else semi_join(each, wanted, "term")).groupBy(key, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _lexical_index(nodes: DataFrame, queries: DataFrame) -> inverted.Index:
-    norm = 1.0 + F.log(1.0 + F.size("w"))
-    return inverted.build(nodes, queries, tx.terms(tx.document()), F.transform("w", lambda x: F.struct(x.alias("term"), norm.alias("x"))), True)
+def _lexical_index(nodes: DataFrame, queries: DataFrame, keep: Sequence[str] = ()) -> inverted.Index:
+    return inverted.build(nodes, queries, tx.terms(tx.document()), 1.0 + F.log(1.0 + F.size("w")), keep=keep)
 
 
-def lexical_hits(nodes: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
-    """(query, path, score): nodes with every term of the query, by the sum of tf / (1 + ln(1 + length)); the first k of each query, or all for None. A query without terms finds nothing."""
-    index = _lexical_index(nodes, queries)
-    hits = index.search(index.terms, inverted.with_all(k), inverted.HITS)
-    return hits.join(index.asked, "no").join(index.names, "node").select("query", "path", "score")
+def lexical_hits(nodes: DataFrame, queries: DataFrame, k: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(query, path, score, and columns of the nodes to keep): nodes with every term of the query, by the sum of tf / (1 + ln(1 + length)); the first k of each query, or all for None. A query without terms finds nothing."""
+    index = _lexical_index(nodes, queries, keep)
+    return index.named(index.search(index.terms, inverted.with_all(k), inverted.HITS)).select("query", "path", "score", *keep)
 
 
-def lexical_arm(nodes: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
+def lexical_arm(nodes: DataFrame, queries: DataFrame, k: int = 30, keep: Sequence[str] = ()) -> DataFrame:
     """The k best of lexical_hits."""
-    return lexical_hits(nodes, queries, k)
+    return lexical_hits(nodes, queries, k, keep)
 
 
 def vector_arm(nodes: DataFrame, queries: DataFrame, k: int = 30, dims: int | None = None) -> DataFrame:
@@ -71,18 +69,23 @@ def vector_arm(nodes: DataFrame, queries: DataFrame, k: int = 30, dims: int | No
     return among_queries(rows, asked, dims, k).select(F.col("id").alias("query"), F.col("neighbour").alias("path"), F.col("similarity").alias("sim"))
 
 
-def fuse(lexical: DataFrame, vector: DataFrame, k: int = RRF_K) -> DataFrame:
-    """(query, path, rrf, in_lexical, in_vector, na, nb, score, sim): 1/(k + rank) of both lists; a path that a list lacks ranks behind its last one. na, nb: their lengths."""
-    def ranked(df: DataFrame, score: str, name: str) -> DataFrame:
-        w = Window.partitionBy("query")
-        return df.select("query", "path", score, F.row_number().over(w.orderBy(F.desc(score), "path")).alias(name))
+def meet(a: DataFrame, b: DataFrame, scores: tuple[str, str], keep: Sequence[str] = ()) -> DataFrame:
+    """(query, path, both scores, and columns of the node to keep): the rows of two arms brought together, each pair once, null where an arm lacks it.
 
-    a, b = ranked(lexical, "score", "ra"), ranked(vector, "sim", "rb")
-    both = a.join(b, ["query", "path"], "full")
+    Rows travel once, by query, so that windows over a query and joins by query need them nowhere else."""
+    one = lambda df, mine: df.select("query", "path", *[(F.col(c) if c == mine else F.lit(None)).cast("double").alias(c) for c in scores], *keep)
+    both = one(a, scores[0]).unionByName(one(b, scores[1])).repartition("query")
+    return both.groupBy("query", "path").agg(*[F.max(c).alias(c) for c in (*scores, *keep)])
+
+
+def fuse(lexical: DataFrame, vector: DataFrame, k: int = RRF_K, keep: Sequence[str] = ()) -> DataFrame:
+    """(query, path, rrf, in_lexical, in_vector, na, nb, score, sim, and columns to keep): 1/(k + rank) of both lists; a path that a list lacks ranks behind its last one. na, nb: their lengths."""
     w = Window.partitionBy("query")
-    both = both.withColumn("na", F.count("ra").over(w)).withColumn("nb", F.count("rb").over(w))
+    place = lambda score: F.when(F.col(score).isNotNull(), F.row_number().over(w.orderBy(F.desc(score), "path")))
+    both = meet(lexical, vector, ("score", "sim"), keep)
+    both = both.withColumns({"na": F.count("score").over(w), "nb": F.count("sim").over(w), "ra": place("score"), "rb": place("sim")})
     rrf = 1.0 / (k + F.coalesce("ra", F.col("na") + 1)) + 1.0 / (k + F.coalesce("rb", F.col("nb") + 1))
-    return both.select("query", "path", F.round(rrf, 12).alias("rrf"), F.col("ra").isNotNull().alias("in_lexical"), F.col("rb").isNotNull().alias("in_vector"), "na", "nb", "score", "sim")
+    return both.select("query", "path", F.round(rrf, 12).alias("rrf"), F.col("ra").isNotNull().alias("in_lexical"), F.col("rb").isNotNull().alias("in_vector"), "na", "nb", "score", "sim", *keep)
 
 
 def rerank(hits: DataFrame, score: str, now: str) -> DataFrame:
@@ -192,21 +195,15 @@ def tripwire(extracted: DataFrame, queries: DataFrame, least: float = 0.85, most
     return top(vector_arm(extracted, queries, arm, dims).filter(F.col("sim") >= least), ["query"], [F.desc("sim"), F.col("path")], most)
 
 
-def coverage(nodes: DataFrame, queries: DataFrame, least_terms: int = 2, least_mass: float = 7.0, k: int = 60) -> DataFrame:
-    """(query, path, lex_conf): nodes with any term of the query, by the idf mass they cover.
+def coverage(nodes: DataFrame, queries: DataFrame, least_terms: int = 2, least_mass: float = 7.0, k: int = 60, keep: Sequence[str] = ()) -> DataFrame:
+    """(query, path, lex_conf, and columns of the nodes to keep): nodes with any term of the query, by the idf mass they cover.
 
     The confidence is the least of 1, matched mass / query mass, and 1/2 + title mass / query mass. A term that no node has
     counts in the query's mass. Postings and document frequencies are made of the queries' terms only."""
-    titled = lambda x: F.array_contains("t", x).cast("double")
-    index = inverted.build(nodes, queries, tx.lexemes(tx.document()), F.transform("w", lambda x: F.struct(x.alias("term"), titled(x).alias("x"))), False)
+    index = inverted.build(nodes, queries, tx.lexemes(tx.document()), titled=True, keep=keep)
     weights = index.terms.join(index.doc_freqs(), "code", "left").select("no", "code", tx.idf(F.lit(index.nodes), F.coalesce("df", F.lit(0))).alias("w"))
-    weights = materialize(weights)
-    masses = weights.groupBy("no").agg(F.sum("w").alias("query_mass"))
-    first = index.search(weights, inverted.with_any(k, least_terms, least_mass), inverted.COVER)
-    mass = first.join(index.asked, "no").join(index.names, "node").join(masses, "no")
-    whole = F.when(F.col("query_mass") == 0, 1.0).otherwise(F.col("query_mass"))
-    conf = F.least(F.lit(1.0), F.col("matched") / whole, 0.5 + F.col("extra") / whole)
-    return mass.select("query", "path", F.round(conf, 9).alias("lex_conf"))
+    first = index.named(index.search(weights, inverted.with_any(k, least_terms, least_mass), inverted.HITS))
+    return first.select("query", "path", F.round("score", 9).alias("lex_conf"), *keep)
 
 
 def usage_rank(corpus: DataFrame, replies: DataFrame) -> DataFrame:

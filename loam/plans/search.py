@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,8 +133,8 @@ def _prompts(s, d) -> DataFrame:
     return read_table(s, d, "eval_items").select(F.col("item_id").cast("string").alias("query"), F.col("prompt").alias("text"), "slug")
 
 
-def _coverage(s, d, queries: DataFrame) -> DataFrame:
-    return rt.coverage(shown(s, d), queries)
+def _coverage(s, d, queries: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return rt.coverage(shown(s, d), queries, keep=keep)
 
 
 @R.add("fts_or_coverage", f"SELECT query, path, lex_conf FROM ({_COVER.replace('{queries}', _PROMPTS)})")
@@ -148,9 +150,10 @@ FROM ({_COVER.replace('{queries}', NODE_QUERIES)}) a FULL JOIN ({_vec(10)}) b ON
 def _candidates(s, d) -> DataFrame:
     """Candidates for titles and vectors of the query nodes, without the node itself."""
     q, n = node_queries(s, d), shown(s, d)
-    merged = gate.merge_signals(_coverage(s, d, q), rt.vector_arm(n, q, 10, DIMS)).filter("query != path")
+    near = rt.vector_arm(n, q, 10, DIMS).join(n.select("path", "importance"), "path")
+    arms = [df.filter("query != path") for df in (_coverage(s, d, q, ["importance"]), near)]
     slug = ps.project_slug
-    return merged.join(n.select("path", importance().alias("importance")), "path").withColumn("in_project", F.coalesce(slug(F.col("query")) == slug(F.col("path")), F.lit(False))).select("query", "path", "lex_conf", "sim", "importance", "in_project")
+    return gate.merge_signals(*arms, ["importance"]).withColumn("importance", importance()).withColumn("in_project", F.coalesce(slug(F.col("query")) == slug(F.col("path")), F.lit(False))).select("query", "path", "lex_conf", "sim", "importance", "in_project")
 
 
 @R.add("merge_candidates", f"SELECT query, path, lex_conf, sim, in_project FROM ({_CAND})")
