@@ -97,14 +97,19 @@ def rerank(hits: DataFrame, score: str, now: str) -> DataFrame:
 def hybrid(nodes: DataFrame, queries: DataFrame, now: str, limit: int = 20, arm: int = 30, dims: int | None = None) -> DataFrame:
     """(query, path, retrieval_score, final_score, position): fused if both arms find something, else the score of the one that does,
     else nodes that contain the query as it is, at 0.1. Decided per query, within one plan."""
-    fused = fuse(lexical_arm(nodes, queries, arm), vector_arm(nodes, queries, arm, dims))
+    keep = ("importance", "updated_at")
+    kept = nodes.select("path", *keep)
+    fused = fuse(lexical_arm(nodes, queries, arm, keep), vector_arm(nodes, queries, arm, dims).join(kept, "path"), keep=keep)
     score = F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("rrf")).otherwise(F.coalesce("score", "sim"))
-    found = materialize(fused.select("query", "path", score.alias("retrieval_score")))
+
+    def first(hits: DataFrame) -> DataFrame:
+        ranked = top(rerank(hits, "retrieval_score", now), ["query"], [F.desc("final_score"), F.col("path")], limit, "position")
+        return ranked.select("query", "path", "retrieval_score", "final_score", "position")
+
+    found = materialize(first(fused.withColumn("retrieval_score", score)))
     empty = queries.select(F.col("query").cast("string"), "text").join(found.select("query").distinct(), "query", "left_anti")
     plain = substring_arm(nodes, empty, arm).withColumn("retrieval_score", F.lit(0.1))
-    hits = found.unionByName(plain).join(nodes.select("path", "importance", "updated_at"), "path")
-    order = [F.desc("final_score"), F.col("path")]
-    return top(rerank(hits, "retrieval_score", now), ["query"], order, limit, "position").select("query", "path", "retrieval_score", "final_score", "position")
+    return found.unionByName(first(plain.join(kept, "path")))
 
 
 #: Characters by which a query's text is sought before it is compared whole.

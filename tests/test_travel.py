@@ -55,3 +55,11 @@ def test_words_become_codes_where_they_are_read(spark, monkeypatch, slices):
     assert got == {(name, p) for name, terms in asked.items() for p, w in words.items() if terms and terms <= set(w)}
     tables = [f for f in session._WRITTEN[-6:] if "body" in spark.read.parquet(f).columns or "w" in spark.read.parquet(f).columns]
     assert not tables
+
+
+def test_fused_rows_travel_once(spark):
+    got, sent = all_sent(retrieval.fuse(*arms(spark, "score"), keep=["importance"]))
+    assert sent == 1200 and len(got) == 900 and {r.importance for r in got} == {0.9}
+    one = {r.path: r for r in got if r.query == "q07"}
+    assert one["/n19"].rrf == pytest.approx(1 / 61 + 1 / 70) and one["/n00"].rrf == pytest.approx(1 / 80 + 1 / 81) and one["/n10"].rrf == pytest.approx(1 / 70 + 1 / 61)
+    assert {(r.na, r.nb) for r in got} == {(20, 20)} and sum(r.in_lexical and r.in_vector for r in one.values()) == 10
