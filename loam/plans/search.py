@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from loam.functions import paths as ps
 from loam.operators import gate
 from loam.operators import retrieval as rt
+from loam.operators.graph import links_of
 from loam.plans.common import DIMS, DOC, IMPORTANCE, LINKS, LIVE, NOW, QUERIES as NODE_QUERIES, SHOWN, T, Registry, links, node_queries, nodes, shown, terms, usable
-from loam.session import read_table
+from loam.session import BROADCAST_ROWS, lookup_join, materialize, read_table
 from loam.visibility import fresh, importance, live
 
 R = Registry()
@@ -199,10 +200,15 @@ _GOLD = f"(SELECT q.path AS query, list(DISTINCT o.path) FILTER (o.path IS NOT N
 
 
 def _gold(s, d) -> DataFrame:
-    """What the links say should be found for the query nodes."""
-    q = nodes(s, d).filter((F.col("type") == "feedback") & live()).select(F.col("id"), F.col("path").alias("query"))
+    """What the links say should be found for the query nodes. Links of other nodes don't travel, unless there are more query nodes than can be sent to them."""
+    q = materialize(nodes(s, d).filter((F.col("type") == "feedback") & live()).select(F.col("id"), F.col("path").alias("query")))
     o = shown(s, d).select(F.col("id").alias("other"), F.col("path").alias("p"))
-    e = q.join(rt.directed(links(s, d)), "id").join(o, "other").groupBy("query").agg(F.collect_set("p").alias("expected"))
+    rows, n = read_table(s, d, "memory_links"), q.count()
+    if n <= BROADCAST_ROWS:
+        for end in ("from_id", "to_id"):
+            rows = rows.join(F.broadcast(q.select(F.col("id").alias(f"_{end}")).distinct()), F.lower(end) == F.col(f"_{end}"), "left")
+        rows = rows.filter("_from_id is not null or _to_id is not null").drop("_from_id", "_to_id")
+    e = lookup_join(rt.directed(links_of(rows)), q, "id", rows=n).join(o, "other").groupBy("query").agg(F.collect_set("p").alias("expected"))
     return q.select("query").join(e, "query", "left").withColumn("acceptable", F.array().cast("array<string>"))
 
 
@@ -214,16 +220,12 @@ FROM {_GOLD} g LEFT JOIN ({_HITS.replace('{t}', str(t))}) h ON h.query = g.query
 
 @R.add("param_sweep", " UNION ALL ".join(_metrics(t) for t in (0.2, 0.5, 0.8)))
 def _(s, d):
-    from loam.session import materialize
-
-    return gate.sweep(_gold(s, d), materialize(_scored(s, d)), [0.2, 0.5, 0.8])
+    return gate.sweep(_gold(s, d), _scored(s, d), [0.2, 0.5, 0.8])
 
 
 @R.add("frontier", " UNION ALL ".join(_metrics(t) for t in gate.FRONTIER))
 def _(s, d):
-    from loam.session import materialize
-
-    return gate.sweep(_gold(s, d), materialize(_scored(s, d)))
+    return gate.sweep(_gold(s, d), _scored(s, d))
 
 
 _GRID = [gate.GateParams(max_hits=h, min_confidence=c, sim_full=f) for h in (1, 2) for c in (0.7, 0.9) for f in (0.8, 0.95)]
@@ -238,8 +240,6 @@ round(coalesce(count(DISTINCT g.query) FILTER (len(coalesce(e, [])) = 0 AND path
 
 @R.add("param_grid", " UNION ALL ".join(map(_grid_sql, _GRID)))
 def _(s, d):
-    from loam.session import materialize
-
     return gate.grid(_gold(s, d), materialize(_candidates(s, d)), _GRID).select("max_hits", "min_confidence", "sim_full", "recall", "precision", "false_positive_rate", "injection_rate")
 
 
@@ -247,9 +247,7 @@ def _(s, d):
 b AS (SELECT g.query, CASE WHEN len(coalesce(e, [])) > 0 AND (h.path IS NULL OR NOT list_contains(e, h.path)) THEN 'missed' WHEN h.path IS NOT NULL AND NOT list_contains(coalesce(e, []), h.path) THEN 'wrong' END AS kind FROM {_GOLD} g LEFT JOIN h ON h.query = g.query)
 SELECT b.query, kind, c.path, c.confidence, c.position FROM b LEFT JOIN (SELECT query, path, confidence, row_number() OVER (PARTITION BY query ORDER BY confidence DESC, importance DESC, path) AS position FROM p QUALIFY position <= 3) c ON c.query = b.query WHERE kind IS NOT NULL""")
 def _(s, d):
-    from loam.session import materialize
-
-    return gate.failures(_gold(s, d), materialize(_scored(s, d)), 0.5)
+    return gate.failures(_gold(s, d), _scored(s, d), 0.5)
 
 
 @R.add("candidate_pool", f"SELECT query, path, confidence, position FROM (SELECT query, path, confidence, row_number() OVER (PARTITION BY query ORDER BY confidence DESC, importance DESC, path) AS position FROM ({_PROB}) WHERE importance >= 0) WHERE position <= 10")
@@ -267,10 +265,8 @@ def _(s, d):
 @R.add("cross_validated")
 def _(s, d):
     """The metrics of models that never saw the query they are judged on, in five folds."""
-    from loam.session import materialize
-
     gold = materialize(_gold(s, d))
-    preds = gate.cross_validate(gold, materialize(gate.add_features(_candidates(s, d))), 5)
+    preds = gate.cross_validate(gold, gate.add_features(_candidates(s, d)), 5)
     return gate.evaluate(gold, gate.select_hits(preds, 0.5))
 
 
@@ -290,8 +286,6 @@ def _(s, d):
 
 @R.add("recommend", f"SELECT * FROM ({' UNION ALL '.join(_metrics(t) for t in (0.2, 0.5, 0.8))}) ORDER BY (precision >= 0.9)::INT DESC, recall DESC, precision DESC, false_positive_rate, threshold DESC LIMIT 1")
 def _(s, d):
-    from loam.session import materialize
-
     return gate.recommend(gate.sweep(_gold(s, d), materialize(_scored(s, d)), [0.2, 0.5, 0.8]))
 
 

@@ -63,3 +63,38 @@ def test_fused_rows_travel_once(spark):
     one = {r.path: r for r in got if r.query == "q07"}
     assert one["/n19"].rrf == pytest.approx(1 / 61 + 1 / 70) and one["/n00"].rrf == pytest.approx(1 / 80 + 1 / 81) and one["/n10"].rrf == pytest.approx(1 / 70 + 1 / 61)
     assert {(r.na, r.nb) for r in got} == {(20, 20)} and sum(r.in_lexical and r.in_vector for r in one.values()) == 10
+
+
+def test_a_sweep_sends_candidates_and_gold_once(spark):
+    gold = spark.createDataFrame([(f"q{q:02}", ["/n10"] if q % 2 else ["/n09"], []) for q in range(40)], "query string, expected array<string>, acceptable array<string>")
+    scored = candidates(spark).withColumn("confidence", F.greatest("lex_conf", F.coalesce("sim", F.lit(0.0))))
+    got, sent = all_sent(gate.sweep(gold, scored, [i / 20 for i in range(1, 20)]))
+    assert {(r.threshold, r.recall, r.precision, r.injection_rate) for r in got} == {(i / 20, 15 / 40 if i < 18 else 0.0, 0.5 if i < 18 else 1.0, 0.75 if i < 18 else 0.0) for i in range(1, 20)}
+    assert 1200 < sent < 1300
+
+
+def tables(spark, query):
+    """The columns of the tables that a query writes to the shared folder."""
+    from loam.plans import search
+
+    at = len(session._WRITTEN)
+    search.QUERIES[query](spark, "/root/testdata/sf0.001")
+    return [spark.read.parquet(f).columns for f in session._WRITTEN[at:]]
+
+
+@pytest.mark.parametrize("query", ["frontier", "param_sweep", "gate_failures"])
+def test_scored_candidates_arent_written(spark, query):
+    assert (written := tables(spark, query)) and not any("confidence" in columns for columns in written)
+
+
+def test_links_of_other_nodes_dont_travel(spark, tmp_path):
+    """100 links, 4 of them of the only query node, in either direction and letter case, one delivered twice."""
+    from loam.plans import search
+
+    node = lambda i, kind: (f"a{i}", f"/n{i:02}", kind, "curated", None, None)
+    spark.createDataFrame([node(0, "feedback"), *(node(i, "note") for i in range(1, 40))], "id string, path string, type string, origin string, valid_until timestamp_ntz, deleted_at timestamp_ntz").write.parquet(f"{tmp_path}/memory_nodes.parquet")
+    ends = [("A0", "a1"), ("a2", "a0"), ("a0", "A3"), ("a0", "gone")] + [(f"a{1 + i % 38}", f"a{2 + i % 38}") for i in range(96)]
+    spark.createDataFrame([(f"l{i}", *x, "about") for i, x in enumerate([*ends])] + [("l0", "a0", "A1", "about")], "id string, from_id string, to_id string, rel_type string").write.parquet(f"{tmp_path}/memory_links.parquet")
+    got, sent = all_sent(search._gold(spark, str(tmp_path)))
+    assert [(r.query, sorted(r.expected)) for r in got] == [("/n00", ["/n01", "/n02", "/n03"])]
+    assert sent < 90
