@@ -98,3 +98,11 @@ def test_links_of_other_nodes_dont_travel(spark, tmp_path):
     got, sent = all_sent(search._gold(spark, str(tmp_path)))
     assert [(r.query, sorted(r.expected)) for r in got] == [("/n00", ["/n01", "/n02", "/n03"])]
     assert sent < 90
+
+
+def test_folds_are_read_from_one_table(spark):
+    gold = spark.createDataFrame([(f"q{q:02}", ["/n10"] if q % 2 else ["/n09"], []) for q in range(30)], "query string, expected array<string>, acceptable array<string>")
+    featured = gate.add_features(candidates(spark)).localCheckpoint()
+    at = len(session._WRITTEN)
+    assert gate.cross_validate(gold, featured, 3).count() == 900
+    assert len(session._WRITTEN) == at + 1
