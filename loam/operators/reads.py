@@ -154,9 +154,11 @@ def graph_report(nodes: DataFrame, links: DataFrame, most: int = 8) -> DataFrame
 
 
 def retrieve(lexical: DataFrame, semantic: DataFrame, nodes: DataFrame, suppressed: DataFrame, told: DataFrame | None = None, model: gate.GateModel = gate.GateModel(), p: gate.GateParams = gate.GateParams()) -> DataFrame:
-    """(query, path, confidence, position): what the learned gate lets through, of both signals' candidates without suppressed paths and those told before."""
-    merged = gate.without(gate.merge_signals(lexical, semantic), suppressed, told)
+    """(query, path, confidence, position): what the learned gate lets through, of both signals' candidates without suppressed paths and those told before. A signal may bring the nodes' importance."""
+    known = nodes.select("path", "importance")
+    lexical, semantic = [df if "importance" in df.columns else df.join(known, "path") for df in (lexical, semantic)]
+    merged = gate.without(gate.merge_signals(lexical, semantic, ["importance"]), suppressed, told)
     slug = ps.project_slug
-    rows = merged.join(nodes.select("path", importance().alias("importance")), "path").withColumn("in_project", F.coalesce(slug(F.col("query")) == slug(F.col("path")), F.lit(False)))
+    rows = merged.withColumn("importance", importance()).withColumn("in_project", F.coalesce(slug(F.col("query")) == slug(F.col("path")), F.lit(False)))
     scored = gate.learned_confidence(gate.add_features(rows.select("query", "path", "lex_conf", "sim", "importance", "in_project")), model)
     return gate.select_hits(scored, model.min_prob, p).select("query", "path", "confidence", "position")

@@ -102,7 +102,7 @@ def _(s, d):
     q, n = node_queries(s, d), shown(s, d)
     feedback = n.filter(F.coalesce("access_count", F.lit(0)) == 0).select("path", F.lit(False).alias("used"), F.explode(F.sequence(F.lit(1), F.lit(3))))
     told = q.select("query", F.col("query").alias("path"))
-    found = reads.retrieve(search._coverage(s, d, q), rt.vector_arm(n, q, 10, rt.DIMS), n, gate.never_used(feedback, prefixes=("/projects/",)), told)
+    found = reads.retrieve(search._coverage(s, d, q, ["importance"]), rt.vector_arm(n, q, 10, rt.DIMS), n, gate.never_used(feedback, prefixes=("/projects/",)), told)
     return found.withColumn("position", F.col("position").cast("long"))
 
 

@@ -106,3 +106,10 @@ def test_folds_are_read_from_one_table(spark):
     at = len(session._WRITTEN)
     assert gate.cross_validate(gold, featured, 3).count() == 900
     assert len(session._WRITTEN) == at + 1
+
+
+def test_candidates_stay_where_they_are_without_some(spark):
+    gone, told = spark.createDataFrame([("/n10",), ("/n10",)], "path string"), spark.createDataFrame([("q00", "/n11"), ("q00", "/n12"), ("q01", "/n13")], "query string, path string")
+    got, sent = all_sent(gate.select_hits(gate.without(candidates(spark), gone, told).withColumn("confidence", F.col("lex_conf")), 0.0, gate.GateParams(max_hits=99)))
+    assert len(got) == 30 * 29 - 3 and not {("q00", "/n11"), ("q00", "/n12"), ("q01", "/n13"), ("q02", "/n10")} & {(r.query, r.path) for r in got}
+    assert 1200 <= sent < 1220
