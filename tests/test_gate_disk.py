@@ -11,7 +11,7 @@ from tests.test_travel import all_sent
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("query", ["gate_fit", "param_sweep", "candidate_pool"])
+@pytest.mark.parametrize("query", ["gate_fit", "param_sweep", "candidate_pool", "gate_threshold"])
 def test_neither_words_nor_pairs_reach_the_disk(spark, query):
     """60 nodes by words and 10 by vector are a query's candidates; a node has some 40 different words."""
     most = nodes(spark, SF).count() + 70 * node_queries(spark, SF).count()
